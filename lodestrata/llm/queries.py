@@ -16,6 +16,19 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm.embeddings import near_vectors
+
+    return near_vectors(common.table(spark, sf_dir, "embeddings"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm.warc import read_archives, write_archives
+
+    pages = common.table(spark, sf_dir, "pages")
+    return read_archives(write_archives(pages, common.scratch_path(spark, "warc")))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrata.llm.tokens import count_tokens
 
