@@ -29,6 +29,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(write_archives(pages, common.scratch_path(spark, "warc")))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm.repeats import remove_repeats
+
+    return remove_repeats(common.table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrata.llm.tokens import count_tokens
 
