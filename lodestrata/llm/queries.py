@@ -48,12 +48,25 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(common.table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm.decontaminate import decontaminate
+
+    return decontaminate(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrata.llm.sharding import shard_by_bytes
 
     return shard_by_bytes(common.table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm.quality import classify_quality
+
+    found = classify_quality(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "evidence", "site_rate", "quality_score", "keep")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrata.llm.simhash import near_duplicates
 
@@ -61,6 +74,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm.toxicity import score_toxicity
+
+    return score_toxicity(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
