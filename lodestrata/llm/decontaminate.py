@@ -15,12 +15,12 @@ from lodestrata.llm import common
 #: Benchmark text that one round holds on the driver and broadcasts; a larger benchmark takes several rounds.
 BLOCK_BYTES = 256 << 10
 PASSAGE, STRIDE = 60, 32
-RANK, EXTRA = 192, 8
+RANK, EXTRA = 256, 8
 #: Weight of benchmark passages among the rows of the factorised matrix.
 OWN_WEIGHT = 10.0
 #: Different benchmark words, common ones aside, that a passage needs to be looked at.
 LEAST = 3
-COSINE, COMMON, ANSWER, CONTENT = 0.25, 0.6, 0.5, 0.6
+COSINE, COMMON, ANSWER, CONTENT = 0.15, 0.7, 0.5, 0.6
 WORD = re.compile(r"\w+")
 
 
