@@ -18,8 +18,8 @@ PASSAGE, STRIDE = 60, 32
 RANK, EXTRA = 256, 8
 #: Weight of benchmark passages among the rows of the factorised matrix.
 OWN_WEIGHT = 10.0
-#: Different benchmark words, common ones aside, that a passage needs to be looked at.
-LEAST = 3
+#: A passage is looked at if it holds LEAST of the words that are among the TELLING rarest of a benchmark passage.
+TELLING, LEAST = 8, 3
 COSINE, COMMON, ANSWER, CONTENT = 0.15, 0.7, 0.5, 0.6
 WORD = re.compile(r"\w+")
 
@@ -76,30 +76,22 @@ def matches(passage: np.ndarray, item: np.ndarray, bench: Benchmark) -> float:
 
 
 def _scan(bench):
-    """Rows (kind, doc_id, term, n, ids): passages worth a look (0), and document counts of terms (1; term -1: all)."""
+    """Rows (kind, doc_id, term, n, ids): documents as term ids (0), and document counts of terms (1; term -1: all)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b: Benchmark = bench.value
-        df, n_docs, vocab = np.zeros(len(b.vocab), np.int64), 0, b.vocab
+        df, n_docs, get = np.zeros(len(b.vocab), np.int64), 0, b.vocab.get
         names = ["kind", "doc_id", "term", "n", "ids"]
         kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), common.texts(batch), strict=True):
                 n_docs += 1
-                ids = np.array([vocab.get(w, -1) for w in WORD.findall(text.lower())], np.int32)
+                ids = np.array([get(w, -1) for w in WORD.findall(text.lower())], np.int32)
                 known = np.unique(ids[ids >= 0])
                 df[known] += 1
-                if len(known) < LEAST or (~b.frequent[known]).sum() < LEAST:
-                    continue
-                hit = (ids >= 0) & ~b.frequent[ids]
-                total = np.r_[0, np.cumsum(hit)]
-                starts = np.arange(0, max(1, len(ids) - b.width + STRIDE), STRIDE)
-                stops = np.minimum(starts + b.width, len(ids))
-                for k in np.flatnonzero(total[stops] - total[starts] >= LEAST).tolist():
-                    part = ids[starts[k] : stops[k]]
-                    if len(b.content(part)) >= LEAST:
-                        rows.append((0, doc, None, None, part.tobytes()))
+                if len(known) >= LEAST:
+                    rows.append((0, doc, None, None, ids.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(5)], names=names)
         some = np.flatnonzero(df).tolist()
         rows = [(1, None, -1, n_docs, None), *((1, None, t, int(df[t]), None) for t in some)]
@@ -108,6 +100,50 @@ def _scan(bench):
     return run
 
 
+def telling(bench: Benchmark, idf: np.ndarray) -> np.ndarray:
+    """Which terms are among the TELLING rarest of a benchmark passage."""
+    out = np.zeros(len(idf), bool)
+    for ids in bench.terms:
+        t = np.unique(ids)
+        out[t[np.argsort(-idf[t], kind="stable")[:TELLING]]] = True
+    return out
+
+
+def _passages(bench, rare: np.ndarray):
+    """Rows (doc_id, ids): the passages of documents that hold LEAST or more telling terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width, marked = bench.value.width, np.r_[rare, False]  # id -1: no term
+        for batch in batches:
+            docs, out = [], []
+            for doc, blob in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                ids = np.frombuffer(blob, np.int32)
+                total = np.r_[0, np.cumsum(marked[ids])]
+                if total[-1] < LEAST:
+                    continue
+                starts = np.arange(0, max(1, len(ids) - width + STRIDE), STRIDE)
+                stops = np.minimum(starts + width, len(ids))
+                for k in np.flatnonzero(total[stops] - total[starts] >= LEAST).tolist():
+                    part = ids[starts[k] : stops[k]]
+                    if len(np.unique(part[marked[part]])) >= LEAST:
+                        docs.append(doc)
+                        out.append(part.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+
+    return run
+
+
+def _spread_sum(out: np.ndarray, y: np.ndarray, start: np.ndarray, terms: np.ndarray, values: np.ndarray) -> None:
+    """Add A^T y to ``out`` for sparse rows A."""
+    if not len(terms):
+        return
+    order = np.argsort(terms, kind="stable")
+    t = terms[order]
+    first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+    row = np.repeat(np.arange(len(y)), np.diff(start))
+    out[t[first]] += np.add.reduceat(y[row[order]] * values[order][:, None], first, axis=0)
+
+
 def _rows(blobs: list[bytes], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """TF-IDF rows of unit length in compressed form: row starts, terms, values."""
     start, terms, values = [0], [], []
@@ -164,12 +200,12 @@ def latent_basis(passages: DataFrame, bench: Benchmark, idf: np.ndarray, rank: i
             out = np.zeros((terms if back else width, width))
             for batch in batches:
                 blobs = batch.column("ids").to_pylist()
-                for k in range(0, len(blobs), 500):
-                    part = blobs[k : k + 500]
+                for k in range(0, len(blobs), 200):
+                    part = blobs[k : k + 200]
                     y = project(part, idf, basis)
                     if back:
                         start, t, v = _rows(part, idf)
-                        np.add.at(out, t, np.repeat(y, np.diff(start), axis=0) * v[:, None])
+                        _spread_sum(out, y, start, t, v)
                     else:
                         out += y.T @ y
             some = np.flatnonzero(np.abs(out).sum(axis=1))
@@ -181,7 +217,7 @@ def latent_basis(passages: DataFrame, bench: Benchmark, idf: np.ndarray, rank: i
         y = project(own, idf, basis)
         if back:
             start, t, v = _rows(own, idf)
-            np.add.at(out, t, OWN_WEIGHT * np.repeat(y, np.diff(start), axis=0) * v[:, None])
+            _spread_sum(out, OWN_WEIGHT * y, start, t, v)
             return out
         return out + OWN_WEIGHT * y.T @ y
 
@@ -198,11 +234,11 @@ def _round(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
     if not bench.terms:
         return spark.createDataFrame([], "doc_id long, item_id long, similarity double")
     held = spark.sparkContext.broadcast(bench)
-    table = common.materialise(docs.select("doc_id", "text").mapInArrow(_scan(held), "kind int, doc_id long, term int, n long, ids binary"), "passages")
+    table = common.materialise(docs.select("doc_id", "text").mapInArrow(_scan(held), "kind int, doc_id long, term int, n long, ids binary"), "terms")
     counts = dict(tuple(r) for r in table.where("kind = 1").groupBy("term").agg(F.sum("n")).collect())
     df = np.array([counts.get(t, 0) for t in range(len(bench.vocab))], float)
     idf = np.log((counts.get(-1, 0) + 2) / (df + 1))
-    passages = table.where("kind = 0").select("doc_id", "ids")
+    passages = common.materialise(table.where("kind = 0").select("doc_id", "ids").mapInArrow(_passages(held, telling(bench, idf)), "doc_id long, ids binary"), "passages")
     basis = latent_basis(passages, bench, idf)
     unit = lambda m: m / np.maximum(1e-12, np.linalg.norm(m, axis=1, keepdims=True))
     search = spark.sparkContext.broadcast((idf, basis, unit(project([t.tobytes() for t in bench.terms], idf, basis))))
@@ -226,7 +262,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, item_id, similarity)``: documents that hold a benchmark item, or a close paraphrase, in whole.
 
     Documents are read in overlapping passages, each long enough to hold any item passage whole.
-    Passages with LEAST or more of the benchmark's rarer words are projected on the leading
+    Passages with LEAST or more of the benchmark's telling words are projected on the leading
     singular vectors of the passages' TF-IDF matrix; items of cosine COSINE or more are
     candidates, kept if COMMON of the item's words are there in order, CONTENT of its rarer
     words are there, and ANSWER of its last third is. Items longer than PASSAGE words count by
