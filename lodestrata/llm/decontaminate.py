@@ -18,8 +18,8 @@ PASSAGE, STRIDE = 60, 32
 RANK, EXTRA = 256, 8
 #: Weight of benchmark passages among the rows of the factorised matrix.
 OWN_WEIGHT = 10.0
-#: A passage is looked at if it holds LEAST of the words that are among the TELLING rarest of a benchmark passage.
-TELLING, LEAST = 8, 3
+#: A passage is looked at if it holds LEAST words that are among the TELLING rarest of benchmark passages; rare are words of RARE of the documents.
+TELLING, LEAST, RARE = 8, 4, 0.005
 COSINE, COMMON, ANSWER, CONTENT = 0.15, 0.7, 0.5, 0.6
 WORD = re.compile(r"\w+")
 
@@ -61,20 +61,34 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
-def matches(passage: np.ndarray, item: np.ndarray, bench: Benchmark) -> float:
-    """Share of the item in common order with a passage, 0 if a check fails.
-
-    The item's rarer words must mostly be there, and its end, which holds the answer, must be.
-    """
-    content = bench.content(item)
-    there = np.isin(content, passage)
-    if len(content) and there.mean() < CONTENT:
-        return 0.0
+def matches(passage: np.ndarray, item: np.ndarray) -> float:
+    """Share of the item in common order with a passage, 0 if too small or the answer, the item's last third, isn't there."""
     share = lcs(item, passage) / len(item)
     answer = item[-max(1, len(item) // 3) :]
     return share if share >= COMMON and lcs(answer, passage) / len(answer) >= ANSWER else 0.0
 
 
+class ContentCheck:
+    """Whether passages hold enough of items' rarer words, for all pairs of a batch at once."""
+
+    def __init__(self, bench: Benchmark) -> None:
+        content = [bench.content(t) for t in bench.terms]
+        every = np.unique(np.concatenate(content))
+        self.column = np.full(len(bench.vocab) + 1, -1)
+        self.column[every] = np.arange(len(every))
+        self.items = np.zeros((len(every), len(content)), np.float32)
+        for j, c in enumerate(content):
+            self.items[self.column[c], j] = 1
+        self.need = CONTENT * np.array([len(c) for c in content])
+
+    def enough(self, passages: list[np.ndarray]) -> np.ndarray:
+        held = np.zeros((len(passages), len(self.items)), np.float32)
+        for i, p in enumerate(passages):
+            c = self.column[p]
+            held[i, c[c >= 0]] = 1
+        return held @ self.items >= self.need
+
+
 def _scan(bench):
     """Rows (kind, doc_id, term, n, ids): documents as term ids (0), and document counts of terms (1; term -1: all)."""
 
@@ -90,7 +104,7 @@ def _scan(bench):
                 ids = np.array([get(w, -1) for w in WORD.findall(text.lower())], np.int32)
                 known = np.unique(ids[ids >= 0])
                 df[known] += 1
-                if len(known) >= LEAST:
+                if len(known):
                     rows.append((0, doc, None, None, ids.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(5)], names=names)
         some = np.flatnonzero(df).tolist()
@@ -100,17 +114,25 @@ def _scan(bench):
     return run
 
 
-def telling(bench: Benchmark, idf: np.ndarray) -> np.ndarray:
-    """Which terms are among the TELLING rarest of a benchmark passage."""
-    out = np.zeros(len(idf), bool)
+def telling(bench: Benchmark, idf: np.ndarray) -> tuple[np.ndarray, int]:
+    """Which terms tell a benchmark passage from others, and how many of them a passage must hold to be looked at.
+
+    A passage's TELLING rarest terms tell, if rare (RARE of the documents at most); of one with fewer than LEAST
+    rare terms the LEAST rarest do.
+    """
+    out, least = np.zeros(len(idf), bool), LEAST
+    rare = idf >= -np.log(RARE)
     for ids in bench.terms:
         t = np.unique(ids)
-        out[t[np.argsort(-idf[t], kind="stable")[:TELLING]]] = True
-    return out
+        t = t[np.argsort(-idf[t], kind="stable")]
+        n = min(TELLING, max(int(rare[t].sum()), LEAST))
+        out[t[:n]] = True
+        least = min(least, len(t))
+    return out, least
 
 
-def _passages(bench, rare: np.ndarray):
-    """Rows (doc_id, ids): the passages of documents that hold LEAST or more telling terms."""
+def _passages(bench, rare: np.ndarray, least: int):
+    """Rows (doc_id, ids): the passages of documents that hold ``least`` or more telling terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width, marked = bench.value.width, np.r_[rare, False]  # id -1: no term
@@ -119,13 +141,13 @@ def _passages(bench, rare: np.ndarray):
             for doc, blob in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 ids = np.frombuffer(blob, np.int32)
                 total = np.r_[0, np.cumsum(marked[ids])]
-                if total[-1] < LEAST:
+                if total[-1] < least:
                     continue
                 starts = np.arange(0, max(1, len(ids) - width + STRIDE), STRIDE)
                 stops = np.minimum(starts + width, len(ids))
-                for k in np.flatnonzero(total[stops] - total[starts] >= LEAST).tolist():
+                for k in np.flatnonzero(total[stops] - total[starts] >= least).tolist():
                     part = ids[starts[k] : stops[k]]
-                    if len(np.unique(part[marked[part]])) >= LEAST:
+                    if len(set(part[marked[part]].tolist())) >= least:
                         docs.append(doc)
                         out.append(part.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "ids"])
@@ -238,20 +260,23 @@ def _round(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
     counts = dict(tuple(r) for r in table.where("kind = 1").groupBy("term").agg(F.sum("n")).collect())
     df = np.array([counts.get(t, 0) for t in range(len(bench.vocab))], float)
     idf = np.log((counts.get(-1, 0) + 2) / (df + 1))
-    passages = common.materialise(table.where("kind = 0").select("doc_id", "ids").mapInArrow(_passages(held, telling(bench, idf)), "doc_id long, ids binary"), "passages")
+    passages = common.materialise(table.where("kind = 0").select("doc_id", "ids").mapInArrow(_passages(held, *telling(bench, idf)), "doc_id long, ids binary"), "passages")
     basis = latent_basis(passages, bench, idf)
     unit = lambda m: m / np.maximum(1e-12, np.linalg.norm(m, axis=1, keepdims=True))
     search = spark.sparkContext.broadcast((idf, basis, unit(project([t.tobytes() for t in bench.terms], idf, basis))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (idf, basis, own), bench = search.value, held.value
+        check = ContentCheck(bench)
         for batch in batches:
             docs, blobs, found = batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), {}
             for k in range(0, len(blobs), 500):
-                near = unit(project(blobs[k : k + 500], idf, basis)) @ own.T
-                for i, j in zip(*(x.tolist() for x in np.nonzero(near >= COSINE)), strict=True):
-                    if share := matches(np.frombuffer(blobs[k + i], np.int32), bench.terms[j], bench):
-                        key = docs[k + i], bench.item[j]
+                near = unit(project(blobs[k : k + 500], idf, basis)) @ own.T >= COSINE
+                some = np.flatnonzero(near.any(axis=1))
+                parts = [np.frombuffer(blobs[k + i], np.int32) for i in some.tolist()]
+                for i, j in zip(*(x.tolist() for x in np.nonzero(near[some] & check.enough(parts))), strict=True):
+                    if share := matches(parts[i], bench.terms[j]):
+                        key = docs[k + some[i]], bench.item[j]
                         found[key] = max(found.get(key, 0.0), share)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array(list(found.values()), pa.float64())], names=["doc_id", "item_id", "similarity"])
 
