@@ -14,7 +14,7 @@ from lodestrata.llm.decontaminate import find_contamination
 from lodestrata.llm.packing import pack
 from lodestrata.llm.quality import classify_quality
 from lodestrata.llm.repeats import remove_repeats
-from lodestrata.llm.simhash import near_duplicates
+from lodestrata.llm.simhash import near_copies
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest doc_id; rows without a doc_id stay."""
-    gone = near_duplicates(docs.where("doc_id is not null")).where("doc_id > component_id").select("doc_id").distinct()
+    """One document of each group of near-duplicates (0.8 of their five-word shingles), that of the smallest doc_id; rows without a doc_id stay."""
+    gone = near_copies(docs).where("doc_id > component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").dropDuplicates()
 
 

@@ -157,3 +157,77 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
     labels = common.components(links(nodes, radius))
     known = nodes.join(labels, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(known, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+#: Fingerprints of different seeds, and shingle hashes kept for the check of a pair.
+SEEDS, SKETCH = 4, 200
+
+
+def sketch(text: str | None, words: int = 5, seeds: int = SEEDS) -> tuple[list[int], bytes]:
+    """SimHashes of the set of a text's words, one per seed, and the SKETCH smallest 32-bit hashes of its word shingles."""
+    ws = (text or "").encode().lower().split()
+    own = set(ws)
+    h64 = xxhash.xxh64_intdigest
+    base = np.fromiter((h64(w, SEED) for w in own), dtype=np.uint64, count=len(own))
+    fps = []
+    for seed in range(seeds):
+        with np.errstate(over="ignore"):
+            h = (base ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15 + 2 * seed)
+            h ^= h >> np.uint64(31)
+            h *= np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(32)
+        ones = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        fps.append(int(np.packbits(ones * 2 > len(h)).view(">i8")[0]))
+    joined = map(b" ".join, zip(*(ws[k:] for k in range(words)), strict=False)) if len(ws) >= words else [b" ".join(ws)]
+    hashes = np.unique(np.fromiter((h64(s, SEED) for s in joined), dtype=np.uint64).astype(np.uint32))
+    return fps, hashes[:SKETCH].tobytes()
+
+
+def resemblance(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two shingle sets from their smallest hashes; exact for sets no larger than SKETCH."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    union = np.union1d(x, y)
+    union = union[: SKETCH if max(len(x), len(y)) >= SKETCH else len(union)]
+    return len(np.intersect1d(np.intersect1d(x, y, True), union, True)) / max(1, len(union))
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3, seeds: int = SEEDS) -> DataFrame:
+    """``(doc_id, component_id)`` of documents alike in ``similarity`` or more of their ``words``-word shingles.
+
+    Equal texts are one node. Candidates are documents whose SimHash over the set of words is
+    within ``radius`` bits for any of ``seeds`` seeds, found through the Gray-ordered indexes; a
+    pair counts if its shingle sketches are alike enough. Within a key's large group candidates
+    are a spanning forest of the index's pairs. Null and empty texts are copies of each other; rows with a
+    null doc_id are left out; repeated rows stay repeated; an empty table gives no rows.
+    """
+    common.small_batches(docs.sparkSession)
+    names = [f"fp{k}" for k in range(seeds)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [sketch(t, words, seeds) for t in common.texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("md5"), *(pa.array([g[0][k] for g in got], pa.int64()) for k in range(seeds)), pa.array([g[1] for g in got], pa.binary())], names=["doc_id", "md5", *names, "sketch"])
+
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.where("doc_id is not null").select("doc_id", F.unhex(F.md5(text.cast("binary"))).alias("md5"), text.alias("text"))
+    every = common.materialise(rows.mapInArrow(run, "doc_id long, md5 binary, " + ", ".join(f"{x} long" for x in names) + ", sketch binary"), "sketches")
+    first = every.groupBy("md5").agg(F.min("doc_id").alias("first"))
+    nodes = common.materialise(every.join(first, "md5").where("doc_id = first").select("doc_id", *names, "sketch").dropDuplicates(["doc_id"]), "sketch-nodes")
+    edges = None
+    for name in names:
+        heads = nodes.groupBy(F.col(name).alias("fp")).agg(F.min("doc_id").alias("node"))
+        equal = nodes.select(F.col("doc_id").alias("b"), F.col(name).alias("fp")).join(heads, "fp").where("node < b").select(F.col("node").alias("a"), "b")
+        found = links(heads, radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(equal)
+        edges = found if edges is None else edges.union(found)
+    edges = common.materialise(edges.distinct(), "candidates")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [resemblance(x, y) >= similarity for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=common.EDGE).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda x: nodes.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"s{x}"))
+    alike = edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    labels = common.components(alike)
+    heads = first.join(labels, F.col("first") == F.col("node"), "left").select("md5", F.coalesce("component", "first").alias("component_id"))
+    return every.select("doc_id", "md5").join(heads, "md5").select("doc_id", "component_id")
