@@ -121,8 +121,8 @@ def format_vote(spark, d):
         for b in batches:
             fmt, conf = [], []
             for t in b.column("text").to_pylist():
-                own = [x.strip() for x in (t or "")[: 64 << 10].splitlines() if x.strip()][:20]
-                s = vote_format(own, "\n".join(own))
+                head = (t or "")[: 64 << 10]
+                s = vote_format([x.strip() for x in head.splitlines() if x.strip()][:20], head)
                 best = max(ORDER, key=lambda k: s[k])
                 fmt.append(best if s[best] >= 0.5 else "free_text")
                 conf.append(s[best])

@@ -51,9 +51,7 @@ def vote_format(lines: list[str], text: str) -> dict[str, float]:
         return score
     n = len(lines)
     if lines[0][0] in "{[":
-        score["json"] += 0.6
-    if text.strip() and _balanced(text) and any(c in text for c in "{["):
-        score["json"] += 0.3
+        score["json"] += 0.6 + 0.3 * _balanced(text)
     if sum(parse.json_line(x) is not None for x in lines) > 0.8 * n:
         score["jsonl"] += 0.9
     starts = any(re.match(fixed.SQL_START, x, re.I) for x in lines)
@@ -86,7 +84,7 @@ def sniff_content(raw: bytes) -> tuple[str, str, float]:
     encoding = parse.detect_encoding(raw)
     text = parse.decode(raw[: fixed.HEAD_BYTES], encoding).removeprefix("﻿")
     lines = [x.strip() for x in text.splitlines() if x.strip()][: fixed.HEAD_LINES]
-    score = vote_format(lines, "\n".join(lines))
+    score = vote_format(lines, text)
     fmt = max(ORDER, key=lambda k: score[k])
     return (fmt if score[fmt] >= fixed.ACCEPT else "free_text"), encoding, round(score[fmt], 4)
 
