@@ -304,8 +304,11 @@ class Run:
         self.lefts = np.frombuffer(blob, np.uint8, int(self.n_left.sum()), int(cut[-1]))
         self.text, last, cut = [], b"", cut.tolist()
         for k, (m, a, b) in enumerate(zip(self.lcp, cut[:-1], cut[1:], strict=True)):
-            last = (last[:m] + blob[a:b]).ljust(span, b"\0")
-            self.text.append(last)
+            text = (last[:m] + blob[a:b]).ljust(span, b"\0")
+            if text == last:  # cut suffixes may be alike beyond the bytes that they need
+                self.lcp[k] = span
+            self.text.append(text)
+            last = text
 
     def left_rows(self, reach: int) -> np.ndarray:
         rows = np.zeros((self.n, reach), np.uint8)

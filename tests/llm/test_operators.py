@@ -412,3 +412,21 @@ def test_pipeline(spark, tmp_path):
     assert 2 not in kept and 901 not in kept and len(kept & good) >= 0.95 * (len(good) - 1) and len(kept - good - {900}) <= 2
     assert [n for n, _ in pipe.STAGES][0] == "quality classifier" and len(pipe.STAGES) == 5
     assert set(oracle_sql()) <= set(queries()) and {k.split("_")[0] for k in queries()} == {f"op{n}" for n in range(1, 11)}
+
+
+def test_front_coded_run_round_trip():
+    from lodestrata.llm.repeats import Run, Suffixes, byte_order, common_prefixes, front_code
+
+    rng = np.random.default_rng(18)
+    n, span, reach = 200, 100, 68
+    n_right, n_left = rng.integers(32, span + 1, n), rng.integers(0, reach + 1, n)
+    right = rng.integers(97, 99, (n, span)).astype(np.uint8)
+    right[: n // 2] = right[0]
+    right = right * (np.arange(span) < n_right[:, None]).astype(np.uint8)
+    left = rng.integers(97, 99, (n, reach)).astype(np.uint8) * (np.arange(reach) < n_left[:, None]).astype(np.uint8)
+    s = Suffixes(right, left, n_right, n_left, np.arange(n), np.arange(n), np.arange(n))
+    s = s.take(byte_order(s.right))
+    run = Run(front_code(s), span)
+    assert run.text == [r.tobytes() for r in s.right] == sorted(run.text)
+    assert run.lcp == common_prefixes(s.right).tolist()
+    assert (run.left_rows(reach) == s.left).all() and (run.k == s.k).all()
