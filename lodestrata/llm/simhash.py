@@ -159,16 +159,23 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
     return fps.join(known, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-#: Fingerprints of different seeds, and shingle hashes kept for the check of a pair.
-SEEDS, SKETCH = 4, 200
+#: Fingerprints of different seeds, and shingle hashes kept for the first check of a pair.
+SEEDS, SKETCH = 8, 200
+#: Sketches decide a pair whose estimate lies further than this from the similarity asked for (over four standard errors).
+DOUBT = 0.13
+
+
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's word shingles; a text of fewer words is one shingle."""
+    ws = (text or "").encode().lower().split()
+    joined = map(b" ".join, zip(*(ws[k:] for k in range(words)), strict=False)) if len(ws) >= words else [b" ".join(ws)]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in joined), dtype=np.uint64))
 
 
 def sketch(text: str | None, words: int = 5, seeds: int = SEEDS) -> tuple[list[int], bytes]:
     """SimHashes of the set of a text's words, one per seed, and the SKETCH smallest 32-bit hashes of its word shingles."""
-    ws = (text or "").encode().lower().split()
-    own = set(ws)
-    h64 = xxhash.xxh64_intdigest
-    base = np.fromiter((h64(w, SEED) for w in own), dtype=np.uint64, count=len(own))
+    own = set((text or "").encode().lower().split())
+    base = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in own), dtype=np.uint64, count=len(own))
     fps = []
     for seed in range(seeds):
         with np.errstate(over="ignore"):
@@ -178,9 +185,7 @@ def sketch(text: str | None, words: int = 5, seeds: int = SEEDS) -> tuple[list[i
             h ^= h >> np.uint64(32)
         ones = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         fps.append(int(np.packbits(ones * 2 > len(h)).view(">i8")[0]))
-    joined = map(b" ".join, zip(*(ws[k:] for k in range(words)), strict=False)) if len(ws) >= words else [b" ".join(ws)]
-    hashes = np.unique(np.fromiter((h64(s, SEED) for s in joined), dtype=np.uint64).astype(np.uint32))
-    return fps, hashes[:SKETCH].tobytes()
+    return fps, np.unique(shingles(text, words).astype(np.uint32))[:SKETCH].tobytes()
 
 
 def resemblance(a: bytes, b: bytes) -> float:
@@ -191,14 +196,29 @@ def resemblance(a: bytes, b: bytes) -> float:
     return len(np.intersect1d(np.intersect1d(x, y, True), union, True)) / max(1, len(union))
 
 
+def jaccard(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two whole shingle sets."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, True))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def _sides(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
+    """``pairs(a, b)`` with the value of either end."""
+    side = lambda x: values.select(F.col("doc_id").alias(x), F.col(name).alias(f"s{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
+
+
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3, seeds: int = SEEDS) -> DataFrame:
     """``(doc_id, component_id)`` of documents alike in ``similarity`` or more of their ``words``-word shingles.
 
     Equal texts are one node. Candidates are documents whose SimHash over the set of words is
-    within ``radius`` bits for any of ``seeds`` seeds, found through the Gray-ordered indexes; a
-    pair counts if its shingle sketches are alike enough. Within a key's large group candidates
-    are a spanning forest of the index's pairs. Null and empty texts are copies of each other; rows with a
-    null doc_id are left out; repeated rows stay repeated; an empty table gives no rows.
+    within ``radius`` bits for any of ``seeds`` seeds, found through the Gray-ordered indexes.
+    Sketches of their shingles decide the clear pairs, whole shingle sets those within DOUBT of
+    ``similarity``. Within a key's large group candidates are a spanning forest of the index's
+    pairs, another one for each seed and block. Null and empty texts are copies of each other;
+    rows with a null doc_id are left out; repeated rows stay repeated; an empty table gives no
+    rows.
     """
     common.small_batches(docs.sparkSession)
     names = [f"fp{k}" for k in range(seeds)]
@@ -212,7 +232,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
     rows = docs.where("doc_id is not null").select("doc_id", F.unhex(F.md5(text.cast("binary"))).alias("md5"), text.alias("text"))
     every = common.materialise(rows.mapInArrow(run, "doc_id long, md5 binary, " + ", ".join(f"{x} long" for x in names) + ", sketch binary"), "sketches")
     first = every.groupBy("md5").agg(F.min("doc_id").alias("first"))
-    nodes = common.materialise(every.join(first, "md5").where("doc_id = first").select("doc_id", *names, "sketch").dropDuplicates(["doc_id"]), "sketch-nodes")
+    nodes = common.materialise(every.join(first, "md5").where("doc_id = first").select("doc_id", "md5", *names, "sketch").dropDuplicates(["doc_id"]), "sketch-nodes")
     edges = None
     for name in names:
         heads = nodes.groupBy(F.col(name).alias("fp")).agg(F.min("doc_id").alias("node"))
@@ -221,13 +241,27 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
         edges = found if edges is None else edges.union(found)
     edges = common.materialise(edges.distinct(), "candidates")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = np.array([resemblance(x, y) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)])
+            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(alike >= similarity + DOUBT)], names=["a", "b", "sure"])
+            yield out.filter(pa.array(alike >= similarity - DOUBT))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingles(t, words).tobytes() for t in common.texts(batch)], pa.binary())], names=["doc_id", "whole"])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [resemblance(x, y) >= similarity for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)]
+            keep = [jaccard(x, y) >= similarity for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=common.EDGE).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda x: nodes.select(F.col("doc_id").alias(x), F.col("sketch").alias(f"s{x}"))
-    alike = edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    rated = common.materialise(_sides(edges, nodes, "sketch").mapInArrow(estimate, "a long, b long, sure boolean"), "rated")
+    doubtful = rated.where("not sure").select("a", "b")
+    ends = doubtful.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    asked = common.materialise(nodes.select("doc_id", "md5").join(ends, "doc_id"), "doubtful")
+    whole = common.materialise(rows.join(asked, ["doc_id", "md5"]).dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(hashed, "doc_id long, whole binary"), "shingle-sets")
+    alike = rated.where("sure").select("a", "b").union(_sides(doubtful, whole, "whole").mapInArrow(decide, "a long, b long"))
     labels = common.components(alike)
     heads = first.join(labels, F.col("first") == F.col("node"), "left").select("md5", F.coalesce("component", "first").alias("component_id"))
     return every.select("doc_id", "md5").join(heads, "md5").select("doc_id", "component_id")

@@ -396,6 +396,32 @@ def test_near_copies(spark):
     assert got[200] == 0 and got[202] == 201 and all(got[k] == k for k in range(20))
 
 
+def test_near_copies_follow_whole_shingle_sets(spark):
+    from lodestrata.llm.simhash import near_copies
+
+    rng = random.Random(21)
+    docs = []
+    for k in range(60):  # around the similarity asked for, where sketches can't decide
+        words = prose(rng, 400).split()
+        docs.append((k, " ".join(words)))
+        for place in range(5, 395, 390 // rng.randrange(5, 14)):
+            words[place] = f"other{place}"
+        docs.append((1000 + k, " ".join(words)))
+
+    def sets(text):
+        w = text.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    got = {r.doc_id: r.component_id for r in near_copies(frame(spark, docs)).collect()}
+    text, alike = dict(docs), 0
+    for k in range(60):
+        a, b = sets(text[k]), sets(text[1000 + k])
+        close = len(a & b) >= 0.8 * len(a | b)
+        alike += close and got[1000 + k] == k
+        assert close or got[1000 + k] == 1000 + k
+    assert alike >= 0.95 * sum(len(sets(text[k]) & sets(text[1000 + k])) >= 0.8 * len(sets(text[k]) | sets(text[1000 + k])) for k in range(60)) > 10
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as pipe
 
