@@ -123,16 +123,20 @@ def _near(rows: pa.Table, radius: int) -> tuple[list[int], list[int]]:
     return left, right
 
 
-def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
+def links(nodes: DataFrame, radius: int = 3, seeds: int = 1) -> DataFrame:
     """Edges ``(a, b)`` whose components are those of all pairs of ``nodes(fp, node)`` within ``radius`` bits.
 
+    With more than one of ``seeds``, nodes have a column ``seed`` below it, and only fingerprints
+    of one seed are compared.
+
     Fingerprints within the radius agree in one of ``radius + 1`` bit blocks, so each
     block's value is a key, and each key's fingerprints are searched through their own index.
     A ball of radius 3 holds at most 43,745 fingerprints, which bounds what a search yields.
     """
     blocks = radius + 1
     width = 64 // blocks
-    key = F.explode(F.array(*[F.shiftrightunsigned("fp", k * width).bitwiseAND((1 << width) - 1) * blocks + k for k in range(blocks)]))
+    seed = F.col("seed").cast("long") if seeds > 1 else F.lit(0)
+    key = F.explode(F.array(*[(F.shiftrightunsigned("fp", k * width).bitwiseAND((1 << width) - 1) * blocks + k) * seeds + seed for k in range(blocks)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in common.grouped(batches, "key"):
@@ -233,12 +237,10 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
     every = common.materialise(rows.mapInArrow(run, "doc_id long, md5 binary, " + ", ".join(f"{x} long" for x in names) + ", sketch binary"), "sketches")
     first = every.groupBy("md5").agg(F.min("doc_id").alias("first"))
     nodes = common.materialise(every.join(first, "md5").where("doc_id = first").select("doc_id", "md5", *names, "sketch").dropDuplicates(["doc_id"]), "sketch-nodes")
-    edges = None
-    for name in names:
-        heads = nodes.groupBy(F.col(name).alias("fp")).agg(F.min("doc_id").alias("node"))
-        equal = nodes.select(F.col("doc_id").alias("b"), F.col(name).alias("fp")).join(heads, "fp").where("node < b").select(F.col("node").alias("a"), "b")
-        found = links(heads, radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(equal)
-        edges = found if edges is None else edges.union(found)
+    spread = nodes.select("doc_id", F.posexplode(F.array(*names)).alias("seed", "fp"))
+    heads = spread.groupBy("seed", "fp").agg(F.min("doc_id").alias("node"))
+    equal = spread.join(heads, ["seed", "fp"]).where("node < doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    edges = links(heads, radius, seeds).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(equal)
     edges = common.materialise(edges.distinct(), "candidates")
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
