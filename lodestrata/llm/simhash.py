@@ -163,10 +163,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
     return fps.join(known, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-#: Fingerprints of different seeds, and shingle hashes kept for the first check of a pair.
-SEEDS, SKETCH = 8, 200
+#: Shingle hashes kept for the first check of a pair.
+SKETCH = 200
 #: Sketches decide a pair whose estimate lies further than this from the similarity asked for (over four standard errors).
 DOUBT = 0.13
+#: Shingles of COMMON documents or more come last in the order of shingles, MOST of them at most, so that few prefixes hold them.
+COMMON, MOST = 64, 200_000
+#: A prefix shingle of up to SMALL texts gives all their pairs at once, a larger one more of them in each round.
+SMALL = 8
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
@@ -176,20 +180,9 @@ def shingles(text: str | None, words: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in joined), dtype=np.uint64))
 
 
-def sketch(text: str | None, words: int = 5, seeds: int = SEEDS) -> tuple[list[int], bytes]:
-    """SimHashes of the set of a text's words, one per seed, and the SKETCH smallest 32-bit hashes of its word shingles."""
-    own = set((text or "").encode().lower().split())
-    base = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in own), dtype=np.uint64, count=len(own))
-    fps = []
-    for seed in range(seeds):
-        with np.errstate(over="ignore"):
-            h = (base ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15 + 2 * seed)
-            h ^= h >> np.uint64(31)
-            h *= np.uint64(0xD6E8FEB86659FD93)
-            h ^= h >> np.uint64(32)
-        ones = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        fps.append(int(np.packbits(ones * 2 > len(h)).view(">i8")[0]))
-    return fps, np.unique(shingles(text, words).astype(np.uint32))[:SKETCH].tobytes()
+def sketch(whole: np.ndarray) -> bytes:
+    """The SKETCH smallest 32-bit hashes of a shingle set."""
+    return np.unique(whole.astype(np.uint32))[:SKETCH].tobytes()
 
 
 def resemblance(a: bytes, b: bytes) -> float:
@@ -207,41 +200,136 @@ def jaccard(a: bytes, b: bytes) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
+def prefix(whole: np.ndarray, similarity: float, late: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, in an order that is the same for all sets, of which two sets alike share one or more.
+
+    Sets of Jaccard ``similarity`` or more share at least that part of either, so neither's share
+    can lie wholly behind its first n - ceil(similarity n) + 1. The order is that of the hashes,
+    with the sorted ``late(hash, place)`` behind all others by their places.
+    """
+    n = len(whole)
+    size = n - int(np.ceil(similarity * n - 1e-9)) + 1
+    if not len(late):
+        return whole[:size]
+    at = np.minimum(np.searchsorted(late["hash"], whole), len(late) - 1)
+    behind = late["hash"][at] == whole
+    order = np.argsort(late["place"][at[behind]])
+    return np.r_[whole[~behind], whole[behind][order]][:size]
+
+
+def _pairs(rows: pa.Table, similarity: float, pivots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (a, b) of nodes of one key, and places of rows that further rounds must look at.
+
+    A key of up to SMALL nodes gives all pairs, a larger one those of its first ``pivots`` nodes;
+    these are then done with. Pairs within a component or of sizes too different don't count.
+    """
+    key, node, n, part = (rows.column(x).to_numpy() for x in ("key", "node", "n", "part"))
+    new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]  # a text repeated in another task
+    at = np.flatnonzero(new)
+    key, node, n, part = key[at], node[at], n[at], part[at]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, len(key)])
+    apart = np.minimum.reduceat(part, starts) != np.maximum.reduceat(part, starts)
+    place = np.arange(len(key)) - np.repeat(starts, sizes)
+    big = np.repeat(sizes > SMALL, sizes)
+    left, right = [], []
+
+    def add(i: np.ndarray, j: np.ndarray) -> None:
+        ok = (part[i] != part[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6)
+        left.append(i[ok])
+        right.append(j[ok])
+
+    use = np.repeat(apart, sizes)
+    for step in range(1, SMALL):
+        j = np.flatnonzero(use & ~big & (place >= step))
+        add(j - step, j)
+    for k in range(min(pivots, int(sizes.max()) - 1)):
+        j = np.flatnonzero(use & big & (place > k))
+        add(j - place[j] + k, j)
+    i, j = np.concatenate(left), np.concatenate(right)
+    found = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1), axis=0)
+    later = at[use & big & (place >= pivots) & (np.repeat(sizes, sizes) - pivots > 1)]
+    return found[:, 0], found[:, 1], later
+
+
 def _sides(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
     """``pairs(a, b)`` with the value of either end."""
-    side = lambda x: values.select(F.col("doc_id").alias(x), F.col(name).alias(f"s{x}"))
+    side = lambda x: values.select(F.col("node").alias(x), F.col(name).alias(f"s{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3, seeds: int = SEEDS) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(doc_id, component_id)`` of documents alike in ``similarity`` or more of their ``words``-word shingles.
 
-    Equal texts are one node. Candidates are documents whose SimHash over the set of words is
-    within ``radius`` bits for any of ``seeds`` seeds, found through the Gray-ordered indexes.
-    Sketches of their shingles decide the clear pairs, whole shingle sets those within DOUBT of
-    ``similarity``. Within a key's large group candidates are a spanning forest of the index's
-    pairs, another one for each seed and block. Null and empty texts are copies of each other;
-    rows with a null doc_id are left out; repeated rows stay repeated; an empty table gives no
-    rows.
+    Texts of equal shingle sets are one node. Candidates are all nodes that share a shingle of
+    their prefixes, so every pair of ``similarity`` or more is one, whatever was changed. Sketches
+    of their shingles decide the clear pairs, whole sets those within DOUBT of ``similarity``.
+    A shingle in many prefixes is worked through in rounds, each of which tests some of its nodes
+    against all others; only pairs that passed are joined, and what is joined isn't tested again.
+    Null and empty texts are copies of each other; rows with a null doc_id are left out; repeated
+    rows stay repeated; an empty table gives no rows.
     """
-    common.small_batches(docs.sparkSession)
-    names = [f"fp{k}" for k in range(seeds)]
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    names = ["doc_id", "node", "n", "sketch", "whole"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each document; without a doc_id: how many of a run of documents hold a shingle (node)."""
+        held, size = [], 0
+
+        def often() -> pa.RecordBatch:
+            h, times = np.unique(np.concatenate(held), return_counts=True)
+            some = times > 2
+            return pa.RecordBatch.from_arrays([pa.nulls(int(some.sum()), pa.int64()), pa.array(h[some].view(np.int64)), pa.array(times[some].astype(np.int64)), pa.nulls(int(some.sum()), pa.binary()), pa.nulls(int(some.sum()), pa.binary())], names=names)
+
+        for batch in batches:
+            sets = [shingles(t, words) for t in common.texts(batch)]
+            wholes = [s.tobytes() for s in sets]
+            nodes = np.array([xxhash.xxh3_64_intdigest(w) for w in wholes], np.uint64).view(np.int64)
+            columns = [batch.column("doc_id"), nodes, [len(s) for s in sets], [sketch(s) for s in sets], wholes]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            held += sets
+            size += sum(map(len, sets))
+            if size > 1 << 22:
+                yield often()
+                held, size = [], 0
+        if held:
+            yield often()
+
+    made = common.materialise(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(read, "doc_id long, node long, n long, sketch binary, whole binary"), "shingle-sets")
+    every = made.where("doc_id is not null")
+    often = made.where("doc_id is null").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "node").limit(MOST).toArrow()
+    late = np.zeros(often.num_rows, [("hash", np.uint64), ("place", np.int64)])
+    late["hash"] = often.column("node").to_numpy().view(np.uint64)
+    late["place"] = np.arange(len(late), 0, -1)
+    held = spark.sparkContext.broadcast(np.sort(late, order="hash"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            got = [sketch(t, words, seeds) for t in common.texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("md5"), *(pa.array([g[0][k] for g in got], pa.int64()) for k in range(seeds)), pa.array([g[1] for g in got], pa.binary())], names=["doc_id", "md5", *names, "sketch"])
-
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.where("doc_id is not null").select("doc_id", F.unhex(F.md5(text.cast("binary"))).alias("md5"), text.alias("text"))
-    every = common.materialise(rows.mapInArrow(run, "doc_id long, md5 binary, " + ", ".join(f"{x} long" for x in names) + ", sketch binary"), "sketches")
-    first = every.groupBy("md5").agg(F.min("doc_id").alias("first"))
-    nodes = common.materialise(every.join(first, "md5").where("doc_id = first").select("doc_id", "md5", *names, "sketch").dropDuplicates(["doc_id"]), "sketch-nodes")
-    spread = nodes.select("doc_id", F.posexplode(F.array(*names)).alias("seed", "fp"))
-    heads = spread.groupBy("seed", "fp").agg(F.min("doc_id").alias("node"))
-    equal = spread.join(heads, ["seed", "fp"]).where("node < doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    edges = links(heads, radius, seeds).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(equal)
-    edges = common.materialise(edges.distinct(), "candidates")
+            keys, nodes, sizes = [], [], []
+            for node, whole in zip(batch.column("node").to_pylist(), batch.column("whole"), strict=True):
+                if node not in seen:
+                    seen.add(node)
+                    s = np.frombuffer(whole.as_buffer(), np.uint64)
+                    keys.append(prefix(s, similarity, held.value))
+                    nodes.append(node)
+                    sizes.append(len(s))
+            times = [len(k) for k in keys]
+            node = np.repeat(np.array(nodes, np.int64), times)
+            key = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, node, np.repeat(np.array(sizes, np.int64), times), node)], names=["key", "node", "n", "part"])
+
+    def pairs(pivots: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in common.grouped(batches, "key"):
+                a, b, later = _pairs(rows, similarity, pivots)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], names=["key", "a", "b"])
+                rest = rows.take(pa.array(later)).select(["key", "node", "n"]).rename_columns(["key", "a", "b"])
+                yield from rest.to_batches()
+
+        return run
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,21 +337,30 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
             out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(alike >= similarity + DOUBT)], names=["a", "b", "sure"])
             yield out.filter(pa.array(alike >= similarity - DOUBT))
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingles(t, words).tobytes() for t in common.texts(batch)], pa.binary())], names=["doc_id", "whole"])
-
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [jaccard(x, y) >= similarity for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=common.EDGE).filter(pa.array(keep, pa.bool_()))
 
-    rated = common.materialise(_sides(edges, nodes, "sketch").mapInArrow(estimate, "a long, b long, sure boolean"), "rated")
-    doubtful = rated.where("not sure").select("a", "b")
-    ends = doubtful.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    asked = common.materialise(nodes.select("doc_id", "md5").join(ends, "doc_id"), "doubtful")
-    whole = common.materialise(rows.join(asked, ["doc_id", "md5"]).dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(hashed, "doc_id long, whole binary"), "shingle-sets")
-    alike = rated.where("sure").select("a", "b").union(_sides(doubtful, whole, "whole").mapInArrow(decide, "a long, b long"))
-    labels = common.components(alike)
-    heads = first.join(labels, F.col("first") == F.col("node"), "left").select("md5", F.coalesce("component", "first").alias("component_id"))
-    return every.select("doc_id", "md5").join(heads, "md5").select("doc_id", "component_id")
+    sketches = every.select("node", "sketch").dropDuplicates(["node"])
+    todo, pivots, labels = every.select("node", "whole").mapInArrow(cut, "key long, node long, n long, part long"), 1, None
+    while True:
+        spread = todo.repartition("key").sortWithinPartitions("key", "node")
+        found = common.materialise(spread.mapInArrow(pairs(pivots), "key long, a long, b long"), "candidates")
+        edges = found.where("key is null").select("a", "b").distinct()
+        rated = common.materialise(_sides(edges, sketches, "sketch").mapInArrow(estimate, "a long, b long, sure boolean"), "rated")
+        doubtful = rated.where("not sure").select("a", "b")
+        ends = doubtful.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        whole = every.select("node", "whole").join(ends, "node", "left_semi").dropDuplicates(["node"])
+        alike = rated.where("sure").select("a", "b").union(_sides(doubtful, whole, "whole").mapInArrow(decide, "a long, b long"))
+        if labels is not None:
+            alike = alike.union(labels.select(F.col("component").alias("a"), F.col("node").alias("b")))
+        labels = common.components(alike)
+        rest = found.where("key is not null").select("key", F.col("a").alias("node"), F.col("b").alias("n"))
+        if rest.isEmpty():
+            break
+        todo = rest.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part"))
+        pivots *= 8
+    parts = every.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("component", "node").alias("part"))
+    heads = parts.groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    return parts.join(heads, "part").select("doc_id", "component_id")

@@ -422,6 +422,33 @@ def test_near_copies_follow_whole_shingle_sets(spark):
     assert alike >= 0.95 * sum(len(sets(text[k]) & sets(text[1000 + k])) >= 0.8 * len(sets(text[k]) | sets(text[1000 + k])) for k in range(60)) > 10
 
 
+def copies(seed, n=24):
+    """Texts and copies of them that are cut, extended, changed in one block or all over, around the similarity asked for."""
+    rng, docs = random.Random(seed), []
+    for k in range(n):
+        words = prose(rng, rng.randint(60, 400)).split()
+        size, share = len(words), rng.choice([0.05, 0.1, 0.15, 0.18, 0.22])
+        m = int(size * share)
+        block = words[: size // 2] + [f"b{k}x{i}" for i in range(m // 2)] + words[size // 2 + m // 2 :]
+        docs += [(k * 10, words), (k * 10 + 1, words[: size - m]), (k * 10 + 2, words[m:]), (k * 10 + 3, words + prose(rng, m).split()), (k * 10 + 4, block)]
+        docs.append((k * 10 + 5, [f"s{k}x{i}" if i % 50 == 25 else w for i, w in enumerate(words)]))
+    return [(i, " ".join(w)) for i, w in docs]
+
+
+def alike(docs, similarity=0.8):
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in docs if t is not None for w in [t.lower().split()]}
+    ids = sorted(sets)
+    return [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+
+
+def test_near_copies_of_any_shape(spark):
+    from lodestrata.llm.simhash import near_copies
+
+    docs = copies(31)
+    got = {r.doc_id: r.component_id for r in near_copies(frame(spark, docs)).collect()}
+    assert got == components([i for i, _ in docs], alike(docs))
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as pipe
 
