@@ -449,6 +449,20 @@ def test_near_copies_of_any_shape(spark):
     assert got == components([i for i, _ in docs], alike(docs))
 
 
+def test_near_copies_of_the_same_words_in_other_orders(spark):
+    from lodestrata.llm.simhash import near_copies
+
+    rng = random.Random(32)
+    words = sorted(set(prose(rng, 400).split()))
+    docs = []
+    for k in range(6):
+        rng.shuffle(words)
+        other = [*words[:20], words[21], words[20], *words[22:]]
+        docs += [(k, " ".join(words)), (10 + k, " ".join(other))]
+    got = {r.doc_id: r.component_id for r in near_copies(frame(spark, docs)).collect()}
+    assert got == components([i for i, _ in docs], alike(docs)) == {i: i % 10 for i, _ in docs}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as pipe
 
