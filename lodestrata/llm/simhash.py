@@ -123,20 +123,16 @@ def _near(rows: pa.Table, radius: int) -> tuple[list[int], list[int]]:
     return left, right
 
 
-def links(nodes: DataFrame, radius: int = 3, seeds: int = 1) -> DataFrame:
+def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
     """Edges ``(a, b)`` whose components are those of all pairs of ``nodes(fp, node)`` within ``radius`` bits.
 
-    With more than one of ``seeds``, nodes have a column ``seed`` below it, and only fingerprints
-    of one seed are compared.
-
     Fingerprints within the radius agree in one of ``radius + 1`` bit blocks, so each
     block's value is a key, and each key's fingerprints are searched through their own index.
     A ball of radius 3 holds at most 43,745 fingerprints, which bounds what a search yields.
     """
     blocks = radius + 1
     width = 64 // blocks
-    seed = F.col("seed").cast("long") if seeds > 1 else F.lit(0)
-    key = F.explode(F.array(*[(F.shiftrightunsigned("fp", k * width).bitwiseAND((1 << width) - 1) * blocks + k) * seeds + seed for k in range(blocks)]))
+    key = F.explode(F.array(*[F.shiftrightunsigned("fp", k * width).bitwiseAND((1 << width) - 1) * blocks + k for k in range(blocks)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in common.grouped(batches, "key"):
@@ -170,7 +166,7 @@ DOUBT = 0.13
 #: Shingles of COMMON documents or more come last in the order of shingles, MOST of them at most, so that few prefixes hold them.
 COMMON, MOST = 64, 200_000
 #: A prefix shingle of up to SMALL texts gives all their pairs at once, a larger one more of them in each round.
-SMALL = 8
+SMALL = 64
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
@@ -343,11 +339,14 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=common.EDGE).filter(pa.array(keep, pa.bool_()))
 
     sketches = every.select("node", "sketch").dropDuplicates(["node"])
-    todo, pivots, labels = every.select("node", "whole").mapInArrow(cut, "key long, node long, n long, part long"), 1, None
+    todo, pivots, labels, tested = every.select("node", "whole").mapInArrow(cut, "key long, node long, n long, part long"), 1, None, None
     while True:
         spread = todo.repartition("key").sortWithinPartitions("key", "node")
         found = common.materialise(spread.mapInArrow(pairs(pivots), "key long, a long, b long"), "candidates")
         edges = found.where("key is null").select("a", "b").distinct()
+        if tested is not None:
+            edges = common.materialise(edges.join(tested, ["a", "b"], "left_anti"), "untested")
+        tested = edges if tested is None else tested.union(edges)
         rated = common.materialise(_sides(edges, sketches, "sketch").mapInArrow(estimate, "a long, b long, sure boolean"), "rated")
         doubtful = rated.where("not sure").select("a", "b")
         ends = doubtful.select(F.explode(F.array("a", "b")).alias("node")).distinct()

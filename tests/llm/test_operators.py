@@ -463,6 +463,20 @@ def test_near_copies_of_the_same_words_in_other_orders(spark):
     assert got == components([i for i, _ in docs], alike(docs)) == {i: i % 10 for i, _ in docs}
 
 
+def test_near_copies_in_a_large_family(spark):
+    from lodestrata.llm.simhash import near_copies
+
+    rng = random.Random(33)
+    base, docs = prose(rng, 200).split(), []
+    for k in range(150):
+        w = list(base)
+        for x in rng.sample(range(200), rng.randint(0, 9)):
+            w[x] = f"v{k}x{x}"
+        docs.append((k, " ".join(w)))
+    got = {r.doc_id: r.component_id for r in near_copies(frame(spark, docs)).collect()}
+    assert got == components([i for i, _ in docs], alike(docs))
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as pipe
 
