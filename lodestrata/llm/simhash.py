@@ -9,12 +9,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestrata.llm import common
 
 SEED = 42
-BLOCKS = 4
 FANOUT = 8
+#: Fingerprints of one block value beyond which they are dealt again by a part of their other bits.
+HOT = 20_000
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -56,7 +58,7 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
 
 
 class GrayTree:
-    """Index of fingerprints sorted by Gray rank.
+    """Index of fingerprints sorted by Gray rank, one tree for each group of consecutive ones.
 
     A node stands for FANOUT consecutive nodes of the level below and holds the bits that all
     fingerprints beneath it share (mask and pattern). Bits factored into a node aren't looked
@@ -64,30 +66,36 @@ class GrayTree:
     with all beneath it, once they exceed the radius.
     """
 
-    def __init__(self, codes: np.ndarray) -> None:
-        self.order = np.argsort(gray_rank(codes), kind="stable")
+    def __init__(self, codes: np.ndarray, sizes: np.ndarray | None = None) -> None:
+        count = np.array([len(codes)]) if sizes is None else sizes
+        self.order = np.lexsort((gray_rank(codes), np.repeat(np.arange(len(count)), count)))
         low = high = codes[self.order]
-        full = np.full(len(codes), np.uint64(0xFFFFFFFFFFFFFFFF))
-        self.levels = [(low, full)]
-        while len(low) > FANOUT:
-            at = np.arange(0, len(low), FANOUT)
+        first = np.cumsum(count) - count
+        self.levels = [(low, np.full(len(codes), np.uint64(0xFFFFFFFFFFFFFFFF)), first, count)]
+        while count.max(initial=0) > FANOUT:
+            above = -(-count // FANOUT)
+            begin = np.cumsum(above) - above
+            at = np.repeat(first, above) + FANOUT * (np.arange(above.sum()) - np.repeat(begin, above))
             low, high = np.bitwise_and.reduceat(low, at), np.bitwise_or.reduceat(high, at)
-            mask = ~(low ^ high)
-            self.levels.append((low & mask, mask))
-
-    def search(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (place in queries, place in codes) that differ in at most ``radius`` bits."""
-        pattern, mask = self.levels[-1]
-        q = np.repeat(np.arange(len(queries)), len(pattern))
-        node = np.tile(np.arange(len(pattern)), len(queries))
+            mask, first, count = ~(low ^ high), begin, above
+            self.levels.append((low & mask, mask, first, count))
+
+    def search(self, queries: np.ndarray, radius: int, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (place in queries, place in codes) that differ in at most ``radius`` bits; ``group`` is each query's group."""
+        group = np.zeros(len(queries), np.int64) if group is None else group
+        pattern, mask, first, count = self.levels[-1]
+        n = count[group]
+        q = np.repeat(np.arange(len(queries)), n)
+        node = first[group[q]] + np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n)
         found = np.bitwise_count((queries[q] ^ pattern[node]) & mask[node])
         keep = found <= radius
         q, node, found = q[keep], node[keep], found[keep]
-        for (pattern, mask), (_, above) in zip(self.levels[-2::-1], self.levels[:0:-1], strict=True):
-            child = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+        for (pattern, mask, first, count), (_, above, begin, _) in zip(self.levels[-2::-1], self.levels[:0:-1], strict=True):
+            place = ((node - begin[group[q]])[:, None] * FANOUT + np.arange(FANOUT)).ravel()
             q, parent, found = np.repeat(q, FANOUT), np.repeat(node, FANOUT), np.repeat(found, FANOUT)
-            there = child < len(pattern)
-            q, parent, found, child = q[there], parent[there], found[there], child[there]
+            there = place < count[group[q]]
+            q, parent, found, place = q[there], parent[there], found[there], place[there]
+            child = first[group[q]] + place
             found = found + np.bitwise_count((queries[q] ^ pattern[child]) & mask[child] & ~above[parent])
             keep = found <= radius
             q, node, found = q[keep], child[keep], found[keep]
@@ -95,52 +103,64 @@ class GrayTree:
 
 
 def _near(rows: pa.Table, radius: int) -> tuple[list[int], list[int]]:
-    """Edges between nodes of equal key within the radius; large groups give a spanning forest only."""
+    """A spanning forest of the pairs of nodes of equal key within the radius, every group searched through its Gray tree."""
     key = rows.column("key").to_numpy()
-    fp = rows.column("fp").to_numpy().view(np.uint64)
-    node = rows.column("node").to_numpy()
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
-    left, right = [], []
-    small = np.repeat(sizes <= 64, sizes)
-    for step in range(1, min(64, int(sizes.max()))):
-        at = np.flatnonzero((key[step:] == key[:-step]) & small[step:])
-        if not len(at):
-            break
-        at = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= radius]
-        left += node[at].tolist()
-        right += node[at + step].tolist()
-    for start, size in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
-        codes, ids = fp[start : start + size], node[start : start + size]
-        tree, uf = GrayTree(codes), common.UnionFind()
-        for k in range(0, size, 128):
-            q, found = tree.search(codes[k : k + 128], radius)
-            q = q + k
-            for a, b in zip(ids[q[found > q]].tolist(), ids[found[found > q]].tolist(), strict=True):
-                if uf.link(a, b):
-                    left.append(a)
-                    right.append(b)
+    several = np.repeat(sizes > 1, sizes)
+    fp = rows.column("fp").to_numpy().view(np.uint64)[several]
+    node = rows.column("node").to_numpy()[several]
+    sizes = sizes[sizes > 1]
+    left: list[int] = []
+    right: list[int] = []
+    if not len(fp):
+        return left, right
+    tree, uf = GrayTree(fp, sizes), common.UnionFind()
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    reach = np.cumsum(sizes[group])  # a query meets its group at most
+    k = 0
+    while k < len(fp):
+        stop = max(k + 1, int(np.searchsorted(reach, (reach[k - 1] if k else 0) + (1 << 22), "right")))
+        q, found = tree.search(fp[k:stop], radius, group[k:stop])
+        q = q + k
+        for a, b in zip(node[q[found > q]].tolist(), node[found[found > q]].tolist(), strict=True):
+            if uf.link(a, b):
+                left.append(a)
+                right.append(b)
+        k = stop
     return left, right
 
 
-def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
+def links(nodes: DataFrame, radius: int = 3, hot: int = HOT) -> DataFrame:
     """Edges ``(a, b)`` whose components are those of all pairs of ``nodes(fp, node)`` within ``radius`` bits.
 
-    Fingerprints within the radius agree in one of ``radius + 1`` bit blocks, so each
-    block's value is a key, and each key's fingerprints are searched through their own index.
-    A ball of radius 3 holds at most 43,745 fingerprints, which bounds what a search yields.
+    Fingerprints within the radius agree in one of ``radius + 1`` bit blocks, so each block's
+    value is a key, and each key's fingerprints are searched through their own index. Those of
+    a key of more than ``hot`` are dealt once more by the blocks of their other bits, one of
+    which agrees again. A ball of radius 3 holds at most 43,745 fingerprints, which bounds what
+    a search yields. The counts that are broadcast are of block values, 2^18 at most.
     """
     blocks = radius + 1
     width = 64 // blocks
-    key = F.explode(F.array(*[F.shiftrightunsigned("fp", k * width).bitwiseAND((1 << width) - 1) * blocks + k for k in range(blocks)]))
+    fine = (64 - width) // blocks
+    keys, subs = [], []
+    for k in range(blocks):
+        keys.append(F.shiftrightunsigned("fp", k * width).bitwiseAND((1 << width) - 1) * blocks + k)
+        low = F.col("fp").bitwiseAND((1 << k * width) - 1)
+        high = F.shiftleft(F.shiftrightunsigned("fp", (k + 1) * width), k * width) if (k + 1) * width < 64 else F.lit(0).cast("long")
+        others = low.bitwiseOR(high)
+        subs.append(F.array(*[F.shiftrightunsigned(others, j * fine).bitwiseAND((1 << fine) - 1) * blocks + j + 1 for j in range(blocks)]))
+    spread = nodes.select(F.explode(F.array(*[F.struct(a.alias("block"), b.alias("subs")) for a, b in zip(keys, subs, strict=True)])).alias("k"), "fp", "node").select("k.*", "fp", "node")
+    crowded = spread.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("block", F.lit(True).alias("crowded"))
+    dealt = spread.join(F.broadcast(crowded), "block", "left").withColumn("sub", F.explode(F.when(F.col("crowded"), F.col("subs")).otherwise(F.array(F.lit(0).cast("long")))))
+    keyed = dealt.select((F.shiftleft(F.col("block"), 32) + F.col("sub")).alias("key"), "fp", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in common.grouped(batches, "key"):
             a, b = _near(rows, radius)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=common.EDGE)
 
-    spread = nodes.select(key.alias("key"), "fp", "node").repartition("key").sortWithinPartitions("key")
-    return spread.mapInArrow(run, "a long, b long")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
@@ -159,41 +179,61 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
     return fps.join(known, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-#: Shingle hashes kept for the first check of a pair.
-SKETCH = 200
-#: Sketches decide a pair whose estimate lies further than this from the similarity asked for (over four standard errors).
-DOUBT = 0.13
+#: Sets of SURE shingles or more whose fingerprints differ in over WIDE bits aren't compared. Sets alike in 0.8 differ in
+#: 9.7 bits of 64 on average (deviation 2.9), so one such pair in ten million is missed.
+WIDE, SURE = 26, 32
 #: Shingles of COMMON documents or more come last in the order of shingles, MOST of them at most, so that few prefixes hold them.
 COMMON, MOST = 64, 200_000
-#: A prefix shingle of up to SMALL texts gives all their pairs at once, a larger one more of them in each round.
+#: A prefix shingle of up to SMALL texts gives all their pairs; of a larger group, all are compared with its first text,
+#: and in a second round those that aren't joined to the group's largest component with all others.
 SMALL = 64
+#: Prefix shingles that a task holds before it deals them, and that a range of them holds on average.
+RUN = 1 << 20
+#: Texts of a large group that one task of the second round compares with the group's outsiders.
+BLOCK = 4096
+PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(text: str | None, words: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word shingles; a text of fewer words is one shingle."""
-    ws = (text or "").encode().lower().split()
-    joined = map(b" ".join, zip(*(ws[k:] for k in range(words)), strict=False)) if len(ws) >= words else [b" ".join(ws)]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in joined), dtype=np.uint64))
+class Hashes(dict):
+    """64-bit hashes of words, computed once for each while there is room."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return found
 
-def sketch(whole: np.ndarray) -> bytes:
-    """The SKETCH smallest 32-bit hashes of a shingle set."""
-    return np.unique(whole.astype(np.uint32))[:SKETCH].tobytes()
 
+_HASHES = Hashes()
 
-def resemblance(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two shingle sets from their smallest hashes; exact for sets no larger than SKETCH."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    union = np.union1d(x, y)
-    union = union[: SKETCH if max(len(x), len(y)) >= SKETCH else len(union)]
-    return len(np.intersect1d(np.intersect1d(x, y, True), union, True)) / max(1, len(union))
 
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's word shingles; a text of fewer words is one shingle."""
+    ws = (text or "").encode().lower().split()
+    h = np.fromiter(map(_HASHES.__getitem__, ws), np.uint64, len(ws))
+    span = min(words, len(ws))
+    n = max(1, len(ws) - words + 1)
+    x = np.full(n, span, np.uint64)
+    for k in range(span):
+        x = x * PRIME + h[k : k + n]
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    return np.unique(x ^ (x >> np.uint64(31)))
+
+
+def set_fingerprint(whole: np.ndarray) -> int:
+    """64-bit SimHash of a shingle set, unsigned."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(whole), 1 << 16):
+        ones += np.unpackbits(whole[k : k + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(whole)).tobytes(), "big")
 
-def jaccard(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two whole shingle sets."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    both = len(np.intersect1d(x, y, True))
-    return both / max(1, len(x) + len(y) - both)
+
+def identity(whole: np.ndarray) -> int:
+    """The node of a shingle set, as a signed long."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(whole.tobytes())).astype(np.int64))
 
 
 def prefix(whole: np.ndarray, similarity: float, late: np.ndarray) -> np.ndarray:
@@ -213,153 +253,287 @@ def prefix(whole: np.ndarray, similarity: float, late: np.ndarray) -> np.ndarray
     return np.r_[whole[~behind], whole[behind][order]][:size]
 
 
-def _pairs(rows: pa.Table, similarity: float, pivots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (a, b) of nodes of one key, and places of rows that further rounds must look at.
+MARK = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("fp", pa.int64())])
 
-    A key of up to SMALL nodes gives all pairs, a larger one those of its first ``pivots`` nodes;
-    these are then done with. Pairs within a component or of sizes too different don't count.
-    """
-    key, node, n, part = (rows.column(x).to_numpy() for x in ("key", "node", "n", "part"))
-    new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]  # a text repeated in another task
-    at = np.flatnonzero(new)
-    key, node, n, part = key[at], node[at], n[at], part[at]
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    sizes = np.diff(np.r_[starts, len(key)])
-    apart = np.minimum.reduceat(part, starts) != np.maximum.reduceat(part, starts)
-    place = np.arange(len(key)) - np.repeat(starts, sizes)
-    big = np.repeat(sizes > SMALL, sizes)
-    left, right = [], []
-
-    def add(i: np.ndarray, j: np.ndarray) -> None:
-        ok = (part[i] != part[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6)
-        left.append(i[ok])
-        right.append(j[ok])
-
-    use = np.repeat(apart, sizes)
-    for step in range(1, SMALL):
-        j = np.flatnonzero(use & ~big & (place >= step))
-        add(j - step, j)
-    for k in range(min(pivots, int(sizes.max()) - 1)):
-        j = np.flatnonzero(use & big & (place > k))
-        add(j - place[j] + k, j)
-    i, j = np.concatenate(left), np.concatenate(right)
-    found = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1), axis=0)
-    later = at[use & big & (place >= pivots) & (np.repeat(sizes, sizes) - pivots > 1)]
-    return found[:, 0], found[:, 1], later
-
-
-def _sides(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
-    """``pairs(a, b)`` with the value of either end."""
-    side = lambda x: values.select(F.col("node").alias(x), F.col(name).alias(f"s{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
-
-
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``(doc_id, component_id)`` of documents alike in ``similarity`` or more of their ``words``-word shingles.
-
-    Texts of equal shingle sets are one node. Candidates are all nodes that share a shingle of
-    their prefixes, so every pair of ``similarity`` or more is one, whatever was changed. Sketches
-    of their shingles decide the clear pairs, whole sets those within DOUBT of ``similarity``.
-    A shingle in many prefixes is worked through in rounds, each of which tests some of its nodes
-    against all others; only pairs that passed are joined, and what is joined isn't tested again.
-    Null and empty texts are copies of each other; rows with a null doc_id are left out; repeated
-    rows stay repeated; an empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    common.small_batches(spark)
-    names = ["doc_id", "node", "n", "sketch", "whole"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each document; without a doc_id: how many of a run of documents hold a shingle (node)."""
-        held, size = [], 0
+def _marks(words: int):
+    """Rows of kind 0: a document's shingle set (node), its size n and fingerprint; of kind 1: how many (n) of a run of documents hold a shingle (node)."""
 
-        def often() -> pa.RecordBatch:
-            h, times = np.unique(np.concatenate(held), return_counts=True)
-            some = times > 2
-            return pa.RecordBatch.from_arrays([pa.nulls(int(some.sum()), pa.int64()), pa.array(h[some].view(np.int64)), pa.array(times[some].astype(np.int64)), pa.nulls(int(some.sum()), pa.binary()), pa.nulls(int(some.sum()), pa.binary())], names=names)
+    def often(held: list[np.ndarray]) -> pa.RecordBatch:
+        h, times = np.unique(np.concatenate(held), return_counts=True)
+        some = times > 2
+        n = int(some.sum())
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(h[some].view(np.int64)), pa.array(times[some].astype(np.int64)), pa.nulls(n, pa.int64())], schema=MARK)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             sets = [shingles(t, words) for t in common.texts(batch)]
-            wholes = [s.tobytes() for s in sets]
-            nodes = np.array([xxhash.xxh3_64_intdigest(w) for w in wholes], np.uint64).view(np.int64)
-            columns = [batch.column("doc_id"), nodes, [len(s) for s in sets], [sketch(s) for s in sets], wholes]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            fps = np.array([set_fingerprint(s) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), batch.column("doc_id"), batch.column("text_hash"), pa.array([identity(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps)], schema=MARK)
             held += sets
             size += sum(map(len, sets))
             if size > 1 << 22:
-                yield often()
+                yield often(held)
                 held, size = [], 0
         if held:
-            yield often()
+            yield often(held)
 
-    made = common.materialise(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(read, "doc_id long, node long, n long, sketch binary, whole binary"), "shingle-sets")
-    every = made.where("doc_id is not null")
-    often = made.where("doc_id is null").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "node").limit(MOST).toArrow()
-    late = np.zeros(often.num_rows, [("hash", np.uint64), ("place", np.int64)])
-    late["hash"] = often.column("node").to_numpy().view(np.uint64)
-    late["place"] = np.arange(len(late), 0, -1)
-    held = spark.sparkContext.broadcast(np.sort(late, order="hash"))
+    return run
+
+
+DEALT = pa.schema([("range", pa.int64()), ("kind", pa.int32()), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary())])
+ALONE, CROWD, PAIR, LATER = range(4)
+
+
+def _stars(keys: np.ndarray, nodes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(block, a, b): each group's first node with its others, blocks of up to 256 of them."""
+    place = np.arange(len(keys)) - np.repeat(starts, sizes)
+    some = place > 0
+    with np.errstate(over="ignore"):
+        block = (keys.view(np.uint64) * PRIME + (place >> 8).astype(np.uint64)).view(np.int64)
+    return block[some], np.repeat(nodes[starts], sizes)[some], nodes[some]
+
+
+def _sorted_groups(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, node) in order, with starts and sizes of the keys' groups."""
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    if len(keys):
+        new = np.r_[True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])]
+        keys, nodes = keys[new], nodes[new]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys, nodes, starts, np.diff(np.r_[starts, len(keys)])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+
+def _deal(words: int, similarity: float, late, ranges: int, small: int, most: int):
+    """Prefix shingles with their nodes, dealt to ranges of shingles as packed arrays.
+
+    A shingle that over ``small`` texts of one run hold leaves the run as its first node alone
+    (CROWD): the others are paired with that one (PAIR) and wait for the second round (LATER).
+    """
+
+    def packed(held: list[tuple[np.ndarray, int]], run: int) -> pa.RecordBatch:
+        keys = np.concatenate([k for k, _ in held]).view(np.int64)
+        nodes = np.repeat(np.array([n for _, n in held], np.int64), [len(k) for k, _ in held])
+        keys, nodes, starts, sizes = _sorted_groups(keys, nodes)
+        rows = []
+        large = np.repeat(sizes > small, sizes)
+        if large.any():
+            k, n = keys[large], nodes[large]
+            own = sizes[sizes > small]
+            first = np.cumsum(own) - own
+            rows.append((run % ranges, PAIR, *(v.tobytes() for v in _stars(k, n, first, own))))
+            rows.append((run % ranges, LATER, k.tobytes(), n.tobytes(), None))
+        for kind, k, n in ((ALONE, keys[~large], nodes[~large]), (CROWD, keys[starts[sizes > small]], nodes[starts[sizes > small]])):
+            place = (k.view(np.uint64) % np.uint64(ranges)).astype(np.int64)
+            order = np.argsort(place, kind="stable")
+            cuts = np.searchsorted(place[order], np.arange(ranges + 1))
+            for r in np.flatnonzero(np.diff(cuts)).tolist():
+                part = order[cuts[r] : cuts[r + 1]]
+                rows.append((r, kind, k[part].tobytes(), n[part].tobytes(), None))
+        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], DEALT.types[j]) for j in range(5)], schema=DEALT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, seen, size = [], set(), 0
         for batch in batches:
-            keys, nodes, sizes = [], [], []
-            for node, whole in zip(batch.column("node").to_pylist(), batch.column("whole"), strict=True):
+            for text in common.texts(batch):
+                s = shingles(text, words)
+                node = identity(s)
                 if node not in seen:
                     seen.add(node)
-                    s = np.frombuffer(whole.as_buffer(), np.uint64)
-                    keys.append(prefix(s, similarity, held.value))
-                    nodes.append(node)
-                    sizes.append(len(s))
-            times = [len(k) for k in keys]
-            node = np.repeat(np.array(nodes, np.int64), times)
-            key = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, node, np.repeat(np.array(sizes, np.int64), times), node)], names=["key", "node", "n", "part"])
-
-    def pairs(pivots: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows in common.grouped(batches, "key"):
-                a, b, later = _pairs(rows, similarity, pivots)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], names=["key", "a", "b"])
-                rest = rows.take(pa.array(later)).select(["key", "node", "n"]).rename_columns(["key", "a", "b"])
-                yield from rest.to_batches()
-
-        return run
-
-    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                    held.append((prefix(s, similarity, late.value), node))
+                    size += len(held[-1][0])
+                if size >= most:
+                    yield packed(held, hash(node))
+                    held, seen, size = [], set(), 0
+        if held:
+            yield packed(held, hash(held[-1][1]))
+
+    return run
+
+
+MET = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+
+def _meet(small: int):
+    """Rows of kind PAIR: (block, a, b) to compare; of kind LATER: a node (a) of a large group (key)."""
+
+    def out(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(a), pa.nulls(len(key), pa.int64()) if b is None else pa.array(b)], schema=MET)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in common.grouped(batches, "range", 1):
+            kinds = rows.column("kind").to_pylist()
+            cells = [rows.column(c).to_pylist() for c in "xyz"]
+            array = lambda c, *which: np.frombuffer(b"".join(cells[c][k] for k, x in enumerate(kinds) if x in which), np.int64)  # noqa: E731, B023
+            yield out(PAIR, array(0, PAIR), array(1, PAIR), array(2, PAIR))
+            yield out(LATER, array(0, LATER), array(1, LATER), None)
+            keys, nodes, starts, sizes = _sorted_groups(array(0, ALONE, CROWD), array(1, ALONE, CROWD))
+            large = (sizes > small) | np.isin(keys[starts], np.unique(array(0, CROWD)))
+            each = np.repeat(large, sizes)
+            if each.any():
+                k, n, own = keys[each], nodes[each], sizes[large]
+                yield out(PAIR, *_stars(k, n, np.cumsum(own) - own, own))
+                yield out(LATER, k, n, None)
+            few = np.repeat(~large & (sizes > 1), sizes)
+            place = np.arange(len(keys)) - np.repeat(starts, sizes)
+            for step in range(1, int(sizes[~large].max(initial=1))):
+                j = np.flatnonzero(few & (place >= step))
+                if len(j):
+                    yield out(PAIR, keys[j], nodes[j - step], nodes[j])
+
+    return run
+
+
+def _cross(similarity: float):
+    """(block, a, b): outsiders of large groups with all others of their groups that may be alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in common.grouped(batches, "group"):
+            group, node, n, fp, part, salts, salt = (rows.column(c).to_numpy() for c in ("group", "node", "n", "fp", "part", "salts", "salt"))
+            fp, outside = fp.view(np.uint64), rows.column("outside").to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            found = []
+            for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(group)], strict=True):
+                own = slice(start, stop)
+                outs = np.flatnonzero(outside[own]) + start
+                home = np.mod(node, salts) == salt
+                for k in range(0, len(outs), 64):
+                    i = outs[k : k + 64]
+                    near = part[i][:, None] != part[own][None]
+                    near &= np.minimum(n[i][:, None], n[own][None]) >= similarity * np.maximum(n[i][:, None], n[own][None]) - 1e-6
+                    near &= (np.minimum(n[i][:, None], n[own][None]) < SURE) | (np.bitwise_count(fp[i][:, None] ^ fp[own][None]) <= WIDE)
+                    near &= ~outside[own][None] | ((node[i][:, None] < node[own][None]) & home[i][:, None])
+                    x, y = np.nonzero(near)
+                    a, b = node[i[x]], node[y + start]
+                    with np.errstate(over="ignore"):
+                        block = ((np.uint64(group[start].view(np.uint64)) + np.uint64(k)) * PRIME + (y >> 8).astype(np.uint64)).view(np.int64)
+                    found.append(np.stack([np.minimum(a, b), np.maximum(a, b), block], axis=1))
+            if found:
+                every = np.concatenate(found)
+                every = every[np.lexsort((every[:, 2], every[:, 1], every[:, 0]))]
+                new = np.r_[True, (every[1:, :2] != every[:-1, :2]).any(axis=1)][: len(every)]
+                every = every[new]
+                yield pa.RecordBatch.from_arrays([pa.array(every[:, 2]), pa.array(every[:, 0]), pa.array(every[:, 1])], names=["key", "a", "b"])
+
+    return run
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of ``pairs(key, a, b)`` whose whole shingle sets are alike; a set is sent once to each block (key) of pairs that needs it."""
+    pairs = common.materialise(pairs, "pairs")
+    need = pairs.select("key", F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = need.select("node").distinct().join(nodes, "node").select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
+    wanted = texts.join(ends, (F.col("text_hash") == F.col("rep_hash")) & F.col("doc_id").eqNullSafe(F.col("rep_id")), "left_semi").select("text")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alike = np.array([resemblance(x, y) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)])
-            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(alike >= similarity + DOUBT)], names=["a", "b", "sure"])
-            yield out.filter(pa.array(alike >= similarity - DOUBT))
+            sets = [shingles(t, words) for t in common.texts(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array([identity(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "whole"])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, {}
         for batch in batches:
-            keep = [jaccard(x, y) >= similarity for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=common.EDGE).filter(pa.array(keep, pa.bool_()))
-
-    sketches = every.select("node", "sketch").dropDuplicates(["node"])
-    todo, pivots, labels, tested = every.select("node", "whole").mapInArrow(cut, "key long, node long, n long, part long"), 1, None, None
-    while True:
-        spread = todo.repartition("key").sortWithinPartitions("key", "node")
-        found = common.materialise(spread.mapInArrow(pairs(pivots), "key long, a long, b long"), "candidates")
-        edges = found.where("key is null").select("a", "b").distinct()
-        if tested is not None:
-            edges = common.materialise(edges.join(tested, ["a", "b"], "left_anti"), "untested")
-        tested = edges if tested is None else tested.union(edges)
-        rated = common.materialise(_sides(edges, sketches, "sketch").mapInArrow(estimate, "a long, b long, sure boolean"), "rated")
-        doubtful = rated.where("not sure").select("a", "b")
-        ends = doubtful.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        whole = every.select("node", "whole").join(ends, "node", "left_semi").dropDuplicates(["node"])
-        alike = rated.where("sure").select("a", "b").union(_sides(doubtful, whole, "whole").mapInArrow(decide, "a long, b long"))
-        if labels is not None:
-            alike = alike.union(labels.select(F.col("component").alias("a"), F.col("node").alias("b")))
-        labels = common.components(alike)
-        rest = found.where("key is not null").select("key", F.col("a").alias("node"), F.col("b").alias("n"))
-        if rest.isEmpty():
-            break
-        todo = rest.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part"))
-        pivots *= 8
-    parts = every.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("component", "node").alias("part"))
-    heads = parts.groupBy("part").agg(F.min("doc_id").alias("component_id"))
-    return parts.join(heads, "part").select("doc_id", "component_id")
+            found = []
+            for key, whole, a, b in zip(*(batch.column(c).to_pylist() for c in ("key", "whole", "a", "b")), strict=True):
+                if key != at:
+                    at, held = key, {}
+                if whole is not None:
+                    held[a] = set(np.frombuffer(whole, np.uint64).tolist())
+                    continue
+                x, y = held[a], held[b]
+                both = len(x & y)
+                if both >= similarity * (len(x) + len(y) - both) - 1e-9:
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=common.EDGE)
+
+    sets = need.join(wanted.mapInArrow(read, "node long, whole binary"), "node").select("key", "whole", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"))
+    both = sets.union(pairs.select("key", F.lit(None).cast("binary"), "a", "b"))
+    return both.repartition("key").sortWithinPartitions("key", F.col("whole").isNull()).mapInArrow(decide, "a long, b long")
+
+
+def _worth_it(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Distinct ``pairs(key, a, b)`` of different parts whose sizes and fingerprints allow ``similarity``; ``nodes(node, n, fp, part)``."""
+    side = lambda x: nodes.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "fp", "part")))
+    one = pairs.select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").groupBy("a", "b").agg(F.min("key").alias("key"))
+    least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    near = (least < SURE) | (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= WIDE)
+    return one.join(side("a"), "a").join(side("b"), "b").where((F.col("part_a") != F.col("part_b")) & (least >= similarity * most - 1e-6) & near).select("key", "a", "b")
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, small: int = SMALL, run: int = RUN, block: int = BLOCK) -> DataFrame:
+    """``(doc_id, text_hash, component_id, kept)`` for every document, joining those alike in ``similarity`` or more of their ``words``-word shingles.
+
+    ``component_id`` is the smallest doc_id reachable, ``kept`` tells the one document of each
+    component that has it (of several texts under one doc_id, the one of smallest
+    ``text_hash``, which is ``xxhash64`` of the text with null as empty).
+
+    Texts of equal shingle sets are one node. SimHashes of the sets that differ in three bits or
+    less, found through the Gray-order index, are compared first, and what is alike is joined.
+    A similarity of 0.8 may differ in ten bits, which no index of 64 bits reaches, so for the
+    rest all nodes are compared that share a shingle of their prefixes, which no pair of
+    ``similarity`` or more can avoid, and whose fingerprints differ in at most WIDE bits. Whole
+    shingle sets decide every pair. Null and empty texts are copies of each other; rows with a
+    null doc_id take part, and are kept only if no row of their component has a doc_id; repeated
+    rows stay repeated; an empty table gives no rows. ``small``, ``run`` and ``block`` (SMALL,
+    RUN, BLOCK) deal out the work and don't change results.
+    """
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
+    made = common.materialise(texts.mapInArrow(_marks(words), "kind int, doc_id long, text_hash long, node long, n long, fp long"), "marks")
+    every = made.where("kind = 0")
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "text_hash"))
+    nodes = common.materialise(every.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), head.alias("rep")), "nodes")
+    parted = lambda labels: nodes.join(labels, "node", "left").select("node", "n", "fp", F.coalesce("component", "node").alias("part"))
+    stars = lambda labels: labels.select(F.col("component").alias("a"), F.col("node").alias("b"))
+
+    firsts = nodes.groupBy("fp").agg(F.min("node").alias("node"))
+    equal = nodes.select("fp", F.col("node").alias("b")).join(firsts.withColumnRenamed("node", "a"), "fp").select("a", "b")
+    close = equal.union(links(firsts)).select(F.xxhash64("a", F.pmod("b", F.lit(1024))).alias("key"), "a", "b")
+    labels = common.components(_compared(_worth_it(close, nodes.withColumn("part", F.col("node")), similarity), texts, nodes, words, similarity))
+
+    often = made.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "node").limit(MOST).toArrow()
+    late = np.zeros(often.num_rows, [("hash", np.uint64), ("place", np.int64)])
+    late["hash"] = often.column("node").to_numpy().view(np.uint64)
+    late["place"] = np.arange(len(late), 0, -1)
+    held = spark.sparkContext.broadcast(np.sort(late, order="hash"))
+    keys = nodes.agg(F.sum(F.col("n") * (1 - similarity) + 1)).first()[0] or 0
+    ranges = max(spark.sparkContext.defaultParallelism, int(keys) // run + 1)
+    dealt = texts.select("text").mapInArrow(_deal(words, similarity, held, ranges, small, run), "range long, kind int, x binary, y binary, z binary")
+    met = common.materialise(dealt.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(_meet(small), "kind int, key long, a long, b long"), "met")
+    alike = _compared(_worth_it(met.where(F.col("kind") == PAIR), parted(labels), similarity), texts, nodes, words, similarity)
+    labels = common.components(alike.union(stars(labels)))
+
+    late_rows = met.where(F.col("kind") == LATER).select("key", F.col("a").alias("node")).distinct()
+    if not late_rows.isEmpty():
+        waiting = common.materialise(late_rows.join(parted(labels), "node").select("key", "node", "n", "fp", "part"), "waiting")
+        shares = waiting.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c"))
+        tops = shares.groupBy("key").agg(F.sum("c").alias("total"), F.max_by("part", F.struct("c", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        salts = F.ceil(F.col("total") / block).cast("long")
+        apart = waiting.join(tops, "key").select("key", "node", "n", "fp", "part", (F.col("part") != F.col("main")).alias("outside"), salts.alias("salts"))
+        place = F.when(F.col("outside"), F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).otherwise(F.array(F.pmod("node", "salts")))
+        grouped = apart.withColumn("salt", F.explode(place)).withColumn("group", F.xxhash64("key", "salt"))
+        pairs = grouped.repartition("group").sortWithinPartitions("group", "node").mapInArrow(_cross(similarity), "key long, a long, b long")
+        alike = _compared(_worth_it(pairs, parted(labels), similarity), texts, nodes, words, similarity)
+        labels = common.components(alike.union(stars(labels)))
+    parts = every.select("doc_id", "text_hash", "node").join(labels, "node", "left").select("doc_id", "text_hash", F.coalesce("component", "node").alias("part"))
+    heads = parts.groupBy("part").agg(head.alias("head"))
+    kept = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash"))
+    return parts.join(heads, "part").select("doc_id", "text_hash", F.col("head.doc_id").alias("component_id"), kept.alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of ``docs`` for each component of :func:`near_copies`, whatever other columns there are.
+
+    Of repeated rows (one doc_id and text) that with the smallest hash of all its columns stays.
+    Texts move only where Spark must join them with many removed rows.
+    """
+    fates = near_copies(docs, words, similarity).groupBy("doc_id", "text_hash").agg(F.max("kept").alias("_near_kept"), F.count(F.lit(1)).alias("_near_n")).where("not _near_kept or _near_n > 1")
+    fates = common.materialise(fates.select(F.col("doc_id").alias("_near_id"), F.col("text_hash").alias("_near_hash"), "_near_kept", "_near_n"), "fates")
+    hashed = docs.withColumn("_near_text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    judged = hashed.join(fates, (F.col("_near_text") == F.col("_near_hash")) & F.col("doc_id").eqNullSafe(F.col("_near_id")), "left")
+    order = Window.partitionBy("doc_id", "_near_text").orderBy(F.xxhash64(*docs.columns))
+    once = judged.where("_near_kept").withColumn("_near_row", F.row_number().over(order)).where("_near_row = 1")
+    return judged.where("_near_kept is null").select(*docs.columns).union(once.select(*docs.columns))

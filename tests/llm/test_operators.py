@@ -511,3 +511,72 @@ def test_front_coded_run_round_trip():
     assert run.text == [r.tobytes() for r in s.right] == sorted(run.text)
     assert run.lcp == common_prefixes(s.right).tolist()
     assert (run.left_rows(reach) == s.left).all() and (run.k == s.k).all()
+
+
+def test_gray_trees_of_groups():
+    from lodestrata.llm.simhash import GrayTree
+
+    rng = np.random.default_rng(41)
+    sizes = np.array([1, 0, 90, 3, 700, 8])
+    codes = rng.integers(0, 1 << 12, int(sizes.sum()), dtype=np.uint64) << np.uint64(20)
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    q, found = GrayTree(codes, sizes).search(codes, 3, group)
+    near = (np.bitwise_count(codes[:, None] ^ codes[None]) <= 3) & (group[:, None] == group[None])
+    assert sorted(zip(q.tolist(), found.tolist(), strict=True)) == sorted(zip(*(x.tolist() for x in np.nonzero(near)), strict=True))
+
+
+@pytest.mark.parametrize("hot", [3, 10**6])
+def test_links_of_large_and_hot_groups(spark, hot):
+    from lodestrata.llm.simhash import links
+
+    rng = np.random.default_rng(42)
+    centre = rng.integers(0, 1 << 62, 6, dtype=np.uint64)
+    codes = np.unique(np.concatenate([c ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (5, 120), dtype=np.uint64)) for c in centre]))
+    codes = np.unique(np.r_[codes, codes[:200] ^ np.uint64(5), codes[:200] ^ np.uint64(1 << 63)])
+    rows = [(int(c), k) for k, c in enumerate(codes.view(np.int64).tolist())]
+    edges = links(spark.createDataFrame([(c, k) for k, c in enumerate(codes.view(np.int64).tolist())], "fp long, node long"), hot=hot).collect()
+    near = np.argwhere(np.triu(np.bitwise_count(codes[:, None] ^ codes[None]) <= 3, 1)).tolist()
+    ids = list(range(len(rows)))
+    assert all(np.bitwise_count(codes[e.a] ^ codes[e.b]) <= 3 for e in edges)
+    assert components(ids, [(e.a, e.b) for e in edges]) == components(ids, near)
+
+
+def test_simhash_of_rows_without_id(spark):
+    from lodestrata.llm.simhash import near_duplicates
+
+    got = near_duplicates(frame(spark, [(None, "a b c d"), (None, "x y z w"), (3, "a b c d"), (3, "a b c d"), (4, "q")])).collect()
+    fps = {t: brute_fingerprint(t) for t in ("a b c d", "x y z w", "q")}
+    assert sorted((r.doc_id or 0, r.fp & (2**64 - 1), r.component_id or 0) for r in got) == sorted([(0, fps["a b c d"], 3), (0, fps["x y z w"], 0), (3, fps["a b c d"], 3), (3, fps["a b c d"], 3), (4, fps["q"], 4)])
+
+
+def test_drop_near_copies_keeps_one_of_each(spark):
+    from lodestrata.llm.simhash import drop_near_copies
+
+    rng = random.Random(43)
+    a, b, c, d = (prose(rng, 80) for _ in range(4))
+    rows = [(1, a, 1, True), (1, a, 2, False), (1, b, 3, None), (2, a.upper(), 4, None), (3, b, 5, None), (None, c, 6, None), (None, d, 7, None), (9, d, 8, None), (5, None, 9, None), (6, "", 10, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node long, kept boolean")
+    got = drop_near_copies(docs)
+    assert got.columns == docs.columns
+    kept = sorted((r.doc_id or 0, r.text or "") for r in got.collect())
+    assert kept == sorted([(1, a), (1, b), (0, c), (9, d), (5, "")])
+    assert drop_near_copies(docs.limit(0)).count() == 0
+    once = drop_near_copies(docs.repartition(3)).where("doc_id = 1").collect()
+    assert sorted(r.node for r in once) == sorted(r.node for r in got.where("doc_id = 1").collect())
+
+
+def test_near_copies_across_the_border_of_large_groups(spark):
+    from lodestrata.llm.simhash import near_copies
+
+    rng = random.Random(44)
+    base, docs = prose(rng, 120).split(), []
+    for k in range(90):  # a family of which many pairs lie below the similarity asked for
+        w = list(base)
+        for x in rng.sample(range(120), rng.randint(0, 7)):
+            w[x] = f"v{k}x{x}"
+        docs.append((k, " ".join(w)))
+    docs += [(200 + k, prose(rng, 30)) for k in range(20)]
+    want = components([i for i, _ in docs], alike(docs))
+    for small, run, block in ((64, 1 << 20, 4096), (4, 1 << 20, 16), (3, 200, 8)):
+        got = near_copies(frame(spark, docs), small=small, run=run, block=block)
+        assert {r.doc_id: r.component_id for r in got.collect()} == want
