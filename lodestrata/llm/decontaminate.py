@@ -12,26 +12,42 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import common
 
-#: Benchmark text that one round holds on the driver and broadcasts; a larger benchmark takes several rounds.
-BLOCK_BYTES = 256 << 10
-PASSAGE, STRIDE = 60, 32
-RANK, EXTRA = 256, 8
+#: Longer items count by passages of PASSAGE words. Documents are read in chunks of CHUNK words, passages are runs of chunks.
+PASSAGE, CHUNK = 60, 16
+#: Words that a paraphrase may have beyond those of its item, as a share of them.
+SLACK = 0.15
+#: Chunks of the passages that are factorised.
+ROW = 4
+RANK, EXTRA = 128, 8
+#: Rows of the basis; the words of a benchmark of more distinct ones share rows.
+SLOTS = 1 << 16
 #: Weight of benchmark passages among the rows of the factorised matrix.
 OWN_WEIGHT = 10.0
-#: A passage is looked at if it holds LEAST words that are among the TELLING rarest of benchmark passages; rare are words of RARE of the documents.
-TELLING, LEAST, RARE = 8, 4, 0.005
-COSINE, COMMON, ANSWER, CONTENT = 0.15, 0.7, 0.5, 0.6
+#: Benchmark passages that one round of the search holds.
+BLOCK = 8192
+#: Least cosine of a candidate; least shares of an item's words in order, of its last third, and of its rarer words.
+COSINE, COMMON, ANSWER, CONTENT = 0.3, 0.7, 0.5, 0.6
 WORD = re.compile(r"\w+")
 
 
+def words(text: str | None) -> list[str]:
+    return WORD.findall((text or "").lower())
+
+
+def span(length: int) -> int:
+    """Chunks that hold a paraphrase of an item of ``length`` words wherever it starts in the first."""
+    return -(-(CHUNK - 1 + int(np.ceil((1 + SLACK) * length))) // CHUNK)
+
+
 class Benchmark:
-    """Passages of a block of benchmark items as term ids."""
+    """The distinct words of a benchmark, its frequent ones, and passages of items as word numbers."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.vocab: dict[str, int] = {}
-        self.item, self.terms = [], []
+        self.item: list[int] = []
+        self.terms: list[np.ndarray] = []
         for item_id, text in items:
-            ids = np.array([self.vocab.setdefault(w, len(self.vocab)) for w in WORD.findall((text or "").lower())], np.int32)
+            ids = np.array([self.vocab.setdefault(w, len(self.vocab)) for w in words(text)], np.int32)
             starts = [0] if len(ids) <= PASSAGE else [*range(0, len(ids) - PASSAGE, PASSAGE), len(ids) - PASSAGE]
             for s in starts if len(ids) else []:
                 self.item.append(item_id)
@@ -40,7 +56,6 @@ class Benchmark:
         for ids in self.terms:
             df[np.unique(ids)] += 1
         self.frequent = df > max(3, 0.1 * len(self.terms))
-        self.width = max((len(t) for t in self.terms), default=0) + STRIDE
 
     def content(self, ids: np.ndarray) -> np.ndarray:
         ids = np.unique(ids[ids >= 0])
@@ -61,134 +76,172 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
-def matches(passage: np.ndarray, item: np.ndarray) -> float:
-    """Share of the item in common order with a passage, 0 if too small or the answer, the item's last third, isn't there."""
-    share = lcs(item, passage) / len(item)
-    answer = item[-max(1, len(item) // 3) :]
-    return share if share >= COMMON and lcs(answer, passage) / len(answer) >= ANSWER else 0.0
+class Check:
+    """The checks of a candidate: enough of the item's rarer words, of its words in order, and of its answer, the last third."""
 
+    def __init__(self, bench: Benchmark, item: np.ndarray) -> None:
+        self.item, self.answer = item, item[-max(1, len(item) // 3) :]
+        self.content = frozenset(bench.content(item).tolist())
 
-class ContentCheck:
-    """Whether passages hold enough of items' rarer words, for all pairs of a batch at once."""
+    def share(self, passage: np.ndarray) -> float:
+        """Share of the item's words in common order with a passage, 0 if a check fails."""
+        if len(self.content.intersection(passage.tolist())) < CONTENT * len(self.content):
+            return 0.0
+        share = lcs(self.item, passage) / len(self.item)
+        return share if share >= COMMON and lcs(self.answer, passage) / len(self.answer) >= ANSWER else 0.0
 
-    def __init__(self, bench: Benchmark) -> None:
-        content = [bench.content(t) for t in bench.terms]
-        every = np.unique(np.concatenate(content))
-        self.column = np.full(len(bench.vocab) + 1, -1)
-        self.column[every] = np.arange(len(every))
-        self.items = np.zeros((len(every), len(content)), np.float32)
-        for j, c in enumerate(content):
-            self.items[self.column[c], j] = 1
-        self.need = CONTENT * np.array([len(c) for c in content])
 
-    def enough(self, passages: list[np.ndarray]) -> np.ndarray:
-        held = np.zeros((len(passages), len(self.items)), np.float32)
-        for i, p in enumerate(passages):
-            c = self.column[p]
-            held[i, c[c >= 0]] = 1
-        return held @ self.items >= self.need
+class Chunks:
+    """Documents of a batch in chunks; each document is followed by so many empty ones that no passage reaches the next."""
 
+    def __init__(self, blobs: list[bytes], gap: int) -> None:
+        self.ids = [np.frombuffer(b, np.int32) for b in blobs]
+        n = np.array([-(-len(x) // CHUNK) for x in self.ids], np.int64)
+        self.first = np.cumsum(n + gap) - n - gap
+        self.count = int(self.first[-1] + n[-1] + gap) if len(n) else 0
+        every = np.concatenate(self.ids) if self.ids else np.zeros(0, np.int32)
+        chunk = np.concatenate([f + np.arange(len(x)) // CHUNK for f, x in zip(self.first, self.ids, strict=True)]) if self.ids else np.zeros(0, np.int64)
+        known = every >= 0
+        self.terms, self.chunk = every[known], chunk[known]
 
-def _scan(bench):
-    """Rows (kind, doc_id, term, n, ids): documents as term ids (0), and document counts of terms (1; term -1: all)."""
+    def words(self, chunk: int, n: int) -> tuple[int, np.ndarray]:
+        """The document's place in the batch, and the words of ``n`` chunks from ``chunk``."""
+        doc = int(np.searchsorted(self.first, chunk, "right")) - 1
+        at = (chunk - int(self.first[doc])) * CHUNK
+        return doc, self.ids[doc][at : at + n * CHUNK]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b: Benchmark = bench.value
-        df, n_docs, get = np.zeros(len(b.vocab), np.int64), 0, b.vocab.get
-        names = ["kind", "doc_id", "term", "n", "ids"]
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), common.texts(batch), strict=True):
-                n_docs += 1
-                ids = np.array([get(w, -1) for w in WORD.findall(text.lower())], np.int32)
-                known = np.unique(ids[ids >= 0])
-                df[known] += 1
-                if len(known):
-                    rows.append((0, doc, None, None, ids.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(5)], names=names)
-        some = np.flatnonzero(df).tolist()
-        rows = [(1, None, -1, n_docs, None), *((1, None, t, int(df[t]), None) for t in some)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(5)], names=names)
+    def sums(self, basis: np.ndarray, idf: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+        """For each chunk the sum of its words' rows of the basis, weighed by IDF."""
+        out = np.zeros((self.count, basis.shape[1]), np.float32)
+        for k in range(0, len(self.terms), step):
+            terms, chunk = self.terms[k : k + step], self.chunk[k : k + step]
+            start = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
+            out[chunk[start]] += np.add.reduceat(basis[terms % len(basis)] * idf[terms][:, None], start, axis=0)
+        return out
 
-    return run
+    def runs(self, sums: np.ndarray, n: int) -> np.ndarray:
+        """Sums of ``n`` chunks from each."""
+        out = sums[: max(0, self.count - n + 1)].copy()
+        for k in range(1, n):
+            out += sums[k : k + len(out)]
+        return out
 
 
-def telling(bench: Benchmark, idf: np.ndarray) -> tuple[np.ndarray, int]:
-    """Which terms tell a benchmark passage from others, and how many of them a passage must hold to be looked at.
+def unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(1e-12, np.linalg.norm(m, axis=1, keepdims=True))
+
+
+def project(terms: list[np.ndarray], basis: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Unit latent vectors of passages."""
+    return unit(np.array([(basis[t % len(basis)] * idf[t][:, None]).sum(axis=0) for t in terms], np.float32).reshape(len(terms), basis.shape[1]))
 
-    A passage's TELLING rarest terms tell, if rare (RARE of the documents at most); of one with fewer than LEAST
-    rare terms the LEAST rarest do.
-    """
-    out, least = np.zeros(len(idf), bool), LEAST
-    rare = idf >= -np.log(RARE)
-    for ids in bench.terms:
-        t = np.unique(ids)
-        t = t[np.argsort(-idf[t], kind="stable")]
-        n = min(TELLING, max(int(rare[t].sum()), LEAST))
-        out[t[:n]] = True
-        least = min(least, len(t))
-    return out, least
 
+SCANNED = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("term", pa.int32()), ("n", pa.int64()), ("ids", pa.binary())])
 
-def _passages(bench, rare: np.ndarray, least: int):
-    """Rows (doc_id, ids): the passages of documents that hold ``least`` or more telling terms."""
+
+def _scan(bench):
+    """Rows of kind 0: documents as word numbers, -1 for words the benchmark lacks; of kind 1: document counts of words (-1: all)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width, marked = bench.value.width, np.r_[rare, False]  # id -1: no term
+        get = bench.value.vocab.get
+        df, n_docs = np.zeros(len(bench.value.vocab), np.int64), 0
         for batch in batches:
-            docs, out = [], []
-            for doc, blob in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                ids = np.frombuffer(blob, np.int32)
-                total = np.r_[0, np.cumsum(marked[ids])]
-                if total[-1] < least:
-                    continue
-                starts = np.arange(0, max(1, len(ids) - width + STRIDE), STRIDE)
-                stops = np.minimum(starts + width, len(ids))
-                for k in np.flatnonzero(total[stops] - total[starts] >= least).tolist():
-                    part = ids[starts[k] : stops[k]]
-                    if len(set(part[marked[part]].tolist())) >= least:
-                        docs.append(doc)
-                        out.append(part.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+            ids = [np.array([get(w, -1) for w in words(t)], np.int32) for t in common.texts(batch)]
+            n_docs += len(ids)
+            for x in ids:
+                df[np.unique(x[x >= 0])] += 1
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column("doc_id"), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], schema=SCANNED)
+        some = np.flatnonzero(df)
+        n = len(some) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.array(np.r_[-1, some].astype(np.int32)), pa.array(np.r_[n_docs, df[some]]), pa.nulls(n, pa.binary())], schema=SCANNED)
 
     return run
 
 
-def _spread_sum(out: np.ndarray, y: np.ndarray, start: np.ndarray, terms: np.ndarray, values: np.ndarray) -> None:
-    """Add A^T y to ``out`` for sparse rows A."""
-    if not len(terms):
-        return
-    order = np.argsort(terms, kind="stable")
-    t = terms[order]
-    first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-    row = np.repeat(np.arange(len(y)), np.diff(start))
-    out[t[first]] += np.add.reduceat(y[row[order]] * values[order][:, None], first, axis=0)
+def _rows(chunks: Chunks, idf: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The passages that are factorised, ROW chunks each, as sparse TF-IDF rows of unit length (row, slot, value), sorted by row."""
+    row = chunks.chunk // ROW
+    if not len(row):
+        return row, row, np.zeros(0, np.float32)
+    key, n = np.unique(row * slots + chunks.terms % slots, return_counts=True)
+    weight = np.zeros(slots, np.float32)
+    weight[chunks.terms % slots] = idf[chunks.terms]
+    row, slot = key // slots, key % slots
+    value = weight[slot] * (1 + np.log(n)).astype(np.float32)
+    start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    norm = np.sqrt(np.add.reduceat(value * value, start))
+    sizes = np.diff(np.r_[start, len(row)])
+    return np.repeat(np.arange(len(start)), sizes), slot, value / np.repeat(np.maximum(norm, 1e-12), sizes)
+
 
+def _forward(row: np.ndarray, slot: np.ndarray, value: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Sparse rows times a dense matrix."""
+    start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    return np.add.reduceat(m[slot] * value[:, None], start, axis=0)
 
-def _rows(blobs: list[bytes], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """TF-IDF rows of unit length in compressed form: row starts, terms, values."""
-    start, terms, values = [0], [], []
-    for blob in blobs:
-        ids = np.frombuffer(blob, np.int32)
-        t, n = np.unique(ids[ids >= 0], return_counts=True)
-        v = (1 + np.log(n)) * idf[t]
-        terms.append(t)
-        values.append(v / max(1e-12, np.sqrt((v * v).sum())))
-        start.append(start[-1] + len(t))
-    return np.array(start), np.concatenate(terms) if terms else np.zeros(0, np.int32), np.concatenate(values) if values else np.zeros(0)
 
+def _back(out: np.ndarray, row: np.ndarray, slot: np.ndarray, value: np.ndarray, y: np.ndarray) -> None:
+    """Add the transposed sparse rows times y to ``out``."""
+    order = np.argsort(slot, kind="stable")
+    s = slot[order]
+    start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    out[s[start]] += np.add.reduceat(y[row[order]] * value[order][:, None], start, axis=0)
 
-def project(blobs: list[bytes], idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """Rows times a dense matrix; every row has terms."""
-    start, terms, values = _rows(blobs, idf)
-    if not len(blobs):
-        return np.zeros((0, basis.shape[1]))
-    return np.add.reduceat(basis[terms] * values[:, None], start[:-1], axis=0)
+
+def latent_basis(documents: DataFrame, bench: Benchmark, idf: np.ndarray, rank: int = RANK, seed: int = 5) -> np.ndarray:
+    """The leading right singular vectors, each over its singular value, of the TF-IDF matrix of all passages of ``documents(ids)``, by randomised SVD.
+
+    A Gaussian sketch goes once through A^T A, spread over the passages; its range is
+    orthonormalised, and the small matrix (A Q)^T (A Q), again summed over all passages, turns
+    it to the singular vectors. Only matrices of at most SLOTS rows leave the tasks.
+    """
+    slots = min(SLOTS, len(idf))
+    width = min(slots, rank + EXTRA)
+    spark = documents.sparkSession
+    own = Chunks([np.r_[t, np.full(-len(t) % (ROW * CHUNK), -1, np.int32)].astype(np.int32).tobytes() for t in bench.terms], 0)
+
+    def add(out: np.ndarray, chunks: Chunks, m: np.ndarray, back: bool, weight: float = 1.0) -> None:
+        row, slot, value = _rows(chunks, idf, slots)
+        cuts = np.r_[np.searchsorted(row, np.arange(0, row[-1] + 1, 1024)), len(row)] if len(row) else []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            y = _forward(row[a:b], slot[a:b], value[a:b], m)
+            if back:
+                _back(out, row[a:b] - row[a], slot[a:b], value[a:b], weight * y)
+            else:
+                out += weight * (y.T @ y)
+
+    def passes(matrix: np.ndarray, back: bool) -> np.ndarray:
+        held = spark.sparkContext.broadcast(matrix)
+        shape = (slots if back else width, width)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out, m = np.zeros(shape, np.float32), held.value
+            for batch in batches:
+                blobs = batch.column("ids").to_pylist()
+                for k in range(0, len(blobs), 64):
+                    part = [b + b"\xff" * (-len(b) % (4 * ROW * CHUNK)) for b in blobs[k : k + 64]]
+                    add(out, Chunks(part, 0), m, back)
+            some = np.flatnonzero(np.abs(out).sum(axis=1))
+            for k in range(0, len(some), 1000):
+                part = some[k : k + 1000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([out[x].tobytes() for x in part], pa.binary())], names=["key", "vec"])
+
+        out = np.zeros(shape)
+        for key, v in _summed(documents.select("ids").mapInArrow(run, "key int, vec binary")):
+            out[key] = v
+        add(out, own, matrix, back, OWN_WEIGHT)
+        return out
+
+    q, _ = np.linalg.qr(passes(np.random.default_rng(seed).standard_normal((slots, width)).astype(np.float32), True))
+    worth, turn = np.linalg.eigh(passes(q.astype(np.float32), False))
+    order = np.argsort(-worth)[: min(rank, width)]
+    order = order[worth[order] > 1e-6 * worth.max()]
+    return (q @ turn[:, order] / np.sqrt(worth[order])).astype(np.float32)
 
 
 def _summed(df: DataFrame) -> list[tuple[int, np.ndarray]]:
-    """Sum of the vectors of each key; as many keys as the benchmark block has terms at most."""
+    """Sum of the vectors of each key, of which there are at most SLOTS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -202,115 +255,84 @@ def _summed(df: DataFrame) -> list[tuple[int, np.ndarray]]:
     return [(r.key, np.frombuffer(r.vec, np.float32).astype(np.float64)) for r in out]
 
 
-def latent_basis(passages: DataFrame, bench: Benchmark, idf: np.ndarray, rank: int = RANK, seed: int = 5) -> np.ndarray:
-    """The leading right singular vectors of the TF-IDF matrix of all passages, by randomised SVD.
+def candidates(chunks: Chunks, sums: np.ndarray, spans: list[int], own: np.ndarray, cosine: float) -> Iterator[tuple[int, int]]:
+    """(chunk, item passage) whose latent vectors have ``cosine`` or more; a passage is as many chunks from there as the item's span."""
+    for n in sorted(set(spans)):
+        which = np.array([j for j, s in enumerate(spans) if s == n])
+        runs = chunks.runs(sums, n)
+        for k in range(0, len(runs), 4096):
+            at, j = np.nonzero(unit(runs[k : k + 4096]) @ own[which].T >= cosine)
+            yield from zip((at + k).tolist(), which[j].tolist(), strict=True)
 
-    A Gaussian sketch goes once through A^T A, spread over the passages; its range is
-    orthonormalised, and the small matrix (A Q)^T (A Q), again summed over all passages, turns
-    it to the singular vectors. Only matrices of terms by rank leave the tasks.
-    """
-    terms = len(idf)
-    width = min(terms, rank + EXTRA)
-    own = [t.tobytes() for t in bench.terms]
-    sc = passages.sparkSession.sparkContext
-
-    def passes(basis: np.ndarray, back: bool):
-        held = sc.broadcast(basis)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            basis = held.value
-            out = np.zeros((terms if back else width, width))
-            for batch in batches:
-                blobs = batch.column("ids").to_pylist()
-                for k in range(0, len(blobs), 200):
-                    part = blobs[k : k + 200]
-                    y = project(part, idf, basis)
-                    if back:
-                        start, t, v = _rows(part, idf)
-                        _spread_sum(out, y, start, t, v)
-                    else:
-                        out += y.T @ y
-            some = np.flatnonzero(np.abs(out).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([out[k].astype(np.float32).tobytes() for k in some], pa.binary())], names=["key", "vec"])
 
-        out = np.zeros((terms if back else width, width))
-        for key, v in _summed(passages.select("ids").mapInArrow(run, "key int, vec binary")):
-            out[key] = v
-        y = project(own, idf, basis)
-        if back:
-            start, t, v = _rows(own, idf)
-            _spread_sum(out, OWN_WEIGHT * y, start, t, v)
-            return out
-        return out + OWN_WEIGHT * y.T @ y
-
-    q, _ = np.linalg.qr(passes(np.random.default_rng(seed).standard_normal((terms, width)), True))
-    worth, turn = np.linalg.eigh(passes(q, False))
-    order = np.argsort(-worth)[: min(rank, width)]
-    return (q @ turn[:, order]).astype(np.float32)
-
-
-def _round(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-    """(doc_id, item_id, similarity) for one block of benchmark items."""
-    spark = docs.sparkSession
-    bench = Benchmark(items)
-    if not bench.terms:
-        return spark.createDataFrame([], "doc_id long, item_id long, similarity double")
-    held = spark.sparkContext.broadcast(bench)
-    table = common.materialise(docs.select("doc_id", "text").mapInArrow(_scan(held), "kind int, doc_id long, term int, n long, ids binary"), "terms")
-    counts = dict(tuple(r) for r in table.where("kind = 1").groupBy("term").agg(F.sum("n")).collect())
-    df = np.array([counts.get(t, 0) for t in range(len(bench.vocab))], float)
-    idf = np.log((counts.get(-1, 0) + 2) / (df + 1))
-    passages = common.materialise(table.where("kind = 0").select("doc_id", "ids").mapInArrow(_passages(held, *telling(bench, idf)), "doc_id long, ids binary"), "passages")
-    basis = latent_basis(passages, bench, idf)
-    unit = lambda m: m / np.maximum(1e-12, np.linalg.norm(m, axis=1, keepdims=True))
-    search = spark.sparkContext.broadcast((idf, basis, unit(project([t.tobytes() for t in bench.terms], idf, basis))))
+def search(documents: DataFrame, bench: Benchmark, idf: np.ndarray, basis: np.ndarray, which: range, cosine: float = COSINE) -> DataFrame:
+    """(doc_id, item_id, similarity) of the passages of ``documents(doc_id, ids)`` that are candidates of a block of item passages and pass the checks."""
+    terms = [bench.terms[j] for j in which]
+    held = documents.sparkSession.sparkContext.broadcast((idf, basis, project(terms, basis, idf), [Check(bench, t) for t in terms], [span(len(t)) for t in terms], [bench.item[j] for j in which]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (idf, basis, own), bench = search.value, held.value
-        check = ContentCheck(bench)
+        idf, basis, own, checks, spans, item = held.value
         for batch in batches:
-            docs, blobs, found = batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), {}
-            for k in range(0, len(blobs), 500):
-                near = unit(project(blobs[k : k + 500], idf, basis)) @ own.T >= COSINE
-                some = np.flatnonzero(near.any(axis=1))
-                parts = [np.frombuffer(blobs[k + i], np.int32) for i in some.tolist()]
-                for i, j in zip(*(x.tolist() for x in np.nonzero(near[some] & check.enough(parts))), strict=True):
-                    if share := matches(parts[i], bench.terms[j]):
-                        key = docs[k + some[i]], bench.item[j]
+            ids, blobs, found = batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), {}
+            for k in range(0, len(blobs), 64):
+                chunks = Chunks(blobs[k : k + 64], max(spans))
+                for chunk, j in candidates(chunks, chunks.sums(basis, idf), spans, own, cosine):
+                    doc, passage = chunks.words(chunk, spans[j])
+                    if share := checks[j].share(passage):
+                        key = ids[k + doc], item[j]
                         found[key] = max(found.get(key, 0.0), share)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array(list(found.values()), pa.float64())], names=["doc_id", "item_id", "similarity"])
 
-    return passages.mapInArrow(run, "doc_id long, item_id long, similarity double")
+    return documents.mapInArrow(run, "doc_id long, item_id long, similarity double")
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """``(doc_id, item_id, similarity)``: documents that hold a benchmark item, or a close paraphrase, in whole.
 
-    Documents are read in overlapping passages, each long enough to hold any item passage whole.
-    Passages with LEAST or more of the benchmark's telling words are projected on the leading
-    singular vectors of the passages' TF-IDF matrix; items of cosine COSINE or more are
-    candidates, kept if COMMON of the item's words are there in order, CONTENT of its rarer
-    words are there, and ANSWER of its last third is. Items longer than PASSAGE words count by
-    their passages. Null texts and items are empty and match nothing; documents with a null
-    doc_id aren't reported; repeated rows are reported once; empty tables give no rows.
+    Documents are read in passages that start at every CHUNK words, each as long as an item's
+    paraphrase may be. All of them are projected on the leading singular vectors of the TF-IDF
+    matrix of the corpus's and the benchmark's passages (over the benchmark's words); items of
+    ``cosine`` or more are candidates, kept if COMMON of the item's words are there in order,
+    CONTENT of its rarer words are there, and ANSWER of its last third is. Items longer than
+    PASSAGE words count by their passages. The basis, the word counts and the search cover all
+    documents and the whole benchmark; ``block`` item passages are searched for at a time, which
+    changes no result. Words of the benchmark are held by the driver and every task.
+
+    Null texts and items are empty and match nothing; a null doc_id is reported as such;
+    repeated rows are reported once; empty tables give no rows.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
-    sized = benchmark.where("item_id is not null").select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    size = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rounds = -(-size // BLOCK_BYTES) or 1
-    if rounds > 1:
-        rounds *= 2  # so that hashing fills no block twice over
+    bench = Benchmark(sorted(tuple(r) for r in benchmark.where("item_id is not null").select("item_id", F.coalesce("text", F.lit(""))).distinct().collect()))
+    if not bench.terms:
+        return spark.createDataFrame([], "doc_id long, item_id long, similarity double")
+    held = spark.sparkContext.broadcast(bench)
+    table = common.materialise(docs.select("doc_id", "text").mapInArrow(_scan(held), "kind int, doc_id long, term int, n long, ids binary"), "terms")
+    counts = {r.term: r.n for r in table.where("kind = 1").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    df = np.array([counts.get(t, 0) for t in range(len(bench.vocab))], float)
+    idf = np.log((counts.get(-1, 0) + 2) / (df + 1)).astype(np.float32)
+    documents = table.where("kind = 0").select("doc_id", "ids")
+    basis = latent_basis(documents, bench, idf)
     out = None
-    for k in range(rounds):
-        block = sized if rounds == 1 else sized.where(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == k)
-        part = _round(docs.where("doc_id is not null"), sorted(tuple(r) for r in block.collect()))
+    for k in range(0, len(bench.terms), block):
+        part = search(documents, bench, idf, basis, range(k, min(k + block, len(bench.terms))), cosine)
         out = part if out is None else out.union(part)
     return out.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``(doc_id, contaminated, item_ids, similarity)`` for every document; see :func:`find_contamination`."""
-    hits = find_contamination(docs, benchmark).groupBy("doc_id").agg(F.array_sort(F.collect_list("item_id")).alias("item_ids"), F.max("similarity").alias("similarity"))
+    """``(doc_id, contaminated, item_ids, similarity)`` for every document; see :func:`find_contamination`.
+
+    Texts decide, not ids: rows that share a doc_id, or have none, are each judged by their own text.
+    """
+    keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
+    hits = find_contamination(keyed.select(F.col("text_hash").alias("doc_id"), "text"), benchmark).groupBy("doc_id").agg(F.array_sort(F.collect_list("item_id")).alias("item_ids"), F.max("similarity").alias("similarity"))
     none = F.array().cast("array<bigint>")
-    return docs.select("doc_id").join(hits, "doc_id", "left").select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+    return keyed.select("doc_id", "text_hash").join(hits.withColumnRenamed("doc_id", "text_hash"), "text_hash", "left").select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose text holds no benchmark item, whatever their doc_id and other columns."""
+    hashed = docs.withColumn("_hit_text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    hits = find_contamination(hashed.select(F.col("_hit_text").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_hit")).distinct()
+    return hashed.join(hits, F.col("_hit_text") == F.col("_hit"), "left_anti").select(*docs.columns)

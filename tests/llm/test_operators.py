@@ -580,3 +580,90 @@ def test_near_copies_across_the_border_of_large_groups(spark):
     for small, run, block in ((64, 1 << 20, 4096), (4, 1 << 20, 16), (3, 200, 8)):
         got = near_copies(frame(spark, docs), small=small, run=run, block=block)
         assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
+def paraphrases(seed):
+    """Items, and texts that hold them with a part of their words replaced, dropped, inserted or swapped."""
+    rng = random.Random(seed)
+    many = [f"{a}{b}{c}" for a in WORDS for b in ("x", "q", "tr", "m") for c in ("ul", "or", "ien", "as", "op")]
+    say = lambda n: [rng.choice(many) for _ in range(n)]
+    items = [(k, " ".join(say(rng.randint(14, 90)))) for k in range(40)]
+    docs = [(k, " ".join(say(rng.randint(0, 500)))) for k in range(150)]
+    for k in range(120):
+        own = items[k % 40][1].split()
+        at = set(rng.sample(range(len(own)), int(rng.choice([0.1, 0.2, 0.27]) * len(own))))
+        match k % 4:
+            case 0:
+                own = [rng.choice(many) if i in at else w for i, w in enumerate(own)]
+            case 1:
+                own = [w for i, w in enumerate(own) if i not in at]
+            case 2:
+                own = [x for i, w in enumerate(own) for x in ([w, "moreover"] if i in at and i % 2 else [w])]
+            case _:
+                for i in at:
+                    if i + 1 < len(own):
+                        own[i], own[i + 1] = own[i + 1], own[i]
+        docs.append((1000 + k, " ".join([*say(rng.randint(0, 150)), *own, *say(rng.randint(0, 150))])))
+    return items, docs
+
+
+def brute_contamination(items, docs):
+    """Every passage against every item by a plain dynamic programme: no vectors, no candidates."""
+    from lodestrata.llm import decontaminate as d
+
+    def common_order(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+        return row[-1]
+
+    parts = []
+    for i, t in items:
+        w = d.words(t)
+        starts = [0] if len(w) <= d.PASSAGE else [*range(0, len(w) - d.PASSAGE, d.PASSAGE), len(w) - d.PASSAGE]
+        parts += [(i, w[s : s + d.PASSAGE]) for s in starts if w]
+    times = {}
+    for _, w in parts:
+        for x in set(w):
+            times[x] = times.get(x, 0) + 1
+    found = set()
+    for i, w in parts:
+        rare = {x for x in w if times[x] <= max(3, 0.1 * len(parts))}
+        answer, n = w[-max(1, len(w) // 3) :], d.span(len(w)) * d.CHUNK
+        for doc, t in docs:
+            ws = d.words(t)
+            for s in range(0, len(ws), d.CHUNK):
+                own = ws[s : s + n]
+                if len(rare & set(own)) >= d.CONTENT * len(rare) and common_order(w, own) >= d.COMMON * len(w) and common_order(answer, own) >= d.ANSWER * len(answer):
+                    found.add((doc, i))
+                    break
+    return found
+
+
+def test_contamination_recall_against_brute_force(spark):
+    from lodestrata.llm.decontaminate import find_contamination
+
+    items, docs = paraphrases(51)
+    want = brute_contamination(items, docs)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {k: {(r.doc_id, r.item_id) for r in find_contamination(frame(spark, docs), bench, **options).collect()} for k, options in {"whole": {}, "blocks": {"block": 7}, "none": {"cosine": 2.0}, "all": {"cosine": -2.0}}.items()}
+    assert len(want) > 90 and got["all"] == want
+    assert got["whole"] == got["blocks"] <= want and len(got["whole"]) >= 0.95 * len(want)
+    assert not got["none"]
+
+
+def test_contamination_of_odd_rows(spark):
+    from lodestrata.llm.decontaminate import decontaminate, drop_contaminated
+
+    rng = random.Random(52)
+    items, docs = paraphrases(53)
+    bench = spark.createDataFrame([*items, items[0], (70, "qqa qqb"), (71, "qqc"), (None, "x y z"), (72, None), (73, "")], "item_id long, text string")
+    hit = items[3][1]
+    rows = [(None, hit, 1), (None, prose(rng, 30), 2), (7, hit, 3), (7, hit, 4), (7, prose(rng, 50), 5), (8, None, 6), (9, "", 7), (10, "one two three qqa qqb four", 8), (11, (prose(rng, 3000) + " ") * 5 + hit, 9)]
+    df = spark.createDataFrame([*rows, *((i + 5000, t, 0) for i, t in docs[:100])], "doc_id long, text string, item_id int")
+    got = sorted((r.doc_id or 0, r.contaminated, r.item_ids) for r in decontaminate(df, bench).collect() if (r.doc_id or 0) < 5000)
+    assert got == sorted([(0, True, [3]), (0, False, []), (7, True, [3]), (7, True, [3]), (7, False, []), (8, False, []), (9, False, []), (10, True, [70]), (11, True, [3])])
+    left = drop_contaminated(df, bench)
+    assert left.columns == df.columns and sorted(r.item_id for r in left.where("item_id > 0").collect()) == [2, 5, 6, 7]
