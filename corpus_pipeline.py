@@ -10,38 +10,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import common, queries
-from lodestrata.llm.decontaminate import find_contamination
+from lodestrata.llm.decontaminate import drop_contaminated
 from lodestrata.llm.packing import pack
 from lodestrata.llm.quality import classify_quality
 from lodestrata.llm.repeats import remove_repeats
-from lodestrata.llm.simhash import near_copies
+from lodestrata.llm.simhash import drop_near_copies
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject; repeated rows are judged alike, null texts by their site and all-zero features."""
     judged = classify_quality(docs, common.table(spark, sf_dir, "labels"))
     return judged.where("keep").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (0.8 of their five-word shingles), that of the smallest doc_id; rows without a doc_id stay."""
-    gone = near_copies(docs).where("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates()
+    """One document of each group of near-duplicates (0.8 of their five-word shingles), that of the smallest doc_id.
+
+    Null and empty texts are copies of each other. Texts decide, not ids: of several texts under one
+    doc_id each is judged by itself, a row without a doc_id goes if another of its group has one, and of
+    repeated rows one stays. An empty table stays empty.
+    """
+    return drop_near_copies(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the byte strings that occur earlier; documents of which nothing is left go."""
+    """Documents without the byte strings of 100 bytes that occur earlier; documents of which nothing is left go, null and empty ones too."""
     return remove_repeats(docs, with_text=True).where("length(text) > 0")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    hits = find_contamination(docs, common.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    """Documents whose text holds no benchmark item, with or without a doc_id; null and empty texts stay, repeated rows stay repeated."""
+    return drop_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in windows of 1024 tokens."""
+    """Pieces of documents in windows of 1024 tokens; an empty table gives no rows."""
     return pack(docs, queries.tokenizer_path("byte_bpe_50k.json"))
 
 
