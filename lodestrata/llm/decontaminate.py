@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ OWN_WEIGHT = 10.0
 #: Benchmark passages that one round of the search holds.
 BLOCK = 8192
 #: Least cosine of a candidate; least shares of an item's words in order, of its last third, and of its rarer words.
-COSINE, COMMON, ANSWER, CONTENT = 0.3, 0.7, 0.5, 0.6
+COSINE, COMMON, ANSWER, CONTENT = 0.45, 0.7, 0.5, 0.6
 WORD = re.compile(r"\w+")
 
 
@@ -110,30 +111,21 @@ class Chunks:
         at = (chunk - int(self.first[doc])) * CHUNK
         return doc, self.ids[doc][at : at + n * CHUNK]
 
-    def sums(self, basis: np.ndarray, idf: np.ndarray, step: int = 1 << 16) -> np.ndarray:
-        """For each chunk the sum of its words' rows of the basis, weighed by IDF."""
-        out = np.zeros((self.count, basis.shape[1]), np.float32)
-        for k in range(0, len(self.terms), step):
-            terms, chunk = self.terms[k : k + step], self.chunk[k : k + step]
+    def sums(self, rows: np.ndarray, step: int = 1 << 13) -> np.ndarray:
+        """For each chunk the sum of its words' rows (the basis, weighed by IDF)."""
+        out = np.zeros((self.count, rows.shape[1]), np.float32)
+        slot = self.terms % len(rows)
+        for k in range(0, len(slot), step):
+            chunk = self.chunk[k : k + step]
             start = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
-            out[chunk[start]] += np.add.reduceat(basis[terms % len(basis)] * idf[terms][:, None], start, axis=0)
+            out[chunk[start]] += np.add.reduceat(rows[slot[k : k + step]], start, axis=0)
         return out
 
-    def runs(self, sums: np.ndarray, n: int) -> np.ndarray:
-        """Sums of ``n`` chunks from each."""
-        out = sums[: max(0, self.count - n + 1)].copy()
-        for k in range(1, n):
-            out += sums[k : k + len(out)]
-        return out
-
-
-def unit(m: np.ndarray) -> np.ndarray:
-    return m / np.maximum(1e-12, np.linalg.norm(m, axis=1, keepdims=True))
-
 
-def project(terms: list[np.ndarray], basis: np.ndarray, idf: np.ndarray) -> np.ndarray:
+def project(terms: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
     """Unit latent vectors of passages."""
-    return unit(np.array([(basis[t % len(basis)] * idf[t][:, None]).sum(axis=0) for t in terms], np.float32).reshape(len(terms), basis.shape[1]))
+    m = np.array([rows[t % len(rows)].sum(axis=0) for t in terms], np.float32).reshape(len(terms), rows.shape[1])
+    return m / np.maximum(1e-12, np.linalg.norm(m, axis=1, keepdims=True))
 
 
 SCANNED = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("term", pa.int32()), ("n", pa.int64()), ("ids", pa.binary())])
@@ -146,7 +138,8 @@ def _scan(bench):
         get = bench.value.vocab.get
         df, n_docs = np.zeros(len(bench.value.vocab), np.int64), 0
         for batch in batches:
-            ids = [np.array([get(w, -1) for w in words(t)], np.int32) for t in common.texts(batch)]
+            split = map(words, common.texts(batch))
+            ids = [np.fromiter(map(get, ws, repeat(-1)), np.int32, len(ws)) for ws in split]
             n_docs += len(ids)
             for x in ids:
                 df[np.unique(x[x >= 0])] += 1
@@ -159,16 +152,14 @@ def _scan(bench):
     return run
 
 
-def _rows(chunks: Chunks, idf: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _rows(chunks: Chunks, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The passages that are factorised, ROW chunks each, as sparse TF-IDF rows of unit length (row, slot, value), sorted by row."""
     row = chunks.chunk // ROW
     if not len(row):
         return row, row, np.zeros(0, np.float32)
-    key, n = np.unique(row * slots + chunks.terms % slots, return_counts=True)
-    weight = np.zeros(slots, np.float32)
-    weight[chunks.terms % slots] = idf[chunks.terms]
-    row, slot = key // slots, key % slots
-    value = weight[slot] * (1 + np.log(n)).astype(np.float32)
+    key, n = np.unique(row * len(idf) + chunks.terms % len(idf), return_counts=True)
+    row, slot = key // len(idf), key % len(idf)
+    value = idf[slot] * (1 + np.log(n)).astype(np.float32)
     start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
     norm = np.sqrt(np.add.reduceat(value * value, start))
     sizes = np.diff(np.r_[start, len(row)])
@@ -196,13 +187,13 @@ def latent_basis(documents: DataFrame, bench: Benchmark, idf: np.ndarray, rank:
     orthonormalised, and the small matrix (A Q)^T (A Q), again summed over all passages, turns
     it to the singular vectors. Only matrices of at most SLOTS rows leave the tasks.
     """
-    slots = min(SLOTS, len(idf))
+    slots = len(idf)
     width = min(slots, rank + EXTRA)
     spark = documents.sparkSession
     own = Chunks([np.r_[t, np.full(-len(t) % (ROW * CHUNK), -1, np.int32)].astype(np.int32).tobytes() for t in bench.terms], 0)
 
     def add(out: np.ndarray, chunks: Chunks, m: np.ndarray, back: bool, weight: float = 1.0) -> None:
-        row, slot, value = _rows(chunks, idf, slots)
+        row, slot, value = _rows(chunks, idf)
         cuts = np.r_[np.searchsorted(row, np.arange(0, row[-1] + 1, 1024)), len(row)] if len(row) else []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             y = _forward(row[a:b], slot[a:b], value[a:b], m)
@@ -255,28 +246,32 @@ def _summed(df: DataFrame) -> list[tuple[int, np.ndarray]]:
     return [(r.key, np.frombuffer(r.vec, np.float32).astype(np.float64)) for r in out]
 
 
-def candidates(chunks: Chunks, sums: np.ndarray, spans: list[int], own: np.ndarray, cosine: float) -> Iterator[tuple[int, int]]:
+def candidates(sums: np.ndarray, spans: list[int], own: np.ndarray, cosine: float) -> Iterator[tuple[int, int]]:
     """(chunk, item passage) whose latent vectors have ``cosine`` or more; a passage is as many chunks from there as the item's span."""
-    for n in sorted(set(spans)):
-        which = np.array([j for j, s in enumerate(spans) if s == n])
-        runs = chunks.runs(sums, n)
-        for k in range(0, len(runs), 4096):
-            at, j = np.nonzero(unit(runs[k : k + 4096]) @ own[which].T >= cosine)
+    runs = sums
+    for n in range(1, max(spans) + 1):
+        if n > 1:
+            runs = runs[:-1] + sums[n - 1 :]
+        which = np.array([j for j, s in enumerate(spans) if s == n], np.int64)
+        for k in range(0, len(runs) if len(which) else 0, 4096):
+            part = runs[k : k + 4096]
+            least = cosine * np.sqrt(np.einsum("ij,ij->i", part, part))
+            at, j = np.nonzero((part @ own[which].T >= least[:, None]) & part.any(axis=1)[:, None])
             yield from zip((at + k).tolist(), which[j].tolist(), strict=True)
 
 
-def search(documents: DataFrame, bench: Benchmark, idf: np.ndarray, basis: np.ndarray, which: range, cosine: float = COSINE) -> DataFrame:
+def search(documents: DataFrame, bench: Benchmark, rows: np.ndarray, which: range, cosine: float = COSINE) -> DataFrame:
     """(doc_id, item_id, similarity) of the passages of ``documents(doc_id, ids)`` that are candidates of a block of item passages and pass the checks."""
     terms = [bench.terms[j] for j in which]
-    held = documents.sparkSession.sparkContext.broadcast((idf, basis, project(terms, basis, idf), [Check(bench, t) for t in terms], [span(len(t)) for t in terms], [bench.item[j] for j in which]))
+    held = documents.sparkSession.sparkContext.broadcast((rows, project(terms, rows), [Check(bench, t) for t in terms], [span(len(t)) for t in terms], [bench.item[j] for j in which]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, basis, own, checks, spans, item = held.value
+        rows, own, checks, spans, item = held.value
         for batch in batches:
             ids, blobs, found = batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), {}
             for k in range(0, len(blobs), 64):
                 chunks = Chunks(blobs[k : k + 64], max(spans))
-                for chunk, j in candidates(chunks, chunks.sums(basis, idf), spans, own, cosine):
+                for chunk, j in candidates(chunks.sums(rows), spans, own, cosine):
                     doc, passage = chunks.words(chunk, spans[j])
                     if share := checks[j].share(passage):
                         key = ids[k + doc], item[j]
@@ -309,13 +304,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, cosine: float = CO
     held = spark.sparkContext.broadcast(bench)
     table = common.materialise(docs.select("doc_id", "text").mapInArrow(_scan(held), "kind int, doc_id long, term int, n long, ids binary"), "terms")
     counts = {r.term: r.n for r in table.where("kind = 1").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    df = np.array([counts.get(t, 0) for t in range(len(bench.vocab))], float)
+    df = np.zeros(min(SLOTS, len(bench.vocab)))
+    for t in range(len(bench.vocab)):
+        df[t % len(df)] = max(df[t % len(df)], counts.get(t, 0))
     idf = np.log((counts.get(-1, 0) + 2) / (df + 1)).astype(np.float32)
     documents = table.where("kind = 0").select("doc_id", "ids")
-    basis = latent_basis(documents, bench, idf)
+    rows = latent_basis(documents, bench, idf) * idf[:, None]
     out = None
     for k in range(0, len(bench.terms), block):
-        part = search(documents, bench, idf, basis, range(k, min(k + block, len(bench.terms))), cosine)
+        part = search(documents, bench, rows, range(k, min(k + block, len(bench.terms))), cosine)
         out = part if out is None else out.union(part)
     return out.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
 
