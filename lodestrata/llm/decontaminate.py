@@ -19,7 +19,7 @@ PASSAGE, CHUNK = 60, 16
 SLACK = 0.15
 #: Chunks of the passages that are factorised.
 ROW = 4
-RANK, EXTRA = 128, 8
+RANK, EXTRA = 96, 8
 #: Rows of the basis; the words of a benchmark of more distinct ones share rows.
 SLOTS = 1 << 16
 #: Weight of benchmark passages among the rows of the factorised matrix.
@@ -153,31 +153,29 @@ def _scan(bench):
 
 
 def _rows(chunks: Chunks, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The passages that are factorised, ROW chunks each, as sparse TF-IDF rows of unit length (row, slot, value), sorted by row."""
-    row = chunks.chunk // ROW
+    """The passages that are factorised, ROW chunks each: row and slot of each word, in order, and what makes each row's TF-IDF vector one of unit length."""
+    row, slot = chunks.chunk // ROW, chunks.terms % len(idf)
     if not len(row):
-        return row, row, np.zeros(0, np.float32)
-    key, n = np.unique(row * len(idf) + chunks.terms % len(idf), return_counts=True)
-    row, slot = key // len(idf), key % len(idf)
-    value = idf[slot] * (1 + np.log(n)).astype(np.float32)
-    start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-    norm = np.sqrt(np.add.reduceat(value * value, start))
-    sizes = np.diff(np.r_[start, len(row)])
-    return np.repeat(np.arange(len(start)), sizes), slot, value / np.repeat(np.maximum(norm, 1e-12), sizes)
+        return row, slot, np.zeros(0, np.float32)
+    row = np.cumsum(np.r_[0, row[1:] != row[:-1]])
+    key, n = np.unique(row * len(idf) + slot, return_counts=True)
+    value = idf[key % len(idf)] * n
+    start = np.flatnonzero(np.r_[True, np.diff(key // len(idf)) > 0])
+    return row, slot, (1 / np.maximum(np.sqrt(np.add.reduceat(value * value, start)), 1e-12)).astype(np.float32)
 
 
-def _forward(row: np.ndarray, slot: np.ndarray, value: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Sparse rows times a dense matrix."""
+def _forward(row: np.ndarray, slot: np.ndarray, scale: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Unit TF-IDF rows times a dense matrix whose rows are weighed by IDF already."""
     start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-    return np.add.reduceat(m[slot] * value[:, None], start, axis=0)
+    return np.add.reduceat(m[slot], start, axis=0) * scale[:, None]
 
 
-def _back(out: np.ndarray, row: np.ndarray, slot: np.ndarray, value: np.ndarray, y: np.ndarray) -> None:
-    """Add the transposed sparse rows times y to ``out``."""
+def _back(out: np.ndarray, row: np.ndarray, slot: np.ndarray, scale: np.ndarray, y: np.ndarray) -> None:
+    """Add the transposed unit rows times y to ``out``, but for the weights by IDF."""
     order = np.argsort(slot, kind="stable")
     s = slot[order]
     start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-    out[s[start]] += np.add.reduceat(y[row[order]] * value[order][:, None], start, axis=0)
+    out[s[start]] += np.add.reduceat((y * scale[:, None])[row[order]], start, axis=0)
 
 
 def latent_basis(documents: DataFrame, bench: Benchmark, idf: np.ndarray, rank: int = RANK, seed: int = 5) -> np.ndarray:
@@ -193,17 +191,19 @@ def latent_basis(documents: DataFrame, bench: Benchmark, idf: np.ndarray, rank:
     own = Chunks([np.r_[t, np.full(-len(t) % (ROW * CHUNK), -1, np.int32)].astype(np.int32).tobytes() for t in bench.terms], 0)
 
     def add(out: np.ndarray, chunks: Chunks, m: np.ndarray, back: bool, weight: float = 1.0) -> None:
-        row, slot, value = _rows(chunks, idf)
-        cuts = np.r_[np.searchsorted(row, np.arange(0, row[-1] + 1, 1024)), len(row)] if len(row) else []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            y = _forward(row[a:b], slot[a:b], value[a:b], m)
+        row, slot, scale = _rows(chunks, idf)
+        for k in range(0, len(scale), 256):
+            a, b = np.searchsorted(row, (k, k + 256))
+            part = row[a:b] - k, slot[a:b], scale[k : k + 256]
+            y = _forward(*part, m)
             if back:
-                _back(out, row[a:b] - row[a], slot[a:b], value[a:b], weight * y)
+                _back(out, *part, weight * y)
             else:
                 out += weight * (y.T @ y)
 
     def passes(matrix: np.ndarray, back: bool) -> np.ndarray:
-        held = spark.sparkContext.broadcast(matrix)
+        weighed = (matrix * idf[:, None]).astype(np.float32)
+        held = spark.sparkContext.broadcast(weighed)
         shape = (slots if back else width, width)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,11 +221,11 @@ def latent_basis(documents: DataFrame, bench: Benchmark, idf: np.ndarray, rank:
         out = np.zeros(shape)
         for key, v in _summed(documents.select("ids").mapInArrow(run, "key int, vec binary")):
             out[key] = v
-        add(out, own, matrix, back, OWN_WEIGHT)
-        return out
+        add(out, own, weighed, back, OWN_WEIGHT)
+        return out * idf[:, None] if back else out
 
-    q, _ = np.linalg.qr(passes(np.random.default_rng(seed).standard_normal((slots, width)).astype(np.float32), True))
-    worth, turn = np.linalg.eigh(passes(q.astype(np.float32), False))
+    q, _ = np.linalg.qr(passes(np.random.default_rng(seed).standard_normal((slots, width)), True))
+    worth, turn = np.linalg.eigh(passes(q, False))
     order = np.argsort(-worth)[: min(rank, width)]
     order = order[worth[order] > 1e-6 * worth.max()]
     return (q @ turn[:, order] / np.sqrt(worth[order])).astype(np.float32)
