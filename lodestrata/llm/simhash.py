@@ -184,13 +184,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
 WIDE, SURE = 26, 32
 #: Shingles of COMMON documents or more come last in the order of shingles, MOST of them at most, so that few prefixes hold them.
 COMMON, MOST = 64, 200_000
-#: A prefix shingle of up to SMALL texts gives all their pairs; of a larger group, all are compared with its first text,
-#: and in a second round those that aren't joined to the group's largest component with all others.
+#: A prefix shingle of up to SMALL texts gives all their pairs; of a larger group, all are compared with its first text, and
+#: in a second round those that aren't joined to the group's largest component with all others, without a row for a pair.
 SMALL = 64
 #: Prefix shingles that a task holds before it deals them, and that a range of them holds on average.
 RUN = 1 << 20
-#: Texts of a large group that one task of the second round compares with the group's outsiders.
-BLOCK = 4096
+#: Shingle sets that a task of the second round holds, to compare the outsiders of their group with them.
+BLOCK = 512
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -386,52 +386,62 @@ def _meet(small: int):
     return run
 
 
-def _cross(similarity: float):
-    """(block, a, b): outsiders of large groups with all others of their groups that may be alike."""
+def _outsiders(similarity: float):
+    """Links (a, b) between the outsiders of a group, which come one by one, and the block of its nodes that is held before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in common.grouped(batches, "group"):
-            group, node, n, fp, part, salts, salt = (rows.column(c).to_numpy() for c in ("group", "node", "n", "fp", "part", "salts", "salt"))
-            fp, outside = fp.view(np.uint64), rows.column("outside").to_numpy(zero_copy_only=False)
-            starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        at, held, sets, columns, joined = None, {}, [], None, common.UnionFind()
+        for batch in batches:
             found = []
-            for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(group)], strict=True):
-                own = slice(start, stop)
-                outs = np.flatnonzero(outside[own]) + start
-                home = np.mod(node, salts) == salt
-                for k in range(0, len(outs), 64):
-                    i = outs[k : k + 64]
-                    near = part[i][:, None] != part[own][None]
-                    near &= np.minimum(n[i][:, None], n[own][None]) >= similarity * np.maximum(n[i][:, None], n[own][None]) - 1e-6
-                    near &= (np.minimum(n[i][:, None], n[own][None]) < SURE) | (np.bitwise_count(fp[i][:, None] ^ fp[own][None]) <= WIDE)
-                    near &= ~outside[own][None] | ((node[i][:, None] < node[own][None]) & home[i][:, None])
-                    x, y = np.nonzero(near)
-                    a, b = node[i[x]], node[y + start]
-                    with np.errstate(over="ignore"):
-                        block = ((np.uint64(group[start].view(np.uint64)) + np.uint64(k)) * PRIME + (y >> 8).astype(np.uint64)).view(np.int64)
-                    found.append(np.stack([np.minimum(a, b), np.maximum(a, b), block], axis=1))
-            if found:
-                every = np.concatenate(found)
-                every = every[np.lexsort((every[:, 2], every[:, 1], every[:, 0]))]
-                new = np.r_[True, (every[1:, :2] != every[:-1, :2]).any(axis=1)][: len(every)]
-                every = every[new]
-                yield pa.RecordBatch.from_arrays([pa.array(every[:, 2]), pa.array(every[:, 0]), pa.array(every[:, 1])], names=["key", "a", "b"])
+            for group, stream, node, n, fp, part, outside, whole in zip(*(batch.column(c).to_pylist() for c in ("group", "stream", "node", "n", "fp", "part", "outside", "whole")), strict=True):
+                if group != at:
+                    at, held, sets, columns, joined = group, {}, [], None, common.UnionFind()
+                x = set(np.frombuffer(whole, np.uint64).tolist())
+                if not stream:
+                    if node not in held:
+                        held[node] = (node, n, fp, part, outside)
+                        sets.append(x)
+                    continue
+                if columns is None:
+                    columns = [np.array(c, np.int64) for c in zip(*held.values(), strict=True)] or [np.zeros(0, np.int64)] * 5
+                nodes, sizes, fps, parts, outs = columns
+                near = (parts != part) & (np.minimum(sizes, n) >= similarity * np.maximum(sizes, n) - 1e-6) & ((outs == 0) | (nodes > node))
+                near &= (np.minimum(sizes, n) < SURE) | (np.bitwise_count((fps ^ fp).view(np.uint64)) <= WIDE)
+                for k in np.flatnonzero(near).tolist():
+                    if joined.find(part) != joined.find(int(parts[k])) and _alike(x, sets[k], similarity):
+                        joined.link(part, int(parts[k]))
+                        found.append((node, int(nodes[k])))
+            yield _edges(found)
 
     return run
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of ``pairs(key, a, b)`` whose whole shingle sets are alike; a set is sent once to each block (key) of pairs that needs it."""
-    pairs = common.materialise(pairs, "pairs")
-    need = pairs.select("key", F.explode(F.array("a", "b")).alias("node")).distinct()
-    ends = need.select("node").distinct().join(nodes, "node").select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
-    wanted = texts.join(ends, (F.col("text_hash") == F.col("rep_hash")) & F.col("doc_id").eqNullSafe(F.col("rep_id")), "left_semi").select("text")
+def _alike(x: set, y: set, similarity: float) -> bool:
+    both = len(x & y)
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=common.EDGE)
+
+
+def _sets(wanted: DataFrame, texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """Whole shingle sets ``(node, whole)`` of the nodes of ``wanted(node)``, each read from one document that has it."""
+    ends = wanted.select("node").distinct().join(nodes, "node").select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
+    found = texts.join(ends, (F.col("text_hash") == F.col("rep_hash")) & F.col("doc_id").eqNullSafe(F.col("rep_id")), "left_semi").select("text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, words) for t in common.texts(batch)]
             yield pa.RecordBatch.from_arrays([pa.array([identity(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "whole"])
 
+    return found.mapInArrow(read, "node long, whole binary")
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of ``pairs(key, a, b)`` whose whole shingle sets are alike; a set is sent once to each block (key) of pairs that needs it."""
+    pairs = common.materialise(pairs, "pairs")
+    need = pairs.select("key", F.explode(F.array("a", "b")).alias("node")).distinct()
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, {}
         for batch in batches:
@@ -442,13 +452,11 @@ def _compared(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int,
                 if whole is not None:
                     held[a] = set(np.frombuffer(whole, np.uint64).tolist())
                     continue
-                x, y = held[a], held[b]
-                both = len(x & y)
-                if both >= similarity * (len(x) + len(y) - both) - 1e-9:
+                if _alike(held[a], held[b], similarity):
                     found.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=common.EDGE)
+            yield _edges(found)
 
-    sets = need.join(wanted.mapInArrow(read, "node long, whole binary"), "node").select("key", "whole", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"))
+    sets = need.join(_sets(need, texts, nodes, words), "node").select("key", "whole", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"))
     both = sets.union(pairs.select("key", F.lit(None).cast("binary"), "a", "b"))
     return both.repartition("key").sortWithinPartitions("key", F.col("whole").isNull()).mapInArrow(decide, "a long, b long")
 
@@ -510,13 +518,15 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, small:
     if not late_rows.isEmpty():
         waiting = common.materialise(late_rows.join(parted(labels), "node").select("key", "node", "n", "fp", "part"), "waiting")
         shares = waiting.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c"))
-        tops = shares.groupBy("key").agg(F.sum("c").alias("total"), F.max_by("part", F.struct("c", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        salts = F.ceil(F.col("total") / block).cast("long")
-        apart = waiting.join(tops, "key").select("key", "node", "n", "fp", "part", (F.col("part") != F.col("main")).alias("outside"), salts.alias("salts"))
-        place = F.when(F.col("outside"), F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).otherwise(F.array(F.pmod("node", "salts")))
-        grouped = apart.withColumn("salt", F.explode(place)).withColumn("group", F.xxhash64("key", "salt"))
-        pairs = grouped.repartition("group").sortWithinPartitions("group", "node").mapInArrow(_cross(similarity), "key long, a long, b long")
-        alike = _compared(_worth_it(pairs, parted(labels), similarity), texts, nodes, words, similarity)
+        tops = shares.groupBy("key").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        apart = common.materialise(waiting.join(tops, "key").select("main", "node", "n", "fp", "part").distinct(), "apart")
+        blocks = apart.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
+        placed = apart.join(blocks, "main").withColumn("outside", (F.col("part") != F.col("main")).cast("long"))
+        own = F.array(F.struct(F.lit(False).alias("stream"), F.pmod("node", "blocks").alias("block")))
+        each = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: F.struct(F.lit(True).alias("stream"), b.alias("block")))
+        dealt = placed.withColumn("place", F.explode(F.when(F.col("outside") == 1, F.concat(own, each)).otherwise(own)))
+        grouped = dealt.select(F.xxhash64("main", "place.block").alias("group"), "place.stream", "node", "n", "fp", "part", "outside").join(_sets(apart, texts, nodes, words), "node")
+        alike = grouped.repartition("group").sortWithinPartitions("group", "stream").mapInArrow(_outsiders(similarity), "a long, b long")
         labels = common.components(alike.union(stars(labels)))
     parts = every.select("doc_id", "text_hash", "node").join(labels, "node", "left").select("doc_id", "text_hash", F.coalesce("component", "node").alias("part"))
     heads = parts.groupBy("part").agg(head.alias("head"))
