@@ -12,13 +12,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lodestrata.llm import common
 
 #: Characters that every Unicode version in use classes alike; texts with others go to the slower library.
 PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa0-ɏͰ-ϿЀ-џ‐-‧‰-⁞一-龥]*\Z")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Open windows that a task holds; beyond it they are carried to the next round, as all are at a task's end.
 OPEN = 4096
+#: Carried pieces that one task of a further round takes.
+ROUND = 65_536
 
 
 @lru_cache(maxsize=4)
@@ -57,7 +61,7 @@ class Packer:
     def __init__(self, size: int, first: int) -> None:
         self.size, self.next = size, first
         self.count = np.zeros(size + 1, np.int64)  # windows by fill level; 0 and size stay 0
-        self.open: list[list[tuple[int, list]]] = [[] for _ in range(size + 1)]
+        self.open: list[list[list[tuple]]] = [[] for _ in range(size + 1)]
         self.n_open = 0
         self.rows: list[tuple] = []
 
@@ -69,8 +73,8 @@ class Packer:
         self.next += 1
         return self.next - 1
 
-    def _close(self, sequence: int, pieces: list) -> None:
-        at = 0
+    def _close(self, pieces: list[tuple]) -> None:
+        sequence, at = self._new(), 0
         for piece in pieces:
             self._emit(piece, sequence, at)
             at += len(piece[2])
@@ -89,39 +93,44 @@ class Packer:
         return len(best) - 1 - int(np.argmin(best[::-1]))
 
     def add(self, doc, ids: np.ndarray) -> None:
+        """Cut whole windows off a document's front and place the rest."""
         total, cut = len(ids), len(ids) // self.size * self.size
         for start in range(0, cut, self.size):
-            self._emit((doc, start, ids[start : start + self.size], total), self._new(), 0)
-        if cut == total:
-            return
-        piece, length = (doc, cut, ids[cut:].copy(), total), total - cut
+            self._close([(doc, start, ids[start : start + self.size], total)])
+        if cut < total:
+            self.place((doc, cut, ids[cut:].copy(), total))
+
+    def place(self, piece: tuple) -> None:
+        """Add a piece to a window of the level chosen for its length."""
+        length = len(piece[2])
         level = self.level_for(length)
+        pieces = [piece]
         if level:
-            sequence, pieces = self.open[level].pop()
+            pieces = self.open[level].pop() + pieces
             self.count[level] -= 1
             self.n_open -= 1
-        else:
-            sequence, pieces = self._new(), []
-        pieces.append(piece)
         if level + length == self.size:
-            self._close(sequence, pieces)
+            self._close(pieces)
             return
-        self.open[level + length].append((sequence, pieces))
+        self.open[level + length].append(pieces)
         self.count[level + length] += 1
         self.n_open += 1
-        if self.n_open > OPEN:
-            self.flush(last=False)
 
-    def flush(self, last: bool = True) -> None:
+    def carry(self) -> list[tuple]:
+        """The pieces of all open windows, which are given up."""
+        out = [x for level in self.open for pieces in level for x in pieces]
+        self.open = [[] for _ in range(self.size + 1)]
+        self.count[:] = 0
+        self.n_open = 0
+        return out
+
+    def flush(self) -> None:
         """Close all open windows, cutting pieces anew so that at most one is left over.
 
         What is left over becomes sequences whose lengths are powers of two, which take no padding.
         """
-        rest = [x for level in self.open for _, pieces in level for x in pieces]
+        rest = self.carry()
         left = sum(len(x[2]) for x in rest)
-        self.open = [[] for _ in range(self.size + 1)]
-        self.count[:] = 0
-        self.n_open = 0
         sequence, at, room = 0, 0, 0
         for doc, start, ids, total in rest:
             used = 0
@@ -134,35 +143,71 @@ class Packer:
                 used, at, room, left = used + take, at + take, room - take, left - take
 
 
-def pack(docs: DataFrame, path: str, size: int = 1024, end: int = 0) -> DataFrame:
+TYPES = [pa.int64()] * 7 + [pa.binary()]
+NAMES = [x.split()[0] for x in SCHEMA.split(", ")] + ["ids"]
+
+
+def _made(packer: Packer, carried: list[tuple]) -> pa.RecordBatch:
+    """Finished pieces, and carried ones with their ids and no sequence, in one batch; the packer's rows are given up."""
+    rows = [(*r, None) for r in packer.rows] + [(doc, start, len(ids), None, total, None, None, ids.astype("<u4").tobytes()) for doc, start, ids, total in carried]
+    packer.rows = []
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(TYPES)], names=NAMES)
+
+
+def pack(docs: DataFrame, path: str, size: int = 1024, end: int = 0, open_windows: int = OPEN, per_task: int = ROUND) -> DataFrame:
     """A row for each piece of each document: ``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)``.
 
     A document is its token ids, then the id ``end``. Whole windows are cut off its front; the
     rest goes, as documents come, to the fill level that keeps the sum of squared counts of
-    partially filled windows lowest. Each task packs the documents it reads and holds only
-    its open windows, at most OPEN of them; at its end these are closed up, so that a task
-    leaves no padding, only some short sequences of power-of-two lengths. Sequence ids hold
-    the task's number, so they are unique without any exchange of rows, and a task that runs
-    again over the same file splits gives the same rows. Null and empty texts are the end id
-    alone, rows with a null doc_id are packed too, repeated rows are packed each, an empty
-    table gives no rows.
+    partially filled windows lowest. Each task packs the documents it reads; what lies in windows
+    that are open at its end, or beyond ``open_windows``, is carried to further rounds, in which
+    fewer tasks place it, the longest first, by the same rule, up to ``per_task`` pieces each,
+    until one task has the rest, or a round places less than three in ten of them. Only what the
+    last round leaves open is cut anew, so that nothing is padded: there are some last sequences
+    of power-of-two lengths. Sequence ids hold the round and the task, so
+    they are unique. Null and empty texts are the end id alone, rows with a null doc_id are
+    packed too, repeated rows are packed each, an empty table gives no rows.
+
+    The ids are those of ``tokenizers`` (see :func:`encoder`).
     """
-    common.small_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = encoder(path), Packer(size, TaskContext.get().partitionId() << 36)
-
-        def out() -> pa.RecordBatch:
-            columns = list(zip(*packer.rows, strict=True)) or [()] * 7
-            packer.rows = []
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    schema = f"{SCHEMA}, ids binary"
 
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, packer = encoder(path), Packer(size, TaskContext.get().partitionId() << 32)
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), common.texts(batch), strict=True):
                 packer.add(doc, np.append(encode(text), np.uint32(end)))
+                if packer.n_open > open_windows:
+                    yield _made(packer, packer.carry())
+                elif len(packer.rows) > 20_000:
+                    yield _made(packer, [])
+        yield _made(packer, packer.carry())
+
+    def further(number: int, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            packer = Packer(size, (number << 58) + (TaskContext.get().partitionId() << 32))
+            for batch in batches:
+                for doc, start, total, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "ids")), strict=True):
+                    packer.place((doc, start, np.frombuffer(ids, "<u4"), total))
+                    if packer.n_open > open_windows and not last:
+                        yield _made(packer, packer.carry())
                 if len(packer.rows) > 20_000:
-                    yield out()
-        packer.flush()
-        yield out()
-
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+                    yield _made(packer, [])
+            if last:
+                packer.flush()
+            yield _made(packer, [] if last else packer.carry())
+
+        return run
+
+    made = common.materialise(docs.select("doc_id", "text").mapInArrow(first, schema), "packed")
+    out, number, before = made.where("ids is null"), 1, None
+    while n := made.where("ids is not null").count():
+        left = made.where("ids is not null")
+        tasks = -(-n // per_task)
+        last = tasks == 1 or (before is not None and n > 0.7 * before)
+        dealt = left.repartition(tasks, F.xxhash64("ids", "start")) if tasks > 1 else left.coalesce(1)
+        made = common.materialise(dealt.sortWithinPartitions(F.desc("length"), F.xxhash64("ids", "doc_id", "start")).mapInArrow(further(number, last), schema), "packed")
+        out, number, before = out.union(made.where("ids is null")), number + 1, n
+    return out.select(*NAMES[:7])

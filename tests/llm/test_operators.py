@@ -667,3 +667,65 @@ def test_contamination_of_odd_rows(spark):
     assert got == sorted([(0, True, [3]), (0, False, []), (7, True, [3]), (7, True, [3]), (7, False, []), (8, False, []), (9, False, []), (10, True, [70]), (11, True, [3])])
     left = drop_contaminated(df, bench)
     assert left.columns == df.columns and sorted(r.item_id for r in left.where("item_id > 0").collect()) == [2, 5, 6, 7]
+
+
+def packed_whole(pieces, size=1024):
+    """Checks that every id lies in one piece and that windows have no gap; how many pieces are cut elsewhere than at whole windows."""
+    docs, windows = {}, {}
+    for p in pieces:
+        docs.setdefault(p.doc_id, []).append((p.start, p.length, p.doc_tokens))
+        windows.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for own in docs.values():
+        at = 0
+        for start, length, total in sorted(own):
+            assert start == at
+            at += length
+        assert at == total
+    for own in windows.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= size and at & (at - 1) == 0
+    return sum(p.start % size > 0 for p in pieces)
+
+
+def test_packing_carries_open_windows(spark):
+    from lodestrata.llm.packing import pack
+    from lodestrata.llm.queries import tokenizer_path
+
+    rng = random.Random(61)
+    path = tokenizer_path("byte_bpe_50k.json")
+    rows = [(k, prose(rng, int(rng.paretovariate(1.1) * 30) % 1500)) for k in range(1500)]
+    docs = frame(spark, rows).repartition(8).cache()
+    whole = pack(docs, path).collect()
+    alone = packed_whole(pack(docs.coalesce(1), path).collect())
+    assert packed_whole(whole) <= 2 * alone + 20 <= len(rows) / 5  # tasks that closed their own windows would cut eight times as often
+    for options in ({"open_windows": 5, "per_task": 40}, {"open_windows": 5}, {"per_task": 10**6}):
+        packed_whole(pack(docs, path, **options).collect())
+
+
+def test_packing_of_odd_rows(spark):
+    from lodestrata.llm.packing import pack
+    from lodestrata.llm.queries import tokenizer_path
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(None, "a b c", 1), (None, None, 2), (3, "same", 3), (3, "same", 4), (4, "x " * 5000, 5)], "doc_id long, text string, offset int")
+    pieces = pack(docs, path).collect()
+    assert sum(p.length for p in pieces if p.doc_id is None) == 5 and sum(p.doc_id == 3 and p.start == 0 for p in pieces) == 2
+    assert sum(p.length for p in pieces) == 5 + 2 * 2 + next(p.doc_tokens for p in pieces if p.doc_id == 4)
+
+
+def test_plain_characters_get_the_ids_of_the_library():
+    from tokenizers import Tokenizer
+
+    from lodestrata.llm.packing import PLAIN, encoder
+    from lodestrata.llm.queries import tokenizer_path
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    model, encode, rng = Tokenizer.from_file(path), encoder(path), random.Random(62)
+    plain = [chr(c) for c in range(0x10000) if PLAIN.match(chr(c))]
+    assert len(plain) > 20_000
+    for k in range(0, len(plain), 97):  # every character once, between letters, digits, blanks and marks
+        text = "".join(c + rng.choice(["a", " ", "1", "'s", "  b", ".", "\n", "É"]) for c in plain[k : k + 97])
+        assert encode(text).tolist() == model.encode(text, add_special_tokens=False).ids
