@@ -381,7 +381,7 @@ def merge(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[int], list[in
 
 def _runs(span: int, bounds: list[bytes], ranges: int):
     """Rows (range, kind, blob): front-coded slices of sorted runs (0), and what was settled in a run (1)."""
-    edges = np.frombuffer(b"".join(b.ljust(16, b"\0") for b in bounds), ">u8").reshape(-1, 2).astype(np.uint64) if bounds else np.zeros((0, 2), np.uint64)
+    edges = np.array(bounds, "S16")  # in order; zero bytes at the end of a head don't count, nor do they in comparisons
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -396,12 +396,9 @@ def _runs(span: int, bounds: list[bytes], ranges: int):
             s = shrink(s, repeat, span)
             s = s.take(byte_order(s.right))
             # suffixes alike in their first KMER bytes must meet: boundaries are of fewer
-            head = np.ascontiguousarray(s.right[:, :16])
-            head[:, HEAD:] = 0
-            word = head.view(">u8").astype(np.uint64).reshape(-1, 2)
-            target = np.zeros(len(s), np.int64)
-            for a, b in edges:
-                target += (word[:, 0] > a) | ((word[:, 0] == a) & (word[:, 1] >= b))
+            head = np.zeros((len(s), 16), np.uint8)
+            head[:, :HEAD] = s.right[:, :HEAD]
+            target = np.searchsorted(edges, head.view("S16").ravel(), side="right")
             cut = np.flatnonzero(np.r_[True, target[1:] != target[:-1], True]) if len(s) else np.zeros(1, np.int64)
             rows = [(int(target[a]), 0, front_code(s.take(np.arange(a, b)))) for a, b in zip(cut[:-1], cut[1:], strict=True)]
             if len(found[0]):
@@ -499,7 +496,7 @@ def cut_out(data: bytes, spans: np.ndarray) -> tuple[bytes, int, int]:
 
 
 def _sample(docs: DataFrame, n: int, span: int, ranges: int) -> list[bytes]:
-    """Boundaries of the ranges, from the anchors of a bounded sample of documents."""
+    """Boundaries of the ranges, from the anchors of a bounded sample of documents, which grows with the ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -508,9 +505,9 @@ def _sample(docs: DataFrame, n: int, span: int, ranges: int) -> list[bytes]:
             place = place[:: max(1, len(place) // 4000)]
             yield pa.RecordBatch.from_arrays([pa.array([data[p : p + HEAD].tobytes() for p in place.tolist()], pa.binary())], names=["head"])
 
-    chance = min(1.0, SAMPLE / max(1, n))
+    chance = min(1.0, max(SAMPLE, ranges) / max(1, n))
     some = docs.where(F.pmod(F.xxhash64("h", F.lit(3)), F.lit(1 << 20)) < int(chance * (1 << 20)) + 1)
-    heads = sorted(r[0] for r in some.select("text").mapInArrow(run, "head binary").limit(200_000).collect())
+    heads = sorted(r[0] for r in some.select("text").mapInArrow(run, "head binary").limit(max(200_000, 20 * ranges)).collect())
     return [bytes(heads[len(heads) * i // ranges]) for i in range(1, ranges)] if heads else []
 
 
@@ -544,7 +541,8 @@ def remove_repeats(docs: DataFrame, span: int = 100, with_text: bool = False) ->
 
     repeated = slim.select("k", "text").mapInArrow(_hashes(span, ranges), "bucket int, docs binary, counts binary, hashes binary").repartition(ranges, "bucket").mapInArrow(_repeated, "k long, hashes binary")
     thin = slim.select("k", "h", F.unhex(F.md5(F.col("text").cast("binary"))).alias("md5"), F.octet_length("text").alias("n"))
-    first = thin.groupBy("md5").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last").drop("last")
+    # a table of its own, so that a text of very many documents can be split in the join
+    first = common.materialise(thin.groupBy("md5").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last").drop("last"), "first-copies")
     copies = thin.join(first, "md5").where("k > first").select("k", "h", "n")
     notes = repeated.select("k", "hashes", F.lit(None).cast("long").alias("copy")).union(copies.select("k", F.lit(None).cast("binary"), F.col("h")))
     notes = notes.repartition(ranges, "k").groupBy("k").agg(F.collect_list("hashes").alias("hashes"), F.collect_set("copy").alias("copies"))
