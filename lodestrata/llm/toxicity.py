@@ -101,12 +101,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from at most ``sample`` labelled documents (those of smallest id hash), none of which is held out.
 
     Three tenths of them give the lexicon, a further half the trees, the rest the calibration,
-    so that no part learns from what another has already fitted. Without labels of both kinds
+    so that no part learns from what another has already fitted. Of several texts under one
+    doc_id the smallest counts. Without labels of both kinds
     the score counts distinct insults.
     """
     picked = labels.where("toxic in (0, 1) and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     picked = picked.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(sample).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(10)))
-    rows = common.materialise(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic", "fold"), "toxic-train")
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"), F.first("fold").alias("fold"))
+    rows = common.materialise(texts.select("text", "toxic", "fold"), "toxic-train")
     lexicon, stems = learn_lexicon(rows.where("fold < 3"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             x = [features(t, lexicon, stems) for t in common.texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("fold"), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "fold", "x"])
 
-    got = rows.where("fold >= 3").mapInArrow(run, "toxic int, fold long, x array<double>").limit(4 * sample).collect()
+    got = rows.where("fold >= 3").mapInArrow(run, "toxic int, fold long, x array<double>").collect()
     got.sort(key=lambda r: (r.fold, r.toxic, r.x))
     x, y, fold = np.array([r.x for r in got]).reshape(len(got), N_FEATURES), np.array([r.toxic for r in got], float), np.array([r.fold for r in got])
     fit = fold < 8
