@@ -41,6 +41,11 @@ def version(path: str) -> str:
         return hashlib.sha256(lib.encode() + b"\0" + f.read()).hexdigest()
 
 
+def cache_path(spark, path: str) -> str:
+    """Where the counts of a tokenizer version are kept, in the folder that all executors share."""
+    return f"{common.shared_dir(spark)}/lodestrata/token-counts/{version(path)[:16]}"
+
+
 def cached(spark, cache: str) -> DataFrame:
     """The cache as stored; none yet counts as empty."""
     if common.path_exists(spark, cache):
@@ -54,7 +59,8 @@ def count_tokens(docs: DataFrame, path: str, cache: str, limit: int = 4096) -> D
     Content is normalised to its UTF-8 bytes with null as empty (nothing that could change a
     count) and digested. Digests that the cache lacks for this tokenizer version are encoded,
     one document for each, and appended to the cache; counts then come from the cache alone.
-    Texts move only for the misses. Rows with a null doc_id are counted too, repeated rows stay
+    Texts of hits are digested where they lie; those that are joined with the misses are
+    exchanged unless the misses are few enough to be broadcast. Rows with a null doc_id are counted too, repeated rows stay
     repeated, an empty table gives no rows and leaves the cache as it is.
     """
     spark = docs.sparkSession
@@ -63,7 +69,7 @@ def count_tokens(docs: DataFrame, path: str, cache: str, limit: int = 4096) -> D
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
     known = cached(spark, cache).where(F.col("tokenizer") == tokenizer).select("digest")
-    first = keyed.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id")).alias("r"))
+    first = common.materialise(keyed.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id")).alias("r")), "digests")
     misses = first.join(known, "digest", "left_anti").select(F.col("digest").alias("miss"), F.col("r.doc_id").alias("rep"))
     wanted = keyed.join(misses, keyed.doc_id.eqNullSafe(F.col("rep")) & (F.col("digest") == F.col("miss"))).select("digest", "text")
 
@@ -83,6 +89,8 @@ def count_tokens(docs: DataFrame, path: str, cache: str, limit: int = 4096) -> D
     new = wanted.mapInArrow(run, "digest binary, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     new.select(F.lit(tokenizer).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
     # two runs at once may both store a digest: the counts agree
-    counts = cached(spark, cache).where(F.col("tokenizer") == tokenizer).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    stored = cached(spark, cache).where(F.col("tokenizer") == tokenizer).select("digest", "n_tokens")
+    # a table of its own, so that a digest of very many documents can be split in the last join
+    counts = common.materialise(first.select("digest").join(stored, "digest").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     sized = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
     return sized.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
