@@ -39,14 +39,18 @@ def features(text: str) -> list[float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Boosted | None:
-    """A text classifier from at most ``sample`` labelled documents, those of smallest id hash; None without labels of both kinds."""
+    """A text classifier from at most ``sample`` labelled documents, those of smallest id hash; None without labels of both kinds.
+
+    Of several texts under one doc_id the smallest counts.
+    """
     picked = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array([features(t) for t in common.texts(batch)], pa.list_(pa.float64()))], names=["quality", "x"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "quality").mapInArrow(run, "quality int, x array<double>").limit(4 * sample).collect()
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))
+    rows = texts.select("text", "quality").mapInArrow(run, "quality int, x array<double>").collect()
     rows.sort(key=lambda r: (r.quality, r.x))
     y = np.array([r.quality for r in rows], float)
     if not 0 < y.sum() < len(y):
@@ -55,17 +59,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Boosted | N
 
 
 def evidence(docs: DataFrame, model: Boosted | None) -> DataFrame:
-    """``docs`` with ``evidence``, the text classifier's chance of good quality (0.5 without a model)."""
+    """The columns of ``docs`` but its text, with ``evidence``, the text classifier's chance of good quality (0.5 without a model)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    place = docs.columns.index("text")
+    others = [c for c in docs.columns if c != "text"]
+    at, rest = docs.columns.index("text"), [k for k, c in enumerate(docs.columns) if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(place).to_pylist()]
+            texts = [t or "" for t in batch.column(at).to_pylist()]
             p = held.value.predict(np.array([features(t) for t in texts]).reshape(len(texts), N_FEATURES)) if held.value else np.full(len(texts), 0.5)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, "evidence"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in rest), pa.array(p, pa.float64())], names=[*others, "evidence"])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias("evidence")).schema)
+    return docs.mapInArrow(run, docs.select(*others, F.lit(0.0).alias("evidence")).schema)
 
 
 def logit(p: Column) -> Column:
@@ -99,26 +104,52 @@ def site_priors(scored: DataFrame, levels: tuple[str, ...]) -> tuple[float, Data
         groups = sums.groupBy(*keys).agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
         groups = groups.withColumn("prior", F.lit(overall)) if rates is None else groups.join(rates.withColumnRenamed("rate", "prior"), keys[:-1])
         weight = _strength(groups, F.col("prior"))
-        rates = groups.select(*keys, ((F.col("good") + weight * F.col("prior")) / (F.col("n") + weight)).alias("rate"))
+        above = [F.struct(F.lit(float(total[0] or 0)).alias("good"), F.lit(int(total[1] or 0)).alias("n"), F.lit(0.0).alias("weight"))] if rates is None else []
+        path = F.concat(F.array(*above) if above else F.col("path"), F.array(F.struct("good", "n", F.lit(weight).alias("weight"))))
+        rates = groups.select(*keys, ((F.col("good") + weight * F.col("prior")) / (F.col("n") + weight)).alias("rate"), path.alias("path"))
     return overall, common.materialise(rates, "site-rates")
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, levels: tuple[str, ...] = ("source", "lang"), threshold: float = 0.5) -> DataFrame:
-    """``docs`` with ``evidence``, ``site_rate``, ``quality_score`` and ``keep``.
+def without(own: Column, path: Column, depth: int) -> Column:
+    """The rate of a site from all its documents but one, whose evidence is ``own``: the other documents' sums, shrunk level by level."""
+    rate = F.lit(0.5)
+    for k in range(depth + 1):
+        level = path[k]
+        others = level["n"] - 1 + level["weight"]
+        rate = F.when(others > 0, (level["good"] - own + level["weight"] * rate) / others).otherwise(rate)
+    return F.least(F.greatest(rate, F.lit(0.0)), F.lit(1.0))
+
+
+def judge(docs: DataFrame, labels: DataFrame, levels: tuple[str, ...] = ("source", "lang"), threshold: float = 0.5) -> DataFrame:
+    """The columns of ``docs`` but its text, with ``text_hash``, ``evidence``, ``site_rate``, ``quality_score`` and ``keep``.
 
     A document's log odds are those of its text plus what its site's shrunk rate says beyond the
-    global one. Sites are paths of ``levels`` (host first); a null level is a site of its own;
-    null and empty texts are judged by all-zero features and their site; repeated rows are
-    judged each; an empty table gives no rows. Clashing column names of ``docs`` are replaced.
+    global one; the site's rate is that of its other documents. Sites are paths of ``levels``
+    (host first); a null level is a site of its own; null and empty texts are judged by all-zero
+    features and their site; repeated rows are judged each; an empty table gives no rows.
+    Clashing column names of ``docs`` are replaced. Texts are read once for the evidence (and
+    a bounded sample of them for the fit), what follows moves evidence and sites only.
     """
     common.small_batches(docs.sparkSession)
-    docs = docs.drop("evidence", "site_rate", "quality_score", "keep")
+    docs = docs.drop("text_hash", "evidence", "site_rate", "quality_score", "keep")
     keys = [f"_site{k}" for k in range(len(levels))]
     model = fit(docs, labels)
-    named = lambda df: df.select("*", *(F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(k) for c, k in zip(levels, keys, strict=True)))
-    thin = common.materialise(named(evidence(docs.select("text", *levels), model).drop("text")).select(*keys, "evidence"), "evidence")
-    overall, rates = site_priors(thin, tuple(keys))
-    scored = named(evidence(docs, model)).join(rates, keys, "left")
-    odds = logit(F.col("evidence")) + logit(F.col("rate")) - logit(F.lit(overall))
+    hashed = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    thin = common.materialise(evidence(hashed, model), "evidence")
+    named = thin.select("*", *(F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(k) for c, k in zip(levels, keys, strict=True)))
+    overall, rates = site_priors(named, tuple(keys))
+    scored = named.join(rates.withColumnRenamed("path", "_path"), keys, "left").withColumn("site_rate", without(F.col("evidence"), F.col("_path"), len(levels)))
+    odds = logit(F.col("evidence")) + logit(F.col("site_rate")) - logit(F.lit(overall))
     out = scored.withColumn("quality_score", 1 / (1 + F.exp(-odds)))
-    return out.select(*docs.columns, "evidence", F.col("rate").alias("site_rate"), "quality_score", (F.col("quality_score") >= threshold).alias("keep"))
+    return out.select(*thin.columns, "site_rate", "quality_score", (F.col("quality_score") >= threshold).alias("keep"))
+
+
+def drop_low_quality(docs: DataFrame, labels: DataFrame, levels: tuple[str, ...] = ("source", "lang"), threshold: float = 0.5) -> DataFrame:
+    """Rows of ``docs`` that :func:`judge` keeps, whatever other columns there are; rows of equal doc_id, text and site fare alike."""
+    names = ["_bad_id", "_bad_text", *(f"_bad{k}" for k in range(len(levels)))]
+    bad = judge(docs.select("doc_id", "text", *levels), labels, levels, threshold).where("not keep").select("doc_id", "text_hash", *levels).distinct().toDF(*names)
+    hashed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = F.col("_text_hash") == F.col("_bad_text")
+    for mine, theirs in zip(["doc_id", *levels], [names[0], *names[2:]], strict=True):
+        same &= F.col(mine).eqNullSafe(F.col(theirs))
+    return hashed.join(bad, same, "left_anti").select(*docs.columns)

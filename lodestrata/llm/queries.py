@@ -36,10 +36,10 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lodestrata.llm.tokens import count_tokens
+    from lodestrata.llm.tokens import cache_path, count_tokens
 
-    docs = common.table(spark, sf_dir, "documents")
-    return count_tokens(docs, tokenizer_path("piece_bpe_32k.model"), common.scratch_path(spark, "token-cache"))
+    path = tokenizer_path("piece_bpe_32k.model")
+    return count_tokens(common.table(spark, sf_dir, "documents"), path, cache_path(spark, path))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,9 +61,9 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lodestrata.llm.quality import classify_quality
+    from lodestrata.llm.quality import judge
 
-    found = classify_quality(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+    found = judge(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
     return found.select("doc_id", "evidence", "site_rate", "quality_score", "keep")
 
 

@@ -303,15 +303,17 @@ def labelled(seed, n=400):
 
 
 def test_quality(spark):
-    from lodestrata.llm.quality import classify_quality
+    from lodestrata.llm.quality import drop_low_quality, judge
 
     docs, labels = labelled(11)
     df = spark.createDataFrame([(i, t, "h" if i % 3 else None, "en", 5, True) for i, t in [*docs, (900, None), (901, "")]], "doc_id long, text string, source string, lang string, n_chars long, keep boolean")
     lab = spark.createDataFrame([(*x, 1) for x in labels[:300]] + [(None, 1, 1, 1), (5, None, 0, 1)], "doc_id long, quality int, toxic int, text int")
-    got = {r.doc_id: r.keep for r in classify_quality(df, lab).collect()}
+    got = {r.doc_id: r.keep for r in judge(df, lab).collect()}
     assert sum(got[i] == bool(q) for i, q, _ in labels) >= 0.98 * len(labels) and len(got) == len(docs) + 2
-    assert classify_quality(df.limit(0), lab).count() == 0
-    assert classify_quality(df, lab.limit(0)).count() == len(docs) + 2
+    assert judge(df.limit(0), lab).count() == 0
+    assert judge(df, lab.limit(0)).count() == len(docs) + 2
+    kept = drop_low_quality(df, lab)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, k in got.items() if k)
 
 
 def test_site_priors_shrink(spark):
@@ -729,3 +731,116 @@ def test_plain_characters_get_the_ids_of_the_library():
     for k in range(0, len(plain), 97):  # every character once, between letters, digits, blanks and marks
         text = "".join(c + rng.choice(["a", " ", "1", "'s", "  b", ".", "\n", "É"]) for c in plain[k : k + 97])
         assert encode(text).tolist() == model.encode(text, add_special_tokens=False).ids
+
+
+def test_quality_posterior_leaves_the_document_out(spark):
+    from lodestrata.llm.quality import _strength, judge
+
+    docs, labels = labelled(71, 240)
+    rng = random.Random(72)
+    sites = [("big", "en")] * 120 + [("big", None)] * 40 + [("small", "de")] * 5 + [(None, "en")] * 74 + [("one", "fr")]
+    rows = [(i, t, *s, 1) for (i, t), s in zip(docs, sites, strict=True)]
+    rows += [rows[0], (None, docs[1][1], "big", "en", 1)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, evidence int")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = judge(df, lab).collect()
+    assert len(got) == len(rows)
+    logit = lambda p: float(np.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6))))
+    everything = [r.evidence for r in got]
+    overall = sum(everything) / len(got)
+    shrunk, weights, prior = {}, [], {(): overall}
+    for depth in (1, 2):  # rates with all documents, for the weights
+        groups = {}
+        for r in got:
+            groups.setdefault((r.source, r.lang)[:depth], []).append(r.evidence)
+        table = spark.createDataFrame([(float(sum(x)), len(x), prior[k[:-1]]) for k, x in groups.items()], "good double, n long, prior double")
+        w = _strength(table, table.prior)
+        weights.append(w)
+        shrunk = {k: (sum(x) + w * prior[k[:-1]]) / (len(x) + w) for k, x in groups.items()}
+        prior = shrunk
+    for k, r in enumerate(got):
+        others = [x for j, x in enumerate(got) if j != k]
+        rate = sum(x.evidence for x in others) / len(others)
+        for depth, w in zip((1, 2), weights, strict=True):
+            own = [x.evidence for x in others if (x.source, x.lang)[:depth] == (r.source, r.lang)[:depth]]
+            rate = (sum(own) + w * rate) / (len(own) + w)
+        assert abs(rate - r.site_rate) < 1e-9
+        score = 1 / (1 + np.exp(-(logit(r.evidence) + logit(rate) - logit(overall))))
+        assert abs(score - r.quality_score) < 1e-6 and r.keep == (r.quality_score >= 0.5)
+
+
+@pytest.mark.parametrize("dims", [64, 768])
+def test_embedding_recall_of_planted_links(spark, dims):
+    from lodestrata.llm.embeddings import near_vectors
+
+    rng = np.random.default_rng(81)
+    centre = rng.standard_normal((120, dims)) * np.geomspace(1, 0.1, dims)  # unequal spread over the dimensions
+    near = centre + np.linalg.norm(centre, axis=1, keepdims=True) * rng.uniform(0.25, 0.5, (120, 1)) * (e := rng.standard_normal((120, dims))) / np.linalg.norm(e, axis=1, keepdims=True)
+    hot = centre[0] + 0.01 * rng.standard_normal((60, dims))
+    rows = np.concatenate([centre, near, hot])
+    rows = rows.astype(np.float32)
+    unit = rows.astype(float) / np.linalg.norm(rows.astype(float), axis=1, keepdims=True)
+    links = unit @ unit.T >= 0.9
+    np.fill_diagonal(links, False)
+    want = links.sum(axis=1)
+    assert 40 < (want[120:240] > 0).sum() < 120
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(rows.tolist())], "vec_id long, embedding array<float>")
+    for crowd in (1 << 22, 10):  # two hashes, three hashes
+        got = np.array([r.n_links for r in near_vectors(df, crowd=crowd).orderBy("vec_id").collect()])
+        assert (got <= want).all() and got.sum() >= 0.97 * want.sum()
+
+
+def test_embeddings_of_repeated_rows_and_rows_without_id(spark):
+    from lodestrata.llm.embeddings import near_vectors
+
+    v, w = [1.0, 0.0, 0.5], [0.0, 1.0, 0.0]
+    rows = [(5, v), (5, v), (None, v), (None, w), (3, [0.99, 0.01, 0.5])]
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(0, 0, 0, False), (0, 3, 3, False), (3, 3, 3, True), (5, 3, 3, False), (5, 3, 3, False)]
+
+
+def test_token_cache_hits_and_misses(spark, tmp_path):
+    from lodestrata.llm.queries import tokenizer_path
+    from lodestrata.llm.tokens import cached, count_tokens
+
+    path, cache = tokenizer_path("piece_bpe_32k.model"), f"file://{tmp_path}/cache"
+    rows = corpus(82)
+    first = {r.doc_id: r.n_tokens for r in count_tokens(frame(spark, rows[:20]), path, cache).collect()}
+    known = cached(spark, cache)
+    assert known.count() == len({t or "" for _, t in rows[:20]})
+    poisoned = known.withColumn("n_tokens", known.n_tokens + 1000).collect()
+    spark.createDataFrame(poisoned, known.schema).write.parquet(f"{cache}2")  # what is in the cache is believed, what isn't is encoded
+    texts = {t or "" for _, t in rows[:20]}
+    again = count_tokens(frame(spark, rows), path, f"{cache}2").collect()
+    fresh = {r.doc_id: r.n_tokens for r in count_tokens(frame(spark, rows), path, f"{cache}3").collect()}
+    text = dict(rows)
+    assert {r.doc_id: r.n_tokens for r in again} == {i: n + 1000 * ((text[i] or "") in texts) for i, n in fresh.items()}
+    assert {i: fresh[i] for i in first} == first
+    assert cached(spark, f"{cache}2").count() == len({t or "" for _, t in rows})
+
+
+def test_ranges_of_many_boundaries():
+    import time
+
+    from lodestrata.llm.repeats import HEAD
+
+    rng = np.random.default_rng(83)
+    heads = rng.integers(0, 3, (50_000, 16)).astype(np.uint8)
+    heads[:, HEAD:] = 0
+    bounds = sorted({bytes(h[:HEAD]) for h in heads[:20_000]})[:10_000]
+    start = time.perf_counter()
+    target = np.searchsorted(np.array(bounds, "S16"), heads.view("S16").ravel(), side="right")
+    assert time.perf_counter() - start < 5
+    for k in range(0, 50_000, 997):
+        assert target[k] == sum(b.rstrip(b"\0") <= bytes(heads[k]).rstrip(b"\0") for b in bounds)
+
+
+def test_toxicity_of_repeated_rows(spark):
+    from lodestrata.llm.toxicity import score_toxicity
+
+    docs, labels = labelled(84, 600)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    once = {r.doc_id: r.score for r in score_toxicity(frame(spark, docs), lab).collect()}
+    twice = score_toxicity(frame(spark, [*docs, *docs, *docs[:100]]), lab).collect()
+    assert len(twice) == 1300 and all(abs(once[r.doc_id] - r.score) < 1e-9 for r in twice)
