@@ -12,15 +12,14 @@ from pyspark.sql import functions as F
 from lodestrata.llm import common, queries
 from lodestrata.llm.decontaminate import drop_contaminated
 from lodestrata.llm.packing import pack
-from lodestrata.llm.quality import classify_quality
+from lodestrata.llm.quality import drop_low_quality
 from lodestrata.llm.repeats import remove_repeats
 from lodestrata.llm.simhash import drop_near_copies
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject; repeated rows are judged alike, null texts by their site and all-zero features."""
-    judged = classify_quality(docs, common.table(spark, sf_dir, "labels"))
-    return judged.where("keep").select(*docs.columns)
+    return drop_low_quality(docs, common.table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
