@@ -188,7 +188,7 @@ COMMON, MOST = 64, 200_000
 #: in a second round those that aren't joined to the group's largest component with all others, without a row for a pair.
 SMALL = 64
 #: Prefix shingles that a task holds before it deals them, and that a range of them holds on average.
-RUN = 1 << 20
+RUN = 1 << 19
 #: Shingle sets that a task of the second round holds, to compare the outsiders of their group with them.
 BLOCK = 512
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -198,7 +198,7 @@ class Hashes(dict):
     """64-bit hashes of words, computed once for each while there is room."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 18:
+        if len(self) >= 1 << 16:
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word, SEED)
         return found
@@ -273,7 +273,7 @@ def _marks(words: int):
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), batch.column("doc_id"), batch.column("text_hash"), pa.array([identity(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps)], schema=MARK)
             held += sets
             size += sum(map(len, sets))
-            if size > 1 << 22:
+            if size > 1 << 21:
                 yield often(held)
                 held, size = [], 0
         if held:
@@ -396,7 +396,7 @@ def _outsiders(similarity: float):
             for group, stream, node, n, fp, part, outside, whole in zip(*(batch.column(c).to_pylist() for c in ("group", "stream", "node", "n", "fp", "part", "outside", "whole")), strict=True):
                 if group != at:
                     at, held, sets, columns, joined = group, {}, [], None, common.UnionFind()
-                x = set(np.frombuffer(whole, np.uint64).tolist())
+                x = _unpacked(whole)
                 if not stream:
                     if node not in held:
                         held[node] = (node, n, fp, part, outside)
@@ -416,8 +416,22 @@ def _outsiders(similarity: float):
     return run
 
 
-def _alike(x: set, y: set, similarity: float) -> bool:
-    both = len(x & y)
+def _packed(whole: np.ndarray) -> bytes:
+    """A shingle set as it is sent: the upper 40 bits of its hashes, in order."""
+    return whole.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    wide = np.zeros((len(blob) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+    return wide.view(">u8").ravel().astype(np.uint64)
+
+
+def _alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is as asked for."""
+    if len(x) > len(y):
+        x, y = y, x
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
     return both >= similarity * (len(x) + len(y) - both) - 1e-9
 
 
@@ -426,14 +440,14 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _sets(wanted: DataFrame, texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """Whole shingle sets ``(node, whole)`` of the nodes of ``wanted(node)``, each read from one document that has it."""
+    """Whole shingle sets ``(node, whole)``, packed, of the nodes of ``wanted(node)``, each read from one document that has it."""
     ends = wanted.select("node").distinct().join(nodes, "node").select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
     found = texts.join(ends, (F.col("text_hash") == F.col("rep_hash")) & F.col("doc_id").eqNullSafe(F.col("rep_id")), "left_semi").select("text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, words) for t in common.texts(batch)]
-            yield pa.RecordBatch.from_arrays([pa.array([identity(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "whole"])
+            yield pa.RecordBatch.from_arrays([pa.array([identity(s) for s in sets], pa.int64()), pa.array([_packed(s) for s in sets], pa.binary())], names=["node", "whole"])
 
     return found.mapInArrow(read, "node long, whole binary")
 
@@ -450,7 +464,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int,
                 if key != at:
                     at, held = key, {}
                 if whole is not None:
-                    held[a] = set(np.frombuffer(whole, np.uint64).tolist())
+                    held[a] = _unpacked(whole)
                     continue
                 if _alike(held[a], held[b], similarity):
                     found.append((a, b))
