@@ -278,6 +278,8 @@ def _marks(words: int):
                 held, size = [], 0
         if held:
             yield often(held)
+        del held
+        common.release()
 
     return run
 
@@ -349,6 +351,8 @@ def _deal(words: int, similarity: float, late, ranges: int, small: int, most: in
                     held, seen, size = [], set(), 0
         if held:
             yield packed(held, hash(held[-1][1]))
+        del held, seen
+        common.release()
 
     return run
 
@@ -382,6 +386,8 @@ def _meet(small: int):
                 j = np.flatnonzero(few & (place >= step))
                 if len(j):
                     yield out(PAIR, keys[j], nodes[j - step], nodes[j])
+            rows, cells, array, keys, nodes, place, few = (None,) * 7
+        common.release()
 
     return run
 
@@ -392,7 +398,7 @@ def _outsiders(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, sets, columns, joined = None, {}, [], None, common.UnionFind()
         for batch in batches:
-            found = []
+            found: list[tuple[int, int]] = []
             for group, stream, node, n, fp, part, outside, whole in zip(*(batch.column(c).to_pylist() for c in ("group", "stream", "node", "n", "fp", "part", "outside", "whole")), strict=True):
                 if group != at:
                     at, held, sets, columns, joined = group, {}, [], None, common.UnionFind()
@@ -412,6 +418,8 @@ def _outsiders(similarity: float):
                         joined.link(part, int(parts[k]))
                         found.append((node, int(nodes[k])))
             yield _edges(found)
+        del held, sets, columns, joined
+        common.release()
 
     return run
 
@@ -448,6 +456,7 @@ def _sets(wanted: DataFrame, texts: DataFrame, nodes: DataFrame, words: int) ->
         for batch in batches:
             sets = [shingles(t, words) for t in common.texts(batch)]
             yield pa.RecordBatch.from_arrays([pa.array([identity(s) for s in sets], pa.int64()), pa.array([_packed(s) for s in sets], pa.binary())], names=["node", "whole"])
+        common.release()
 
     return found.mapInArrow(read, "node long, whole binary")
 
@@ -469,6 +478,8 @@ def _compared(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int,
                 if _alike(held[a], held[b], similarity):
                     found.append((a, b))
             yield _edges(found)
+        del held
+        common.release()
 
     sets = need.join(_sets(need, texts, nodes, words), "node").select("key", "whole", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"))
     both = sets.union(pairs.select("key", F.lit(None).cast("binary"), "a", "b"))
@@ -511,10 +522,12 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, small:
     parted = lambda labels: nodes.join(labels, "node", "left").select("node", "n", "fp", F.coalesce("component", "node").alias("part"))
     stars = lambda labels: labels.select(F.col("component").alias("a"), F.col("node").alias("b"))
 
+    joined = lambda edges: common.components(common.materialise(edges, "alike"))
+
     firsts = nodes.groupBy("fp").agg(F.min("node").alias("node"))
     equal = nodes.select("fp", F.col("node").alias("b")).join(firsts.withColumnRenamed("node", "a"), "fp").select("a", "b")
     close = equal.union(links(firsts)).select(F.xxhash64("a", F.pmod("b", F.lit(1024))).alias("key"), "a", "b")
-    labels = common.components(_compared(_worth_it(close, nodes.withColumn("part", F.col("node")), similarity), texts, nodes, words, similarity))
+    labels = joined(_compared(_worth_it(close, nodes.withColumn("part", F.col("node")), similarity), texts, nodes, words, similarity))
 
     often = made.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "node").limit(MOST).toArrow()
     late = np.zeros(often.num_rows, [("hash", np.uint64), ("place", np.int64)])
@@ -526,7 +539,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, small:
     dealt = texts.select("text").mapInArrow(_deal(words, similarity, held, ranges, small, run), "range long, kind int, x binary, y binary, z binary")
     met = common.materialise(dealt.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(_meet(small), "kind int, key long, a long, b long"), "met")
     alike = _compared(_worth_it(met.where(F.col("kind") == PAIR), parted(labels), similarity), texts, nodes, words, similarity)
-    labels = common.components(alike.union(stars(labels)))
+    labels = joined(alike.union(stars(labels)))
 
     late_rows = met.where(F.col("kind") == LATER).select("key", F.col("a").alias("node")).distinct()
     if not late_rows.isEmpty():
@@ -541,7 +554,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, small:
         dealt = placed.withColumn("place", F.explode(F.when(F.col("outside") == 1, F.concat(own, each)).otherwise(own)))
         grouped = dealt.select(F.xxhash64("main", "place.block").alias("group"), "place.stream", "node", "n", "fp", "part", "outside").join(_sets(apart, texts, nodes, words), "node")
         alike = grouped.repartition("group").sortWithinPartitions("group", "stream").mapInArrow(_outsiders(similarity), "a long, b long")
-        labels = common.components(alike.union(stars(labels)))
+        labels = joined(alike.union(stars(labels)))
     parts = every.select("doc_id", "text_hash", "node").join(labels, "node", "left").select("doc_id", "text_hash", F.coalesce("component", "node").alias("part"))
     heads = parts.groupBy("part").agg(head.alias("head"))
     kept = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash"))
