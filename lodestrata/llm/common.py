@@ -73,6 +73,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Remainders of hashes that tell rows which can't be among the removed ones; a broadcast of as many numbers at most.
+PLACES = 1 << 19
+
+
+def suspects(docs: DataFrame, hashed: str, gone: DataFrame, gone_hash: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two parts: rows whose hash (a column) no row of ``gone`` can have, and the others.
+
+    Only the second part need be joined with ``gone``, so texts that stay aren't exchanged. The
+    parts are told by remainders of hashes, of which there are PLACES at most, whatever the size.
+    """
+    places = materialise(gone.select(F.pmod(gone_hash, F.lit(PLACES)).alias("_place")).distinct(), "places")
+    placed = docs.withColumn("_place", F.pmod(hashed, F.lit(PLACES)))
+    side = lambda how: placed.join(F.broadcast(places), "_place", how).drop("_place")
+    return side("left_anti"), side("left_semi")
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """Texts of a batch; null counts as empty."""
     return [t or "" for t in batch.column(name).to_pylist()]

@@ -332,5 +332,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose text holds no benchmark item, whatever their doc_id and other columns."""
     hashed = docs.withColumn("_hit_text", F.xxhash64(F.coalesce("text", F.lit(""))))
     hits = find_contamination(hashed.select(F.col("_hit_text").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_hit")).distinct()
-    hits = common.materialise(hits, "hits")  # its size is known then: few rows are broadcast, and no text is exchanged
-    return hashed.join(hits, F.col("_hit_text") == F.col("_hit"), "left_anti").select(*docs.columns)
+    hits = common.materialise(hits, "hits")
+    sure, rest = common.suspects(hashed, "_hit_text", hits, "_hit")
+    return sure.select(*docs.columns).union(rest.join(hits, F.col("_hit_text") == F.col("_hit"), "left_anti").select(*docs.columns))

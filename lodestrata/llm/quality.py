@@ -148,9 +148,10 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, levels: tuple[str, ...]
     """Rows of ``docs`` that :func:`judge` keeps, whatever other columns there are; rows of equal doc_id, text and site fare alike."""
     names = ["_bad_id", "_bad_text", *(f"_bad{k}" for k in range(len(levels)))]
     bad = judge(docs.select("doc_id", "text", *levels), labels, levels, threshold).where("not keep").select("doc_id", "text_hash", *levels).distinct().toDF(*names)
-    bad = common.materialise(bad, "rejected")  # its size is known then: few rows are broadcast, and no text is exchanged
+    bad = common.materialise(bad, "rejected")
     hashed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     same = F.col("_text_hash") == F.col("_bad_text")
     for mine, theirs in zip(["doc_id", *levels], [names[0], *names[2:]], strict=True):
         same &= F.col(mine).eqNullSafe(F.col(theirs))
-    return hashed.join(bad, same, "left_anti").select(*docs.columns)
+    sure, rest = common.suspects(hashed, "_text_hash", bad, "_bad_text")
+    return sure.select(*docs.columns).union(rest.join(bad, same, "left_anti").select(*docs.columns))

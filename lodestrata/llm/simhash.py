@@ -555,22 +555,26 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, small:
         grouped = dealt.select(F.xxhash64("main", "place.block").alias("group"), "place.stream", "node", "n", "fp", "part", "outside").join(_sets(apart, texts, nodes, words), "node")
         alike = grouped.repartition("group").sortWithinPartitions("group", "stream").mapInArrow(_outsiders(similarity), "a long, b long")
         labels = joined(alike.union(stars(labels)))
+    labels = common.materialise(labels, "labels")
     parts = every.select("doc_id", "text_hash", "node").join(labels, "node", "left").select("doc_id", "text_hash", F.coalesce("component", "node").alias("part"))
-    heads = parts.groupBy("part").agg(head.alias("head"))
-    kept = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash"))
-    return parts.join(heads, "part").select("doc_id", "text_hash", F.col("head.doc_id").alias("component_id"), kept.alias("kept"))
+    # only what has several rows, and a table of its own, so that a component of very many documents can be split in the join
+    heads = common.materialise(parts.groupBy("part").agg(head.alias("head"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows"), "heads")
+    alone = F.col("head").isNull()
+    kept = alone | (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash")))
+    return parts.join(heads, "part", "left").select("doc_id", "text_hash", F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"), kept.alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of ``docs`` for each component of :func:`near_copies`, whatever other columns there are.
 
     Of repeated rows (one doc_id and text) that with the smallest hash of all its columns stays.
-    Texts move only where Spark must join them with many removed rows.
+    Only texts that may be among the removed or repeated ones are exchanged.
     """
     fates = near_copies(docs, words, similarity).groupBy("doc_id", "text_hash").agg(F.max("kept").alias("_near_kept"), F.count(F.lit(1)).alias("_near_n")).where("not _near_kept or _near_n > 1")
     fates = common.materialise(fates.select(F.col("doc_id").alias("_near_id"), F.col("text_hash").alias("_near_hash"), "_near_kept", "_near_n"), "fates")
     hashed = docs.withColumn("_near_text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    judged = hashed.join(fates, (F.col("_near_text") == F.col("_near_hash")) & F.col("doc_id").eqNullSafe(F.col("_near_id")), "left")
+    sure, rest = common.suspects(hashed, "_near_text", fates, "_near_hash")
+    judged = rest.join(fates, (F.col("_near_text") == F.col("_near_hash")) & F.col("doc_id").eqNullSafe(F.col("_near_id")), "left")
     order = Window.partitionBy("doc_id", "_near_text").orderBy(F.xxhash64(*docs.columns))
     once = judged.where("_near_kept").withColumn("_near_row", F.row_number().over(order)).where("_near_row = 1")
-    return judged.where("_near_kept is null").select(*docs.columns).union(once.select(*docs.columns))
+    return sure.select(*docs.columns).union(judged.where("_near_kept is null").select(*docs.columns)).union(once.select(*docs.columns))
