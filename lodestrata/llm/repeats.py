@@ -34,7 +34,7 @@ from lodestrata.llm import common
 KMER = 32
 #: Anchors that a task gathers into one run, and bytes hashed at a time.
 RUN = 150_000
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 #: Documents expected in the sample that gives the ranges' boundaries.
 SAMPLE = 4000
 NONE = -(1 << 63)
@@ -147,11 +147,12 @@ def _hashes(span: int, buckets: int):
             k = batch.column("k").to_numpy()
             held.append((k[np.searchsorted(stops, place, "right")], h))
             n += len(h)
-            if n > 2_000_000:
+            if n > 1_000_000:
                 yield out()
                 n = 0
         if held:
             yield out()
+        common.release()
 
     return run
 
@@ -435,6 +436,7 @@ def _runs(span: int, bounds: list[bytes], ranges: int):
                     n = 0
         if held:
             yield out()
+        common.release()
 
     return run
 
@@ -479,6 +481,8 @@ def _merged(span: int):
         for c in range(0, len(cut) - 1, 10_000):
             at = cut[c : c + 10_001].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(k[at[:-1]], pa.int64()), pa.array(h[at[:-1]], pa.int64()), pa.array([pairs[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["k", "h", "spans"])
+        del k, h, a, b, order, cut, pairs, found, held
+        common.release()
 
     return run
 

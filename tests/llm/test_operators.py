@@ -844,3 +844,29 @@ def test_toxicity_of_repeated_rows(spark):
     once = {r.doc_id: r.score for r in score_toxicity(frame(spark, docs), lab).collect()}
     twice = score_toxicity(frame(spark, [*docs, *docs, *docs[:100]]), lab).collect()
     assert len(twice) == 1300 and all(abs(once[r.doc_id] - r.score) < 1e-9 for r in twice)
+
+
+def test_anchors_across_blocks(monkeypatch):
+    from lodestrata.llm import repeats
+
+    rng = np.random.default_rng(91)
+    data = rng.integers(97, 100, 5000).astype(np.uint8)
+    stops = np.array([1700, 1750, 5000])
+    place, h = repeats.anchors(data, stops, 100)
+    for block in (150, 1024, 4999):
+        monkeypatch.setattr(repeats, "BLOCK", block)
+        again = repeats.anchors(data, stops, 100)
+        assert (again[0] == place).all() and (again[1] == h).all()
+
+
+def test_repeats_of_odd_rows(spark):
+    from lodestrata.llm.repeats import remove_repeats
+
+    rng = random.Random(92)
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = [(None, a), (1, a), (1, a), (2, b), (2, b + " " + a), (3, None), (4, "x" * 99), (5, "x" * 99), (6, "é" * 80)]
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in remove_repeats(frame(spark, rows)).collect())
+    whole = lambda t: len(t.encode())
+    assert got[:3] == [(0, whole(a), 0), (1, whole(a), whole(a)), (1, whole(a), whole(a))]
+    assert {r[2] for r in got if r[0] in (3, 4, 5)} == {0} and len(got) == len(rows)
+    assert sum(r[2] for r in got if r[0] == 2) >= whole(a) + whole(b) - 1
