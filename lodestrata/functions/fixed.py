@@ -4,7 +4,6 @@ HEAD_BYTES = 65536
 HEAD_LINES = 20
 ACCEPT = 0.5
 LOW_CONFIDENCE = 0.7
-RECORDS_PER_FILE = 1000
 BINARY_SHARE = 0.3
 FREE_TEXT_LENGTH = 100
 

@@ -16,6 +16,8 @@ from lodestrata.functions.fixed import DIALECTS
 
 BOMS = [(b"\xff\xfe\x00\x00", "utf-32"), (b"\x00\x00\xfe\xff", "utf-32"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"), (b"\xef\xbb\xbf", "utf-8-sig")]
 HEAD = 64 << 10
+#: Values nested deeper than this aren't read as JSON.
+DEPTH = 500
 
 
 def is_binary(raw: bytes) -> bool:
@@ -26,7 +28,7 @@ def is_binary(raw: bytes) -> bool:
     return head.count(0) > max(len(head) / 256, 1) or control / len(head) > 0.3
 
 
-def detect_encoding(raw: bytes) -> str:
+def encoding_of(raw: bytes) -> str:
     """BOM, then strict UTF-8, then GB18030, then Latin-1."""
     for bom, name in BOMS:
         if raw.startswith(bom):
@@ -43,14 +45,29 @@ def detect_encoding(raw: bytes) -> str:
 
 
 def decode(raw: bytes, encoding: str | None = None) -> str:
-    return raw.decode(encoding or detect_encoding(raw), "replace")
+    return raw.decode(encoding or encoding_of(raw), "replace")
+
+
+_BRACKET = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{}]', re.S)
+
+
+def shallow(text: str) -> bool:
+    """Whether brackets outside strings are nested DEPTH deep at most."""
+    if text.count("[") + text.count("{") <= DEPTH:
+        return True
+    depth = 0
+    for m in _BRACKET.finditer(text):
+        depth += (m[0] in "[{") - (m[0] in "]}")
+        if depth > DEPTH:
+            return False
+    return True
 
 
 def json_line(line: str):
-    """Parsed value, None if it isn't JSON."""
+    """Parsed value, None if it isn't JSON or nested too deep."""
     try:
-        return json.loads(line)
-    except ValueError:
+        return json.loads(line) if shallow(line) else None
+    except (ValueError, RecursionError):
         return None
 
 
@@ -68,19 +85,24 @@ def relaxed_json(text: str):
             return json.dumps(t[1:-1].replace("\\'", "'"))
         return "" if t[0] in "/," else json.dumps(t)
 
+    if not shallow(text):
+        raise ValueError("nested too deep")
     return json.loads(_TOKEN.sub(fix, text))
 
 
-def concatenated_values(text: str, most: int = 2000) -> list:
+_BETWEEN = re.compile(r"[\s,\[\]]*")
+
+
+def concatenated_values(text: str) -> list:
     """Values that follow one another, whatever brackets and commas stand between; stops at the first that doesn't parse."""
     out, at, decoder = [], 0, json.JSONDecoder()
-    while len(out) < most:
-        at += len(re.match(r"[\s,\[\]]*", text[at:])[0])
-        if at >= len(text):
-            break
+    while (at := _BETWEEN.match(text, at).end()) < len(text):
+        start = at
         try:
             value, at = decoder.raw_decode(text, at)
-        except ValueError:
+        except (ValueError, RecursionError):
+            break
+        if not shallow(text[start:at]):
             break
         out.append(value)
     return out
@@ -97,9 +119,12 @@ def array_prefix(text: str) -> tuple[list, bool]:
         at = gap.match(stripped, at).end()
         if stripped[at : at + 1] == "]" and not out:
             return out, not stripped[at + 1 :].strip()
+        start = at
         try:
             value, at = decoder.raw_decode(stripped, at)
-        except ValueError:
+        except (ValueError, RecursionError):
+            return out, False
+        if not shallow(stripped[start:at]):
             return out, False
         out.append(value)
         at = gap.match(stripped, at).end()
@@ -248,8 +273,30 @@ def sql_tables(text: str) -> dict[str, list[dict]]:
     return rows
 
 
+OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def sheet_parts(z: zipfile.ZipFile) -> dict[str, str]:
+    """Where a workbook's relations say its sheets lie, by relation id."""
+    name = "xl/_rels/workbook.xml.rels"
+    if name not in z.namelist():
+        return {}
+    places = {r.get("Id"): r.get("Target", "") for r in ET.fromstring(z.read(name))}
+    return {k: p.lstrip("/") if p.startswith("/") else f"xl/{p}" for k, p in places.items()}
+
+
+def number(text: str | None):
+    """A cell's number, whole if written so; other text as it is."""
+    for kind in (int, float):
+        try:
+            return kind(text or "")
+        except ValueError:
+            pass
+    return text
+
+
 def xlsx_sheets(raw: bytes) -> dict[str, list[list]]:
-    """Cells of each sheet by row, as text; ValueError if it isn't a workbook."""
+    """Cells of each sheet by row; sheets whose part is missing are left out; ValueError if it isn't a workbook."""
     ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
     try:
         z = zipfile.ZipFile(io.BytesIO(raw))
@@ -259,10 +306,13 @@ def xlsx_sheets(raw: bytes) -> dict[str, list[list]]:
     shared = []
     if "xl/sharedStrings.xml" in z.namelist():
         shared = ["".join(t.text or "" for t in si.iter(f"{{{ns['m']}}}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", ns)]
-    out = {}
-    for k, sheet in enumerate(book.find("m:sheets", ns), 1):
+    out, parts = {}, sheet_parts(z)
+    for sheet in book.find("m:sheets", ns) if book.find("m:sheets", ns) is not None else ():
+        part = parts.get(sheet.get(f"{{{OFFICE}}}id"), f"xl/worksheets/sheet{len(out) + 1}.xml")
+        if part not in z.namelist():
+            continue
         rows = []
-        for row in ET.fromstring(z.read(f"xl/worksheets/sheet{k}.xml")).iter(f"{{{ns['m']}}}row"):
+        for row in ET.fromstring(z.read(part)).iter(f"{{{ns['m']}}}row"):
             cells: dict[int, object] = {}
             for c in row:
                 letters = re.match(r"[A-Z]*", c.get("r", ""))[0]
@@ -271,7 +321,7 @@ def xlsx_sheets(raw: bytes) -> dict[str, list[list]]:
                     column = column * 26 + ord(ch) - 64
                 v = c.find("m:v", ns)
                 inline = "".join(t.text or "" for t in c.iter(f"{{{ns['m']}}}t"))
-                value = inline if c.get("t") == "inlineStr" else None if v is None else shared[int(v.text)] if c.get("t") == "s" else v.text if c.get("t") in ("str", "b") else (float(v.text) if "." in v.text else int(v.text))
+                value = inline if c.get("t") == "inlineStr" else None if v is None else shared[int(v.text)] if c.get("t") == "s" else v.text if c.get("t") in ("str", "b", "e", "d") else number(v.text)
                 cells[column or len(cells) + 1] = value
             rows.append([cells.get(i) for i in range(1, max(cells, default=0) + 1)])
         out[sheet.get("name")] = rows
@@ -334,8 +384,21 @@ def cluster_shapes(shapes: list[dict[str, set[str]]]) -> list[int]:
     return out
 
 
-def file_records(fmt: str, raw: bytes, encoding: str | None, most: int = 1000) -> list[tuple[str, object]]:
-    """(partition, record) of a file by format; explicit wrapper keys, tables and sheets are partitions of their own."""
+def file_records(fmt: str, raw: bytes, encoding: str | None, most: int | None = None) -> list[tuple[str, object]]:
+    """(partition, record) of a file by format, the first ``most`` of each partition if that is set.
+
+    Explicit wrapper keys, tables and sheets are partitions of their own.
+    """
+    taken: Counter = Counter()
+    out = []
+    for part, record in _every_record(fmt, raw, encoding):
+        taken[part] += 1
+        if most is None or taken[part] <= most:
+            out.append((part, record))
+    return out
+
+
+def _every_record(fmt: str, raw: bytes, encoding: str | None) -> list[tuple[str, object]]:
     if fmt == "xlsx":
         try:
             sheets = xlsx_sheets(raw)
@@ -345,20 +408,20 @@ def file_records(fmt: str, raw: bytes, encoding: str | None, most: int = 1000) -
         for name, rows in sheets.items():
             rows = [r for r in rows if any(c not in (None, "") for c in r)]
             head = [str(c) if c not in (None, "") else f"col_{j}" for j, c in enumerate(rows[0])] if rows else []
-            out += [(f"sheet:{name}", dict(zip(head, [*r, *[None] * (len(head) - len(r))], strict=False))) for r in rows[1 : most + 1]]
+            out += [(f"sheet:{name}", dict(zip(head, [*r, *[None] * (len(head) - len(r))], strict=False))) for r in rows[1:]]
         return out
     text = decode(raw, encoding).removeprefix("\ufeff")
     if fmt in ("csv", "tsv"):
         rows, _ = csv_rows(text, "\t" if fmt == "tsv" else None)
         if not rows or len(set(rows[0])) < 2:
             return []
-        return [("csv", dict(zip(rows[0], [*r[: len(rows[0])], *[None] * (len(rows[0]) - len(r))], strict=True))) for r in rows[1 : most + 1]]
+        return [("csv", dict(zip(rows[0], [*r[: len(rows[0])], *[None] * (len(rows[0]) - len(r))], strict=True))) for r in rows[1:]]
     if fmt == "sql":
-        return [(f"table:{t}", r) for t, rs in sql_tables(text).items() for r in rs[:most]]
+        return [(f"table:{t}", r) for t, rs in sql_tables(text).items() for r in rs]
     if fmt == "json":
         whole = json_line(text)
         if isinstance(whole, dict):
-            keyed = [(k, r) for k, v in whole.items() if isinstance(v, list) and v and isinstance(v[0], dict) for r in v[:most] if isinstance(r, dict)]
+            keyed = [(k, r) for k, v in whole.items() if isinstance(v, list) and v and isinstance(v[0], dict) for r in v if isinstance(r, dict)]
             if keyed:
                 return [(f"key:{k}", r) for k, r in keyed]
         return [("", r) for r in json_records(text) if isinstance(r, dict)]

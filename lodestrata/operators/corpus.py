@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import difflib
 import json
+import re
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions import parse
@@ -96,30 +99,75 @@ def global_view(fields: DataFrame, units: DataFrame) -> DataFrame:
     return u.crossJoin(f).select("A", "B", F.round(F.col("A") / F.col("B"), 3).alias("A_per_B"), "pii_seeds", "records", "units")  # one row by one row
 
 
+def bands(profiles: DataFrame) -> Column:
+    """Length band of a field from its type and mean length: the type and the rounded binary logarithm, ``nolen`` without lengths."""
+    mean = profiles["len_mean"]
+    return F.when(profiles["type"].isNotNull(), F.concat_ws(":", profiles["type"], F.when(mean > 0, F.bround(F.log2(mean + 1)).cast("int").cast("string")).otherwise(F.lit("nolen"))))
+
+
+def _closure(edges: list[tuple[str, str]]) -> dict[str, str]:
+    """The smallest of the keys that each key reaches."""
+    up: dict[str, str] = {}
+
+    def top(x: str) -> str:
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((top(a), top(b)))
+        up[b] = a
+    return {x: top(x) for x in up}
+
+
 def vocabulary(fields: DataFrame, unit: str, evidence_b: bool = False) -> DataFrame:
     """(semantic_class, key_name, units): fields aligned by shared personal-data type, else by key.
 
-    With ``evidence_b`` fields of one type and length band also join, if two units or more share the band.
-    The graph is between the few types and bands, so its components are found on those keys.
+    With ``evidence_b`` fields also join by their ``band`` (:func:`bands`), if two units or more
+    share it, and by what that reaches: types and bands are the nodes of a graph whose edges
+    are the fields that have both. There are a few types and, lengths being rounded to powers
+    of two, some dozens of bands for each, so the driver closes the graph over them. A class is
+    named by its most frequent personal-data type, else by its most frequent key (the smallest
+    of several).
     """
     pii = F.when(F.col("pii.level") == "high_conf", F.col("pii.type"))
     base = fields.select(unit, "key_name", pii.alias("pii_type"), *(["band"] if evidence_b else [F.lit(None).cast("string").alias("band")]))
     if evidence_b:
-        wide = base.groupBy("band").agg(F.countDistinct(unit).alias("k")).where("k >= 2").select("band")
-        base = base.join(wide.withColumn("ok", F.lit(True)), "band", "left").withColumn("band", F.when(F.col("ok"), F.col("band"))).drop("ok")
-        links = base.where("band is not null and pii_type is not null").groupBy("band").agg(F.max_by("pii_type", F.lit(1)).alias("band_type"))
-        base = base.join(links, "band", "left").withColumn("pii_type", F.coalesce("pii_type", "band_type"))
-    cls = F.when(F.col("pii_type").isNotNull(), F.concat(F.lit("<"), F.upper("pii_type"), F.lit(">"))).otherwise(F.coalesce("band", F.col("key_name")) if evidence_b else F.col("key_name"))
-    return base.withColumn("semantic_class", cls).groupBy("semantic_class", "key_name").agg(F.array_sort(F.collect_set(unit)).alias("units"))
+        wide = base.groupBy("band").agg(F.countDistinct(unit).alias("k")).where("k >= 2").select("band", F.lit(True).alias("ok"))
+        base = base.join(F.broadcast(wide), "band", "left").withColumn("band", F.when(F.col("ok"), F.col("band"))).drop("ok")
+    node = F.coalesce(F.concat(F.lit("type:"), "pii_type"), F.concat(F.lit("band:"), "band"))
+    edges = base.where("pii_type is not null and band is not null").select(F.concat(F.lit("type:"), "pii_type").alias("a"), F.concat(F.lit("band:"), "band").alias("b")).distinct()
+    reached = _closure(sorted(tuple(r) for r in edges.collect())) if evidence_b else {}
+    labels = fields.sparkSession.createDataFrame(sorted(reached.items()), "node string, label string")
+    placed = base.withColumn("node", node).join(F.broadcast(labels), "node", "left").withColumn("cluster", F.coalesce("label", "node", F.concat(F.lit("key:"), "key_name")))
+    names = placed.groupBy("cluster", "pii_type", "key_name").agg(F.count(F.lit(1)).alias("n"))
+    most = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct((-F.col("n")).alias("n"), c))).getField(c)
+    types = names.groupBy("cluster", "pii_type").agg(F.sum("n").alias("n")).groupBy("cluster").agg(most("pii_type").alias("modal_type"))
+    keys = names.groupBy("cluster", "key_name").agg(F.sum("n").alias("n")).groupBy("cluster").agg(most("key_name").alias("modal_key"))
+    cls = F.coalesce(F.concat(F.lit("<"), F.upper("modal_type"), F.lit(">")), F.col("modal_key"))
+    return placed.join(types.join(keys, "cluster"), "cluster").withColumn("semantic_class", cls).groupBy("semantic_class", "key_name").agg(F.array_sort(F.collect_set(unit)).alias("units"))
 
 
 def similarity(a: str, b: str) -> float:
-    strip = lambda s: "".join(c for c in s.lower() if c not in "_- ")
-    return difflib.SequenceMatcher(None, strip(a), strip(b)).ratio()
+    a, b = (re.sub(r"[_\-\s]+", "", s.lower()) for s in (a, b))
+    return difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0
 
 
 def name_conflicts(vocab: DataFrame, least: float = 0.45) -> DataFrame:
-    """Pairs of key names in one class that look unlike each other; classes hold few names."""
-    alike = F.udf(similarity, "double")
+    """Pairs of key names in one class that look unlike each other; classes hold few names, and each distinct pair is rated once."""
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            rated = [similarity(a, b) for a, b in zip(x.column("a").to_pylist(), x.column("b").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), pa.array(rated, pa.float64())], names=["a", "b", "similarity"])
+
     a, b = vocab.select("semantic_class", F.col("key_name").alias("a")), vocab.select("semantic_class", F.col("key_name").alias("b"))
-    return a.join(b, "semantic_class").where("a < b").withColumn("similarity", alike("a", "b")).where(F.col("similarity") < least)
+    pairs = a.join(b, "semantic_class").where("a < b")
+    rated = pairs.select("a", "b").distinct().mapInArrow(rate, "a string, b string, similarity double").where(F.col("similarity") < least)
+    return pairs.join(rated, ["a", "b"]).select("semantic_class", "a", "b", "similarity")
+
+
+def uncertain(vocab: DataFrame, least: float = 0.45) -> DataFrame:
+    """(semantic_class, key_names, units) of the classes that hold two names unlike each other."""
+    doubted = name_conflicts(vocab, least).select("semantic_class").distinct()
+    return vocab.join(doubted, "semantic_class", "left_semi").groupBy("semantic_class").agg(F.array_sort(F.collect_set("key_name")).alias("key_names"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("units")))).alias("units"))

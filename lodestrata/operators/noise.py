@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.parse import csv_cells
 
-STRUCT, INSERTED = -1, -2
+INSERTED = -2
 CLS, SEP, PAD, IGNORE = 0xE000, 0xE001, 0, -100
 EFFECTS = {"A": ("truncation", "unclosed_quote"), "B": ("unescaped_delimiter",), "C": ("delete_delimiter",)}
 
@@ -65,27 +65,39 @@ def inject(text: str, rng: random.Random, tries: int = 6) -> tuple[str, list[int
     return text, list(range(len(text))), ""
 
 
+def boundaries(cells: list[tuple | None]) -> tuple[list[int], list[int], list[int]]:
+    """For each character the column of its cell, whether a field begins there, and whether a record does."""
+    field, new_field, new_record, last = [], [], [], None
+    for cell in cells:
+        field.append(cell[1] if cell else IGNORE)
+        new_field.append(int(bool(cell) and (last is None or cell[:2] != last[:2])))
+        new_record.append(int(bool(cell) and (last is None or cell[0] != last[0])))
+        last = cell or last
+    return field, new_field, new_record
+
+
+def encode(text: str, size: int) -> list[int]:
+    """Code points between CLS and SEP, cut and padded to ``size``."""
+    body = [ord(c) for c in text][: size - 2]
+    return [CLS, *body, SEP, *[PAD] * (size - 2 - len(body))]
+
+
 def example(text: str, rng: random.Random, columns: dict[int, int] | None = None, size: int = 512) -> dict:
     """Labelled training example of a damaged text: code points and, for each, field, boundaries and damage."""
     before = align(text)
     noised, source, effect = inject(text, rng)
     oracle = [before.get(s) if s >= 0 else None for s in source]
-    field, new_field, new_record, damaged, last = [], [], [], [], None
-    for cell, s in zip(oracle, source, strict=True):
-        field.append(cell[1] if cell else IGNORE)
-        new_field.append(int(bool(cell) and (last is None or cell[:2] != last[:2])))
-        new_record.append(int(bool(cell) and (last is None or cell[0] != last[0])))
-        damaged.append(int(s == INSERTED))
-        last = cell or last
+    field, new_field, new_record = boundaries(oracle)
+    damaged = [int(s == INSERTED) for s in source]
     spans = observe(noised)
     anchor = []
     for _, _, a, b in spans:
         rows = Counter(oracle[i][0] for i in range(a, b) if oracle[i])
         anchor.append(max(rows, key=lambda r: (rows[r], -r)) if rows else -1)
-    body = [ord(c) for c in noised][: size - 2]
-    n, room = len(body), size - 2 - min(len(noised), size - 2)
+    n = min(len(noised), size - 2)
+    room = size - 2 - n
     wrap = lambda xs, edge, pad: [edge, *xs[:n], edge, *[pad] * room]
-    return {"input_ids": [CLS, *body, SEP, *[PAD] * room], "attention": [1] * (n + 2) + [0] * room, "field": wrap(field, IGNORE, IGNORE), "new_field": wrap(new_field, 0, 0), "new_record": wrap(new_record, 0, 0), "damaged": wrap(damaged, 0, 0), "spans": [[a + 1, b + 1] for _, _, a, b in spans], "anchor": anchor, "effect": effect, "noised": noised}
+    return {"input_ids": encode(noised, size), "attention": [1] * (n + 2) + [0] * room, "field": wrap(field, IGNORE, IGNORE), "new_field": wrap(new_field, 0, 0), "new_record": wrap(new_record, 0, 0), "damaged": wrap(damaged, 0, 0), "spans": [[a + 1, b + 1] for _, _, a, b in spans], "anchor": anchor, "effect": effect, "noised": noised}
 
 
 def observe(text: str) -> list[tuple[int, int, int, int]]:
@@ -106,6 +118,35 @@ def examples(docs: DataFrame, size: int = 512) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, input_ids array<int>, attention array<int>, field array<int>, new_field array<int>, new_record array<int>, damaged array<int>, anchor array<int>, effect string, noised string")
 
 
+def clean_labels(docs: DataFrame, key: str) -> DataFrame:
+    """(key, char_idx, field, new_field) of every character of undamaged texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, at, field, new = [], [], [], []
+            for i, t in zip(b.column(key).to_pylist(), b.column("text").to_pylist(), strict=True):
+                cells = align(t or "")
+                f, n, _ = boundaries([cells.get(k) for k in range(len(t or ""))])
+                ids += [i] * len(f)
+                at += range(len(f))
+                field += f
+                new += n
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(key).type), *(pa.array(x, pa.int32()) for x in (at, field, new))], names=[key, "char_idx", "field", "new_field"])
+
+    return docs.select(key, "text").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, char_idx int, field int, new_field int")
+
+
+def encoded(docs: DataFrame, key: str, pad: int = 0) -> DataFrame:
+    """(key, input_ids): code points of whole texts between their marks, and ``pad`` places more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = [encode(t or "", len(t or "") + 2 + pad) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(ids, pa.list_(pa.int32()))], names=[key, "input_ids"])
+
+    return docs.select(key, "text").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, input_ids array<int>")
+
+
 def truncate_by_hash(text: Column, key: Column) -> Column:
     """A cut in the second half of the text, placed by the key: reproducible in SQL."""
     half = F.floor(F.length(text) / 2).cast("int")

@@ -111,10 +111,28 @@ def render_units(units: DataFrame, n: int = 3) -> DataFrame:
     return units.select("unit_id", "fmt", "skeleton").mapInArrow(run, "unit_id string, fmt string, text string")
 
 
+def write_rows(docs: DataFrame) -> DataFrame:
+    """(unit_id, fmt, text) of documents (unit_id, fmt, skeleton map<path, type>, rows array of JSON objects)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cells = zip(*(b.column(c).to_pylist() for c in ("unit_id", "fmt", "skeleton", "rows")), strict=True)
+            text = [write(surface(f), u, dict(s), [json.loads(r) for r in rows]) for u, f, s, rows in cells]
+            yield pa.RecordBatch.from_arrays([b.column("unit_id"), b.column("fmt"), pa.array(text, pa.string())], names=["unit_id", "fmt", "text"])
+
+    return docs.select("unit_id", "fmt", "skeleton", "rows").mapInArrow(run, "unit_id string, fmt string, text string")
+
+
 def verify(rendered: DataFrame, units: DataFrame) -> DataFrame:
     """(unit_id, jaccard, ok, missing, extra): paths read back from each document against the unit's."""
-    paths = F.udf(lambda f, t: sorted(recovered_paths(f, t)), "array<string>")
-    both = rendered.withColumn("got", paths("fmt", "text")).join(units.select("unit_id", F.map_keys("skeleton").alias("want")), "unit_id")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [sorted(recovered_paths(f, t)) for f, t in zip(b.column("fmt").to_pylist(), b.column("text").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("unit_id"), pa.array(got, pa.list_(pa.string()))], names=["unit_id", "got"])
+
+    recovered = rendered.select("unit_id", "fmt", "text").mapInArrow(read, "unit_id string, got array<string>")
+    both = recovered.join(units.select("unit_id", F.map_keys("skeleton").alias("want")), "unit_id")
     union = F.size(F.array_union("got", "want"))
     return both.select("unit_id", F.round(F.when(union > 0, F.size(F.array_intersect("got", "want")) / union).otherwise(0.0), 3).alias("jaccard"), ((F.size("want") > 0) & (F.size(F.array_except("want", "got")) == 0)).alias("ok"), F.slice(F.array_sort(F.array_except("want", "got")), 1, 20).alias("missing"), F.slice(F.array_sort(F.array_except("got", "want")), 1, 20).alias("extra"))
 

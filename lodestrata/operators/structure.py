@@ -39,8 +39,8 @@ def tier_counts(graded: DataFrame) -> DataFrame:
     return graded.groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
 
 
-def records(sniffed: DataFrame, most: int = fixed.RECORDS_PER_FILE) -> DataFrame:
-    """(path, fmt, part, rec_seq, rec): records as JSON text, by file and explicit partition."""
+def records(sniffed: DataFrame, most: int | None = None) -> DataFrame:
+    """(path, fmt, part, rec_seq, rec): records as JSON text, by file and explicit partition; the first ``most`` of each, if set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -73,13 +73,21 @@ def leaves(recs: DataFrame, keys: list[str], column: str = "rec") -> DataFrame:
     return recs.select(*keys, column).mapInArrow(run, ddl)
 
 
-def field_types(leaf: DataFrame, unit: list[str], record: str) -> DataFrame:
-    """Per unit and path: records with a value, occurrence, dominant type and its share, all types."""
-    total = leaf.groupBy(*unit).agg(F.countDistinct(record).alias("n_records"))
-    typed = leaf.where("type <> 'null'").groupBy(*unit, "field_path", "type").agg(F.count(F.lit(1)).alias("n"))
-    seen = leaf.where("type <> 'null'").groupBy(*unit, "field_path").agg(F.countDistinct(record).alias("n_present"))
-    best = typed.groupBy(*unit, "field_path").agg(F.max_by("type", F.struct("n", "type")).alias("type"), F.round(F.max("n") / F.sum("n"), 4).alias("dominant_ratio"), F.array_sort(F.collect_set("type")).alias("types"))
-    return best.join(seen, [*unit, "field_path"]).join(total, unit).select(*unit, "field_path", "type", "dominant_ratio", "types", "n_present", F.round(F.col("n_present") / F.col("n_records"), 4).alias("occurrence"))
+def field_types(leaf: DataFrame, unit: list[str], record: str, recs: DataFrame | None = None) -> DataFrame:
+    """Per unit and path: records with a value, occurrence, dominant type (first seen of several) and its share, all types.
+
+    Occurrence is over all records of ``recs``, those without leaves too; without ``recs`` over
+    those with leaves. A path that is always null has type null and occurrence 0.
+    """
+    total = (leaf if recs is None else recs).groupBy(*unit).agg(F.countDistinct(record).alias("n_records"))
+    some = F.col("type") != "null"
+    per = leaf.groupBy(*unit, "field_path", record).agg(F.collect_list("type").alias("kinds"))  # one row for each record and path
+    kinds = per.select(*unit, "field_path", record, F.explode("kinds").alias("type"))
+    typed = kinds.groupBy(*unit, "field_path", "type").agg(F.count(F.lit(1)).alias("n"), F.min(record).alias("first"))
+    best = typed.groupBy(*unit, "field_path").agg(F.min(F.when(some, F.struct((-F.col("n")).alias("n"), "first", "type"))).alias("top"), F.sum(F.when(some, F.col("n"))).alias("n"), F.array_sort(F.collect_set(F.when(some, F.col("type")))).alias("types"))
+    seen = per.groupBy(*unit, "field_path").agg(F.sum(F.exists("kinds", lambda k: k != "null").cast("long")).alias("n_present"))
+    share = F.round(-F.col("top.n") / F.col("n"), 4)
+    return best.join(seen, [*unit, "field_path"]).join(total, unit).select(*unit, "field_path", F.coalesce("top.type", F.lit("null")).alias("type"), share.alias("dominant_ratio"), "types", "n_present", F.round(F.col("n_present") / F.col("n_records"), 4).alias("occurrence"))
 
 
 def signatures(recs: DataFrame, keys: list[str], column: str = "rec") -> DataFrame:
@@ -162,8 +170,8 @@ def free_text(leaf: DataFrame, unit: list[str]) -> DataFrame:
     return s.groupBy(*unit, "field_path").agg(((F.avg(F.length("value")) >= fixed.FREE_TEXT_LENGTH) & (F.avg(F.col("value").rlike(fixed.PUNCTUATION).cast("int")) > 0.3)).alias("free_text"))
 
 
-def fields(leaf: DataFrame, unit: list[str], record: str) -> DataFrame:
+def fields(leaf: DataFrame, unit: list[str], record: str, recs: DataFrame | None = None) -> DataFrame:
     """Fields with type, occurrence, requiredness and personal-data seed."""
-    typed = field_types(leaf, unit, record).join(free_text(leaf, unit), [*unit, "field_path"], "left")
+    typed = field_types(leaf, unit, record, recs).join(free_text(leaf, unit), [*unit, "field_path"], "left")
     key = F.regexp_replace(F.element_at(F.split("field_path", r"\."), -1), r"\[.*$", "")
     return typed.withColumn("key_name", key).withColumn("required", F.col("occurrence") >= 0.9).withColumn("pii", chars.pii_seed(F.col("key_name"), F.coalesce("free_text", F.lit(False))))

@@ -23,7 +23,7 @@ def extract(sniffed: DataFrame, graded: DataFrame, mode: str = "template", sampl
     of = sigs.join(clusters, ["path", "fmt", "part", "shape"]).select(*keys, "sig", unit)
     leaf = structure.leaves(recs, keys).join(of.select("path", "fmt", "part", "rec_seq", "unit_id"), keys)
     units = structure.template(of, ["unit_id", "fmt"], "rec_seq")
-    fields = structure.fields(leaf, ["unit_id"], "rec_seq")
+    fields = structure.fields(leaf, ["unit_id"], "rec_seq", of)
     if mode == "template":
         first = of.join(units.select("unit_id", F.col("template").alias("sig")), ["unit_id", "sig"]).groupBy("unit_id").agg(F.min("rec_seq").alias("rec_seq"))
         backbone = leaf.join(first, ["unit_id", "rec_seq"], "left_semi").select("unit_id", "field_path").distinct()

@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestrata.functions import chars, lines, parse
 from lodestrata.operators import corpus, noise, render, structure
@@ -43,35 +42,33 @@ def json_leaf_types(spark, d):
     return structure.field_types(leaf, ["unit"], "event_id").select("field_path", "type", "dominant_ratio", "n_present", "occurrence")
 
 
-JSONL = """WITH l AS (SELECT user_id % 20 AS doc_id, CASE WHEN user_id % 20 > 4 AND event_id % 7 = 0 THEN props || '}' ELSE props END AS line FROM events),
-g AS (SELECT doc_id, count(*) AS n_unit, count(*) FILTER (WHERE json_valid(line)) AS n_clean FROM l GROUP BY doc_id)"""
+JSONL = """WITH l AS (SELECT user_id AS doc, CASE WHEN user_id % 20 > 4 AND event_id % 7 = 0 THEN props || '}' ELSE props END AS line FROM events),
+g AS (SELECT doc, count(*) AS n_unit, count(*) FILTER (WHERE json_valid(line)) AS n_clean FROM l GROUP BY doc),
+v AS (SELECT doc::VARCHAR AS path, n_unit, n_clean, n_clean / n_unit AS I_strict, CASE WHEN n_clean = 0 THEN 0 ELSE n_clean / n_unit END AS I, CASE WHEN n_clean = n_unit THEN 'tier1' ELSE 'tier2' END AS tier FROM g)"""
 
 
 def _jsonl(spark, d):
+    """Grades of a JSON Lines file for each user, whose lines are events, some of them damaged."""
     ev = table(spark, d, "events")
-    rows = ev.select((F.col("user_id") % 20).alias("doc_id"), F.when((F.col("user_id") % 20 > 4) & (F.col("event_id") % 7 == 0), F.concat("props", F.lit("}"))).otherwise(F.col("props")).alias("line"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([parse.json_line(x) is not None for x in b.column("line").to_pylist()], pa.bool_())], names=["doc_id", "ok"])
-
-    g = rows.mapInArrow(run, "doc_id long, ok boolean").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_unit"), F.sum(F.col("ok").cast("long")).alias("n_clean"))
-    return g.withColumn("I_strict", F.round(F.col("n_clean") / F.col("n_unit"), 6)).withColumn("tier", F.when(F.col("n_clean") == F.col("n_unit"), "tier1").otherwise("tier2"))
+    line = F.when((F.col("user_id") % 20 > 4) & (F.col("event_id") % 7 == 0), F.concat("props", F.lit("}"))).otherwise(F.col("props"))
+    files = ev.groupBy(F.col("user_id").cast("string").alias("path")).agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("r"))
+    text = F.array_join(F.transform("r", lambda x: x["line"]), "\n")
+    return structure.grades(files.select("path", F.lit("jsonl").alias("fmt"), F.lit("utf-8").alias("encoding"), F.lit(1.0).alias("conf"), text.cast("binary").alias("content")))
 
 
-@query(JSONL + " SELECT doc_id, n_unit, n_clean, round(n_clean / n_unit, 6) AS I_strict, CASE WHEN n_clean = n_unit THEN 'tier1' ELSE 'tier2' END AS tier FROM g")
+@query(JSONL + " SELECT path, n_unit, n_clean, round(I_strict, 6) AS I_strict, round(I, 6) AS I, tier FROM v")
 def jsonl_grade(spark, d):
-    return _jsonl(spark, d)
+    return _jsonl(spark, d).select("path", "n_unit", "n_clean", F.round("I_strict", 6).alias("I_strict"), F.round("I", 6).alias("I"), "tier")
 
 
-@query(JSONL + " SELECT CASE WHEN n_clean = n_unit THEN 'tier1' ELSE 'tier2' END AS tier, count(*) AS n FROM g GROUP BY 1")
+@query(JSONL + " SELECT tier, count(*) AS n FROM v GROUP BY 1")
 def tier_distribution(spark, d):
     return structure.tier_counts(_jsonl(spark, d))
 
 
-@query(JSONL + " SELECT doc_id, n_clean = n_unit AS clean, n_unit - n_clean AS deviations FROM g")
+@query(JSONL + " SELECT path, n_clean = n_unit AS clean, n_unit - n_clean AS deviations, n_unit, CASE WHEN n_clean < n_unit THEN 'bad_lines' END AS reason FROM v")
 def strict_report(spark, d):
-    return _jsonl(spark, d).select("doc_id", (F.col("tier") == "tier1").alias("clean"), (F.col("n_unit") - F.col("n_clean")).alias("deviations"))
+    return structure.strict_report(_jsonl(spark, d))
 
 
 CSV = """WITH l AS (SELECT s_nationkey AS doc_id, s_suppkey AS line_no, concat_ws(',', s_suppkey, s_name, s_nationkey) || CASE WHEN s_suppkey % 5 = 0 THEN ',x' WHEN s_suppkey % 7 = 0 THEN ',' ELSE '' END AS line FROM supplier),
@@ -149,10 +146,11 @@ def text_script_dist(spark, d):
     return docs.select("doc_id", chars.script_dist(F.col("text"))["Latin"].alias("latin"))
 
 
-@query("SELECT lang, min(length(text))::INT AS len_min, max(length(text))::INT AS len_max, round(avg(length(text)), 1) AS len_mean, round(median(length(text)), 1) AS len_median, round(stddev_pop(length(text)), 1) AS len_std, count(*) AS sample_count FROM documents GROUP BY 1")
+@query("""SELECT p_brand AS unit, min(length(p_name))::INT AS len_min, max(length(p_name))::INT AS len_max, round(avg(length(p_name)), 1) AS len_mean, round(median(length(p_name)), 1) AS len_median, round(stddev_pop(length(p_name)), 1) AS len_std, count(*) AS sample_count,
+round(avg(round(len(regexp_extract_all(p_name, '\\p{L}')) / length(p_name), 3)), 3) AS avg_letter FROM part GROUP BY 1""")
 def value_len_dist(spark, d):
-    n = F.length("text")
-    return table(spark, d, "documents").groupBy("lang").agg(F.min(n).alias("len_min"), F.max(n).alias("len_max"), F.round(F.avg(n), 1).alias("len_mean"), F.round(F.median(n), 1).alias("len_median"), F.round(F.stddev_pop(n), 1).alias("len_std"), F.count(F.lit(1)).alias("sample_count"))
+    leaf = table(spark, d, "part").select(F.col("p_brand").alias("unit"), F.lit("p_name").alias("field_path"), F.lit("str").alias("type"), F.col("p_name").alias("value"))
+    return structure.profiles(leaf, ["unit"]).select("unit", "len_min", "len_max", "len_mean", "len_median", "len_std", "sample_count", "avg_letter")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey BETWEEN 1900 AND 2100 THEN 'year_like' WHEN o_orderkey BETWEEN 1 AND 150 THEN 'age_like' WHEN o_orderkey > 100000 THEN 'large_int' ELSE 'int' END AS hint FROM orders")
@@ -193,10 +191,28 @@ def free_text_fields(spark, d):
     return structure.free_text(leaf, ["unit"])
 
 
-@query("""SELECT * FROM (VALUES ('id', 1, NULL, 'id', 3), ('user', 1, NULL, 'user', 3), ('user.name', 2, 'user', 'name', 1), ('user.geo', 2, 'user', 'geo', 1), ('user.geo.lat', 3, 'user.geo', 'lat', 0), ('orders[]', 1, NULL, 'orders', 3), ('orders[].amt', 2, 'orders[]', 'amt', 0), ('tags[]', 1, NULL, 'tags', 3)) t(node, depth, parent, key_name, n_siblings)""")
+def _nested(spark, d):
+    """Orders as nested JSON; without a status the record has no user, and every eleventh has no leaves."""
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    place = F.struct(F.struct(F.col("o_totalprice").alias("lat")).alias("geo"), F.col("o_orderstatus").alias("name"))
+    whole = F.to_json(F.struct(k.alias("id"), F.when(k % 4 != 0, place).alias("user"), F.array(F.struct(F.col("o_custkey").alias("amt"))).alias("orders"), F.array(F.col("o_orderpriority")).alias("tags")))
+    return o.select(F.pmod("o_custkey", F.lit(5)).alias("unit"), k.alias("rec_seq"), F.when(k % 11 == 0, F.lit("{}")).otherwise(whole).alias("rec"))
+
+
+@query("""WITH u AS (SELECT DISTINCT o_custkey % 5 AS unit FROM orders WHERE o_orderkey % 11 > 0 AND o_orderkey % 4 > 0)
+SELECT u.unit, t.* FROM u, (VALUES ('id', 1, NULL, 'id', 3), ('user', 1, NULL, 'user', 3), ('user.name', 2, 'user', 'name', 1), ('user.geo', 2, 'user', 'geo', 1), ('user.geo.lat', 3, 'user.geo', 'lat', 0), ('orders[]', 1, NULL, 'orders', 3), ('orders[].amt', 2, 'orders[]', 'amt', 0), ('tags[]', 1, NULL, 'tags', 3)) t(node, depth, parent, key_name, n_siblings)""")
 def topology_nodes(spark, d):
-    paths = spark.createDataFrame([("u", p) for p in ("id", "user.name", "user.geo.lat", "orders[].amt", "tags[]")], "unit string, field_path string")
-    return structure.topology(paths, ["unit"]).select("node", "depth", "parent", "key_name", F.size("siblings").alias("n_siblings"))
+    paths = structure.leaves(_nested(spark, d), ["unit", "rec_seq"]).select("unit", "field_path").distinct()
+    return structure.topology(paths, ["unit"]).select("unit", "node", "depth", "parent", "key_name", F.size("siblings").alias("n_siblings"))
+
+
+@query("""WITH r AS (SELECT o_custkey % 5 AS unit, o_orderkey AS k FROM orders), t AS (SELECT unit, count(*) AS total, count(*) FILTER (WHERE k % 11 > 0) AS full_, count(*) FILTER (WHERE k % 11 > 0 AND k % 4 > 0) AS named FROM r GROUP BY 1)
+SELECT unit, p.path AS field_path, CASE WHEN p.path LIKE 'user%' THEN named ELSE full_ END AS n_present, round(CASE WHEN p.path LIKE 'user%' THEN named ELSE full_ END / total, 4) AS occurrence FROM t, (VALUES ('id'), ('user.name'), ('user.geo.lat'), ('orders[].amt'), ('tags[]')) p(path)""")
+def presence_rates(spark, d):
+    """Occurrence over all records, those without leaves too."""
+    recs = _nested(spark, d)
+    return structure.field_types(structure.leaves(recs, ["unit", "rec_seq"]), ["unit"], "rec_seq", recs).select("unit", "field_path", "n_present", "occurrence")
 
 
 def _mixed(spark, d):
@@ -254,12 +270,13 @@ def csv_dedup(spark, d):
     return corpus.dedup_csv(docs.select(F.col("s_nationkey").cast("int").alias("unit_id"), fp("text").alias("fp")))
 
 
-@query("SELECT 3::BIGINT AS A, count(DISTINCT o_custkey % 5 * 0)::BIGINT AS B, 3.0::DOUBLE AS A_per_B, 0::BIGINT AS pii_seeds, count(*) AS records, count(DISTINCT o_custkey % 5) AS units FROM orders")
+@query("""WITH r AS (SELECT o_custkey % 5 AS unit, o_orderkey % 3 AS shape, o_orderkey AS k FROM orders), p AS (SELECT unit, shape, count(*) AS n, min(k) AS first FROM r GROUP BY 1, 2),
+m AS (SELECT unit, arg_max(shape, n * 1000000000 - first) AS shape FROM p GROUP BY 1), a AS (SELECT count(DISTINCT f) AS A FROM (SELECT unnest(CASE WHEN shape < 2 THEN ['id', 'status'] ELSE ['id', 'cust'] END) AS f FROM r))
+SELECT any_value(A) AS A, count(DISTINCT shape) AS B, round(any_value(A) / count(DISTINCT shape), 3) AS A_per_B, 0::BIGINT AS pii_seeds, (SELECT count(*) FROM r) AS records, count(*) AS units FROM m, a""")
 def global_view(spark, d):
-    # the same template for every unit: shapes are dealt evenly over the units' records
     recs = _mixed(spark, d)
-    units = structure.template(structure.signatures(recs.withColumn("rec", F.lit('{"id":1}')), ["unit", "rec_seq"]), ["unit"], "rec_seq")
-    return corpus.global_view(structure.fields(structure.leaves(recs, ["unit", "rec_seq"]), ["unit"], "rec_seq"), units)
+    units = structure.template(structure.signatures(recs, ["unit", "rec_seq"]), ["unit"], "rec_seq")
+    return corpus.global_view(structure.fields(structure.leaves(recs, ["unit", "rec_seq"]), ["unit"], "rec_seq", recs), units)
 
 
 COLUMNS = [("customer", "full name"), ("customer", "phone"), ("supplier", "full name"), ("supplier", "mobile"), ("part", "title"), ("orders", "title")]
@@ -280,6 +297,35 @@ def name_conflicts(spark, d):
     return corpus.name_conflicts(_vocab(spark)).select("semantic_class", "a", "b")
 
 
+TEXTS = [("customer", "c_name"), ("customer", "c_mktsegment"), ("supplier", "s_name"), ("part", "p_name"), ("part", "p_brand"), ("part", "p_type"), ("orders", "o_orderpriority"), ("orders", "o_orderstatus"), ("nation", "n_name"), ("region", "r_name")]
+
+
+def _profiled(spark, d):
+    """Fields of text columns with length bands; each table is a unit."""
+    leaf = None
+    for t, c in TEXTS:
+        part = table(spark, d, t).select(F.lit(t).alias("unit"), F.lit(c).alias("field_path"), F.lit("str").alias("type"), F.col(c).cast("string").alias("value"))
+        leaf = part if leaf is None else leaf.union(part)
+    known = structure.profiles(leaf, ["unit"]).withColumn("type", F.lit("str"))
+    return known.select("unit", F.col("field_path").alias("key_name"), chars.pii_seed(F.col("field_path"), F.lit(False)).alias("pii"), corpus.bands(known).alias("band"))
+
+
+BANDS = "WITH f AS (" + " UNION ALL ".join(f"SELECT '{t}' AS unit, '{c}' AS key_name, round_even(log2(round(avg(length({c})), 1) + 1), 0)::INT AS band FROM {t}" for t, c in TEXTS) + """),
+w AS (SELECT band FROM f GROUP BY 1 HAVING count(DISTINCT unit) > 1), n AS (SELECT unit, f.key_name, CASE WHEN w.band IS NULL THEN f.key_name ELSE min(f.key_name) OVER (PARTITION BY f.band) END AS semantic_class FROM f LEFT JOIN w USING (band))"""
+
+
+@query(BANDS + " SELECT semantic_class, key_name, string_agg(DISTINCT unit, ',') AS units FROM n GROUP BY 1, 2")
+def vocab_evidence_b(spark, d):
+    return corpus.vocabulary(_profiled(spark, d), "unit", evidence_b=True).select("semantic_class", "key_name", F.array_join("units", ",").alias("units"))
+
+
+@query()
+def vocab_uncertain(spark, d):
+    """Classes of evidence B that hold names unlike each other (a similarity that SQL lacks)."""
+    found = corpus.uncertain(corpus.vocabulary(_profiled(spark, d), "unit", evidence_b=True))
+    return found.select("semantic_class", F.array_join("key_names", ",").alias("key_names"), F.array_join("units", ",").alias("units"))
+
+
 def _dump(spark, d):
     n = table(spark, d, "nation")
     row = F.concat(F.lit("INSERT INTO nation VALUES ("), F.col("n_nationkey"), F.lit(", '"), F.col("n_name"), F.lit(";', "), F.col("n_regionkey"), F.lit(");"))
@@ -296,22 +342,37 @@ def sql_statements(spark, d):
     return _dump(spark, d).mapInArrow(run, "n_regionkey int, n_statements long, n_clean long, n_truncated long, dialect string, status string")
 
 
-@query("SELECT n_regionkey AS doc_id, 'n_nationkey,n_name' || chr(10) || string_agg(n_nationkey || ',' || n_name, chr(10) ORDER BY n_nationkey) AS text FROM nation GROUP BY 1")
-def render_csv(spark, d):
+def _rows(spark, d, fmt):
+    """Nations of a region as rows of a document."""
     n = table(spark, d, "nation")
-    row = F.struct("n_nationkey", F.concat_ws(",", "n_nationkey", "n_name").alias("line"))
-    return n.groupBy(F.col("n_regionkey").alias("doc_id")).agg(F.concat(F.lit("n_nationkey,n_name\n"), F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["line"]), "\n")).alias("text"))
+    row = F.struct("n_nationkey", F.to_json(F.struct("n_nationkey", "n_name")).alias("row"))
+    docs = n.groupBy(F.col("n_regionkey").cast("string").alias("unit_id")).agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["row"]).alias("rows"))
+    skeleton = F.create_map(F.lit("n_nationkey"), F.lit("int"), F.lit("n_name"), F.lit("str"))
+    return render.write_rows(docs.select("unit_id", F.lit(fmt).alias("fmt"), skeleton.alias("skeleton"), "rows")).select("unit_id", "text")
+
+
+@query("SELECT n_regionkey::VARCHAR AS unit_id, 'n_nationkey,n_name' || chr(10) || string_agg(n_nationkey || ',' || n_name, chr(10) ORDER BY n_nationkey) || chr(10) AS text FROM nation GROUP BY 1")
+def render_csv(spark, d):
+    return _rows(spark, d, "csv")
 
 
-@query("SELECT n_nationkey AS doc_id, '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' AS text FROM nation")
+@query("SELECT n_regionkey::VARCHAR AS unit_id, string_agg('{\"n_nationkey\": ' || n_nationkey || ', \"n_name\": \"' || n_name || '\"}' || chr(10), '' ORDER BY n_nationkey) AS text FROM nation GROUP BY 1")
 def render_jsonl(spark, d):
-    return table(spark, d, "nation").select(F.col("n_nationkey").alias("doc_id"), F.to_json(F.struct("n_nationkey", "n_name")).alias("text"))
+    return _rows(spark, d, "jsonl")
+
+
+@query("""SELECT n_regionkey::VARCHAR AS unit_id, 'CREATE TABLE `' || n_regionkey || '` (' || chr(10) || '  `n_nationkey` INT,' || chr(10) || '  `n_name` VARCHAR(255)' || chr(10) || ');' || chr(10) || string_agg('INSERT INTO `' || n_regionkey || '` (`n_nationkey`, `n_name`) VALUES (' || n_nationkey || ', ' || chr(39) || n_name || chr(39) || ');' || chr(10), '' ORDER BY n_nationkey) AS text FROM nation GROUP BY n_regionkey""")
+def render_sql(spark, d):
+    return _rows(spark, d, "sql")
 
 
-@query("SELECT fmt AS unit_id, 1.0::DOUBLE AS jaccard, true AS ok FROM (VALUES ('csv'), ('json'), ('jsonl'), ('sql'), ('tsv'), ('xlsx')) t(fmt)")
+@query("SELECT printf('u%08d', c_custkey) AS unit_id, 1.0::DOUBLE AS jaccard, true AS ok FROM customer")
 def roundtrip_jaccard(spark, d):
-    flat, deep = {"name": "str", "age": "int", "city": "str"}, {"id": "int", "user.name": "str", "orders[].amt": "float", "tags[]": "str"}
-    units = spark.createDataFrame([(f, f, deep if f.startswith("json") else flat) for f in ("csv", "json", "jsonl", "sql", "tsv", "xlsx")], "unit_id string, fmt string, skeleton map<string,string>")
+    """Documents of every format for units of all customers, read back."""
+    k = F.substring("unit_id", 2, 8).cast("int")
+    flat = _units(spark, d).withColumn("fmt", F.element_at(F.array(*map(F.lit, ("csv", "json", "jsonl", "sql", "tsv", "xlsx"))), (k % 6 + 1).cast("int")))
+    deep = F.map_concat("skeleton", F.create_map(F.lit("user.geo.lat"), F.lit("float"), F.lit("orders[].amt"), F.lit("int"), F.lit("tags[]"), F.lit("str")))
+    units = flat.withColumn("skeleton", F.when(F.col("fmt").startswith("json"), deep).otherwise(F.col("skeleton")))
     return render.verify(render.render_units(units), units).select("unit_id", "jaccard", "ok")
 
 
@@ -324,19 +385,15 @@ def noise_truncate(spark, d):
 l AS (SELECT s_suppkey, i, substr(text, i + 1, 1) = ',' AS mark, CASE WHEN i > instr(text, ',') - 1 THEN 1 ELSE 0 END AS col, i = 0 OR i = instr(text, ',') AS first FROM x)
 SELECT s_suppkey, i::INT AS char_idx, (CASE WHEN mark THEN -100 ELSE col END)::INT AS field, (CASE WHEN NOT mark AND first THEN 1 ELSE 0 END)::INT AS new_field FROM l""")
 def noise_labels(spark, d):
-    """Field and boundary labels of undamaged one-row text, with built-in windows over characters."""
-    c = table(spark, d, "supplier").select("s_suppkey", F.concat_ws(",", "s_suppkey", "s_name").alias("text"))
-    x = c.select("s_suppkey", F.posexplode(F.split("text", "")).alias("char_idx", "ch")).where("ch <> ''")
-    w = Window.partitionBy("s_suppkey").orderBy("char_idx")
-    col = F.sum((F.col("ch") == ",").cast("int")).over(w)
-    x = x.withColumn("col", F.when(F.col("ch") != ",", col)).withColumn("prev", F.last("col", True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    return x.select("s_suppkey", "char_idx", F.coalesce("col", F.lit(-100)).cast("int").alias("field"), F.coalesce((F.col("col").isNotNull() & (F.col("prev").isNull() | (F.col("prev") != F.col("col")))).cast("int"), F.lit(0)).alias("new_field"))
+    """Field and boundary labels of undamaged one-row texts."""
+    return noise.clean_labels(table(spark, d, "supplier").select("s_suppkey", F.concat_ws(",", "s_suppkey", "s_name").alias("text")), "s_suppkey")
 
 
-@query("SELECT n_nationkey, list_transform(string_split(n_name, ''), lambda x: unicode(x))::VARCHAR AS codes FROM nation")
+@query("SELECT n_nationkey, '[57344, ' || array_to_string(list_transform(string_split(n_name, ''), lambda x: unicode(x)), ', ') || ', 57345, 0, 0]' AS codes FROM nation")
 def codepoint_example(spark, d):
-    codes = F.transform(F.split("n_name", ""), lambda x: F.ascii(x))
-    return table(spark, d, "nation").select("n_nationkey", F.concat(F.lit("["), F.array_join(F.filter(codes, lambda x: x != 0).cast("array<string>"), ", "), F.lit("]")).alias("codes"))
+    """Code points of names between their marks, padded by two."""
+    n = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("text"))
+    return noise.encoded(n, "n_nationkey", 2).select("n_nationkey", F.concat(F.lit("["), F.array_join(F.col("input_ids").cast("array<string>"), ", "), F.lit("]")).alias("codes"))
 
 
 @query()

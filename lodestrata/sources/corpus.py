@@ -59,16 +59,12 @@ def vote_format(lines: list[str], text: str) -> dict[str, float]:
         score["sql"] += 0.95
     elif starts or re.search(fixed.SQL_KEYWORD, text, re.I):
         score["sql"] += 0.7
-    if sum(bool(re.search(fixed.LOG_TIME, x) and re.search(fixed.LOG_LEVEL, x)) for x in lines) > 0.6 * n:
+    if sum(bool(re.search(fixed.LOG_TIME, x) and re.search(fixed.LOG_LEVEL, x, re.I)) for x in lines) > 0.6 * n:
         score["log"] += 0.95
-    elif sum(bool(re.search(fixed.LOG_WEAK, x)) for x in lines) > 0.6 * n:
+    elif sum(bool(re.search(fixed.LOG_WEAK, x, re.I)) for x in lines) > 0.6 * n:
         score["log"] += 0.85
-    best, most = None, 0.0
-    for d in "\t,;|:":
-        width, share = column_profile(lines, d)
-        if width >= 2 and share >= 0.7 and share > most:
-            best, most = d, share
-    if best:
+    fits = (d for d in "\t,;|:" for width, share in [column_profile(lines, d)] if width >= 2 and share >= 0.7)
+    if best := next(fits, None):
         header = len(re.findall(r"\w", lines[0])) > len(lines[0]) / 2
         score["tsv" if best == "\t" else "csv"] += 0.8 + 0.1 * header
     talk = sum(bool(re.search(fixed.PUNCTUATION, x)) for x in lines) > 0.3 * n
@@ -81,7 +77,7 @@ def sniff_content(raw: bytes) -> tuple[str, str, float]:
     """(format, encoding, confidence) by content alone."""
     if parse.is_binary(raw):
         return "binary_unknown", "binary", 0.6
-    encoding = parse.detect_encoding(raw)
+    encoding = parse.encoding_of(raw)
     text = parse.decode(raw[: fixed.HEAD_BYTES], encoding).removeprefix("﻿")
     lines = [x.strip() for x in text.splitlines() if x.strip()][: fixed.HEAD_LINES]
     score = vote_format(lines, text)
@@ -97,7 +93,7 @@ def sniff(files: DataFrame) -> DataFrame:
             out = []
             for ext, raw in zip(batch.column("ext").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 raw = raw or b""
-                out.append(("jsonl" if ext == "ndjson" else ext, "binary" if ext == "xlsx" else parse.detect_encoding(raw), 1.0) if ext in TRUSTED else sniff_content(raw))
+                out.append(("jsonl" if ext == "ndjson" else ext, "binary" if ext == "xlsx" else parse.encoding_of(raw), 1.0) if ext in TRUSTED else sniff_content(raw))
             kinds = (pa.string(), pa.string(), pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("ext"), *(pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)), batch.column("content")], names=["path", "ext", "fmt", "encoding", "conf", "content"])
 

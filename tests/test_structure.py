@@ -8,7 +8,7 @@ import zipfile
 import pytest
 
 from lodestrata.functions import parse
-from lodestrata.operators import corpus, noise, render
+from lodestrata.operators import corpus, noise, render, structure
 from lodestrata.sources.corpus import sniff_content
 
 
@@ -71,7 +71,7 @@ def test_dialects():
 def test_encodings():
     for enc in ("utf-8", "gb18030", "utf-16", "utf-8-sig"):
         raw = '[{"姓名": "张三丰和李四光"}]'.encode(enc)
-        assert parse.grade("json", raw, parse.detect_encoding(raw))["tier"] == "tier1"
+        assert parse.grade("json", raw, parse.encoding_of(raw))["tier"] == "tier1"
     assert parse.is_binary(bytes(range(32)) * 20) and not parse.is_binary("文字".encode())
 
 
@@ -235,3 +235,70 @@ def test_rest_works_without_llm():
     code = "import sys; sys.modules['lodestrata.llm'] = None; import __spark_entry__ as e; assert e.queries() and not any(k.startswith('op') for k in e.queries())"
     hide = "import importlib.abc, sys\nclass H(importlib.abc.MetaPathFinder):\n  def find_spec(s, n, p=None, t=None):\n    if n.startswith('lodestrata.llm') or n == 'corpus_pipeline': raise ModuleNotFoundError(n, name=n)\nsys.meta_path.insert(0, H())\n"
     subprocess.run([sys.executable, "-c", hide + code.split("; ", 2)[0] + "; " + code.split("; ", 2)[2]], check=True, cwd=Path(__file__).resolve().parents[1])
+
+
+def test_log_levels_in_any_case_and_first_fitting_delimiter():
+    from lodestrata.sources.corpus import vote_format
+
+    for level in ("info", "INFO", "Warn"):
+        rows = [f"2024-01-01 10:00:0{k} {level} job, step {k}, done" for k in range(8)]
+        score = vote_format(rows, "\n".join(rows))
+        assert max(score, key=score.get) == "log"
+    rows = ["a\tb,c"] * 8 + ["a,b c"]  # a tab in most lines, a comma in all
+    score = vote_format(rows, "\n".join(rows))
+    assert score["tsv"] > 0 and score["csv"] == 0
+
+
+def moved_workbook(target, cell):
+    main, office = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", parse.OFFICE
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets><sheet name="S" sheetId="7" r:id="rId3"/><sheet name="gone" sheetId="8" r:id="rId9"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId3" Target="{target}"/><Relationship Id="rId9" Target="worksheets/none.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet4.xml", f'<worksheet xmlns="{main}"><sheetData><row><c r="A1" t="inlineStr"><is><t>id</t></is></c></row><row><c r="A2"><v>{cell}</v></c></row></sheetData></worksheet>')
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("target", ["worksheets/sheet4.xml", "/xl/worksheets/sheet4.xml"])
+def test_workbook_whose_sheet_lies_elsewhere(target):
+    raw = moved_workbook(target, "1E5")
+    assert parse.file_records("xlsx", raw, None) == [("sheet:S", {"id": 1e5})]
+    assert parse.grade("xlsx", raw, None)["tier"] == "tier1"
+
+
+def test_deep_nesting_is_not_json():
+    deep = "[" * 3000 + "]" * 3000
+    assert parse.json_line(deep) is None and parse.json_line('{"a": "' + "[" * 3000 + '"}') == {"a": "[" * 3000}
+    for fmt in ("json", "jsonl"):
+        assert parse.grade(fmt, f'{{"a": {deep}}}\n{{"b": 1}}\n'.encode(), "utf-8")["tier"] != "tier1"
+        parse.file_records(fmt, f"[{deep}, 1]".encode(), "utf-8")
+
+
+def test_concatenated_values_have_no_limit():
+    text = '{"a": 1}' * 5000
+    assert parse.grade("json", text.encode(), "utf-8")["n_unit"] == 5000 == len(parse.file_records("json", text.encode(), "utf-8"))
+    assert len(parse.file_records("json", text.encode(), "utf-8", most=10)) == 10
+    lines = '{"a": 1}\n' * 30
+    assert len(parse.file_records("jsonl", lines.encode(), "utf-8", most=7)) == 7
+
+
+def test_occurrence_is_over_all_records(spark):
+    rows = [("u", k, r) for k, r in enumerate(['{"a": 1}', "{}", "{}", '{"b": null}', '{"c": "x"}', '{"c": 1}'])]
+    recs = spark.createDataFrame(rows, "unit string, rec_seq long, rec string")
+    got = {r.field_path: r for r in structure.field_types(structure.leaves(recs, ["unit", "rec_seq"]), ["unit"], "rec_seq", recs).collect()}
+    assert got["a"].occurrence == round(1 / 6, 4) and (got["b"].type, got["b"].occurrence, got["b"].types) == ("null", 0.0, [])
+    assert (got["c"].type, got["c"].dominant_ratio) == ("str", 0.5)  # the first seen of a tie
+
+
+def test_vocabulary_closes_over_types_and_bands(spark):
+    pii = lambda t: ("high_conf", t) if t else None
+    rows = [("u1", "phone", pii("phone_number"), "str:4"), ("u2", "x", None, "str:4"), ("u3", "mail", pii("email"), "str:4"), ("u1", "mail2", pii("email"), "str:5"), ("u2", "y", None, "str:5"), ("u1", "alone", None, "str:9"), ("u1", "alone2", None, "str:9"), ("u3", "mail3", pii("email"), None)]
+    fields = spark.createDataFrame(rows, "unit string, key_name string, pii struct<level:string,type:string>, band string")
+    vocab = corpus.vocabulary(fields, "unit", evidence_b=True)
+    got = {}
+    for r in vocab.collect():
+        got.setdefault(r.semantic_class, set()).add(r.key_name)
+    assert got == {"<EMAIL>": {"phone", "x", "mail", "mail2", "y", "mail3"}, "alone": {"alone"}, "alone2": {"alone2"}}
+    assert [r.semantic_class for r in corpus.uncertain(vocab).collect()] == ["<EMAIL>"]
+    plain = {(r.semantic_class, r.key_name) for r in corpus.vocabulary(fields, "unit").collect()}
+    assert ("<PHONE_NUMBER>", "phone") in plain and ("x", "x") in plain
