@@ -36,10 +36,11 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lodestrata.llm.tokens import cache_path, count_tokens
+    from lodestrata.llm.tokens import count_tokens
 
-    path = tokenizer_path("piece_bpe_32k.model")
-    return count_tokens(common.table(spark, sf_dir, "documents"), path, cache_path(spark, path))
+    # a cache of its own, so that every distinct text is encoded whatever ran before; see tokens.cache_path for a lasting one
+    docs = common.table(spark, sf_dir, "documents")
+    return count_tokens(docs, tokenizer_path("piece_bpe_32k.model"), common.scratch_path(spark, "token-cache"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ def version(path: str) -> str:
 
 
 def cache_path(spark, path: str) -> str:
-    """Where the counts of a tokenizer version are kept, in the folder that all executors share."""
+    """A place for a lasting cache of a tokenizer version's counts, in the folder that all executors share."""
     return f"{common.shared_dir(spark)}/lodestrata/token-counts/{version(path)[:16]}"
 
 
