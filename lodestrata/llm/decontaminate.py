@@ -27,7 +27,7 @@ OWN_WEIGHT = 10.0
 #: Benchmark passages that one round of the search holds.
 BLOCK = 8192
 #: Least cosine of a candidate; least shares of an item's words in order, of its last third, and of its rarer words.
-COSINE, COMMON, ANSWER, CONTENT = 0.45, 0.7, 0.5, 0.6
+COSINE, COMMON, ANSWER, CONTENT = 0.4, 0.7, 0.5, 0.6
 WORD = re.compile(r"\w+")
 
 
