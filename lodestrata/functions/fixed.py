@@ -49,3 +49,14 @@ DIALECTS = {
     "sqlite": [(r"\bPRAGMA\b", 2), (r"\bAUTOINCREMENT\b", 2), (r"\bsqlite_sequence\b", 2), (r"\bWITHOUT\s+ROWID\b", 2), (r"\bBEGIN\s+TRANSACTION\b", 1)],
     "oracle": [(r"\bVARCHAR2\b", 2), (r"\bNUMBER\s*\(", 1), (r"\bNVL\s*\(", 1), (r"\bSYSDATE\b", 1), (r"\bFROM\s+DUAL\b", 2), (r"\bCREATE\s+OR\s+REPLACE\b", 1)],
 }
+
+#: First rule of which one mark occurs in the lower-cased message; "other" if none does.
+JSON_ERRORS = [
+    ("trailing_comma", ("trailing comma", "expecting property name")),
+    ("single_quotes", ("single quote", "expecting value")),
+    ("comments", ("comment",)),
+    ("unclosed_string", ("unterminated string",)),
+    ("incomplete", ("expecting",)),
+]
+EXAMPLE_BUDGET, EXAMPLE_MOST, EXAMPLE_LEAST = 2400, 48, 6
+UNSTEADY = 0.5

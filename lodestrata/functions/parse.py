@@ -7,6 +7,7 @@ import io
 import json
 import re
 import statistics
+import unicodedata
 import xml.etree.ElementTree as ET
 import zipfile
 from collections import Counter
@@ -71,6 +72,17 @@ def json_line(line: str):
         return None
 
 
+def json_message(text: str) -> str | None:
+    """What the reader says of text that isn't JSON."""
+    try:
+        json.loads(text)
+    except ValueError as e:
+        return str(e)
+    except RecursionError:
+        return "nested too deep"
+    return None
+
+
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\'|//[^\n]*|/\*.*?\*/|,(?=\s*(?://[^\n]*\s*|/\*.*?\*/\s*)*[}\]])|(?<=[{,\s])[A-Za-z_$][\w$]*(?=\s*:)', re.S)
 
 
@@ -332,6 +344,11 @@ def type_tag(v) -> str:
     return "null" if v is None else "bool" if isinstance(v, bool) else "int" if isinstance(v, int) else "float" if isinstance(v, float) else "str" if isinstance(v, str) else type(v).__name__
 
 
+def composed(v: str) -> str:
+    """A string in normal form C."""
+    return v if v.isascii() else unicodedata.normalize("NFC", v)
+
+
 def norm_type(v) -> str | None:
     tag = type_tag(v)
     return {"null": None, "int": "num", "float": "num", "list": "arr", "dict": "obj"}.get(tag, tag)

@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestrata.functions import parse
 
@@ -88,6 +89,24 @@ def dedup_csv(fingerprints: DataFrame) -> DataFrame:
     return rep.join(rep.groupBy("representative").agg(F.count(F.lit(1)).alias("cluster_size")), "representative").select("unit_id", "representative", "cluster_size")
 
 
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """(unit_id, fp) of CSV documents (unit_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = [csv_fingerprint(t or "") for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("unit_id"), pa.array(fp, pa.string())], names=["unit_id", "fp"])
+
+    return docs.select("unit_id", "text").mapInArrow(run, f"unit_id {docs.schema['unit_id'].dataType.simpleString()}, fp string")
+
+
+def top_skeletons(units: DataFrame, k: int = 20) -> DataFrame:
+    """The ``k`` templates that most units have: (rank, template, units, records), the smaller template first of equals."""
+    per = units.groupBy("template").agg(F.count(F.lit(1)).alias("units"), F.sum("n_records").alias("records"))
+    top = per.orderBy(F.desc("units"), "template").limit(k)
+    return top.select(F.row_number().over(Window.orderBy(F.desc("units"), "template")).alias("rank"), "template", "units", "records")
+
+
 def keep_representatives(units: DataFrame, clusters: DataFrame) -> DataFrame:
     return units.join(clusters.where("unit_id = representative").select("unit_id", "cluster_size"), "unit_id")
 

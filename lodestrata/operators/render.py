@@ -137,6 +137,12 @@ def verify(rendered: DataFrame, units: DataFrame) -> DataFrame:
     return both.select("unit_id", F.round(F.when(union > 0, F.size(F.array_intersect("got", "want")) / union).otherwise(0.0), 3).alias("jaccard"), ((F.size("want") > 0) & (F.size(F.array_except("want", "got")) == 0)).alias("ok"), F.slice(F.array_sort(F.array_except("want", "got")), 1, 20).alias("missing"), F.slice(F.array_sort(F.array_except("got", "want")), 1, 20).alias("extra"))
 
 
+def summary(verified: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, n, n_ok, ok_rate, mean_jaccard) of checked documents."""
+    ok = F.col("ok").cast("long")
+    return verified.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(ok).alias("n_ok"), F.round(F.avg(ok), 3).alias("ok_rate"), F.round(F.avg("jaccard"), 3).alias("mean_jaccard"))
+
+
 class Client(Protocol):
     """A text generator; none that reaches a network is shipped."""
 

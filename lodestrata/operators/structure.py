@@ -39,6 +39,12 @@ def tier_counts(graded: DataFrame) -> DataFrame:
     return graded.groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
 
 
+def tier_samples(graded: DataFrame, k: int = 200) -> DataFrame:
+    """The first ``k`` paths of each tier with their reasons: (tier, rank, path, reason); ``k`` is the report's length."""
+    rank = F.row_number().over(Window.partitionBy("tier").orderBy("path"))
+    return graded.select("tier", rank.alias("rank"), "path", F.coalesce("n_form", "error").alias("reason")).where(F.col("rank") <= k)
+
+
 def records(sniffed: DataFrame, most: int | None = None) -> DataFrame:
     """(path, fmt, part, rec_seq, rec): records as JSON text, by file and explicit partition; the first ``most`` of each, if set."""
 
@@ -52,7 +58,7 @@ def records(sniffed: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def leaves(recs: DataFrame, keys: list[str], column: str = "rec") -> DataFrame:
-    """One row for each leaf of each JSON record: (*keys, leaf_seq, field_path, type, value)."""
+    """One row for each leaf of each JSON record: (*keys, leaf_seq, field_path, type, value); strings in normal form C."""
     schema = recs.select(*keys).schema
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "leaf_seq long, field_path string, type string, value string"])
 
@@ -66,7 +72,7 @@ def leaves(recs: DataFrame, keys: list[str], column: str = "rec") -> DataFrame:
                     seq.append(k)
                     path.append(p)
                     kind.append(parse.type_tag(v))
-                    value.append(None if v is None else v if isinstance(v, str) else json.dumps(v))
+                    value.append(None if v is None else parse.composed(v) if isinstance(v, str) else json.dumps(v))
             index = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(index) for c in keys), pa.array(seq, pa.int64()), pa.array(path, pa.string()), pa.array(kind, pa.string()), pa.array(value, pa.string())], names=[*keys, "leaf_seq", "field_path", "type", "value"])
 
@@ -109,6 +115,14 @@ def template(sigs: DataFrame, unit: list[str], seq: str) -> DataFrame:
     return per.groupBy(*unit).agg(F.max_by("sig", F.struct("n", -F.col("first"))).alias("template"), F.count(F.lit(1)).alias("n_signatures"), F.sum("n").alias("n_records"))
 
 
+def signature_histogram(sigs: DataFrame, unit: list[str], seq: str, k: int = 50) -> DataFrame:
+    """The ``k`` most frequent exact signatures of each unit, the first seen of equals first: (*unit, rank, sig, n, n_signatures)."""
+    per = sigs.groupBy(*unit, "sig").agg(F.count(F.lit(1)).alias("n"), F.min(seq).alias("first"))
+    rank = F.row_number().over(Window.partitionBy(*unit).orderBy(F.desc("n"), "first"))
+    every = F.count(F.lit(1)).over(Window.partitionBy(*unit))
+    return per.withColumn("rank", rank).withColumn("n_signatures", every).where(F.col("rank") <= k).select(*unit, "rank", "sig", "n", "n_signatures")
+
+
 def union_clusters(sigs: DataFrame, unit: list[str], seq: str) -> DataFrame:
     """(*unit, shape, cluster): greedy union-schema clusters over each unit's distinct shapes, in order of appearance.
 

@@ -266,8 +266,7 @@ def csv_dedup(spark, d):
     head = F.when(F.col("s_nationkey") % 2 == 0, "id,name\n").otherwise("Id,Label,Extra\n")
     row = F.when(F.col("s_nationkey") % 2 == 0, F.concat_ws(",", "s_suppkey", "s_name")).otherwise(F.concat_ws(",", "s_suppkey", "s_name", F.lit("x")))
     docs = s.groupBy("s_nationkey").agg(F.concat(F.max(head), F.array_join(F.array_sort(F.collect_list(row)), "\n")).alias("text"))
-    fp = F.udf(corpus.csv_fingerprint, "string")
-    return corpus.dedup_csv(docs.select(F.col("s_nationkey").cast("int").alias("unit_id"), fp("text").alias("fp")))
+    return corpus.dedup_csv(corpus.fingerprints(docs.select(F.col("s_nationkey").cast("int").alias("unit_id"), "text")))
 
 
 @query("""WITH r AS (SELECT o_custkey % 5 AS unit, o_orderkey % 3 AS shape, o_orderkey AS k FROM orders), p AS (SELECT unit, shape, count(*) AS n, min(k) AS first FROM r GROUP BY 1, 2),

@@ -105,5 +105,10 @@ def cross_table(sniffed: DataFrame) -> DataFrame:
     return sniffed.groupBy("ext", "fmt").agg(F.count(F.lit(1)).alias("n"))
 
 
+def graded_cross_table(graded: DataFrame) -> DataFrame:
+    """The same from a table of grades, without sniffing again."""
+    return cross_table(graded.withColumn("ext", extension(F.col("path"))))
+
+
 def low_confidence(sniffed: DataFrame, most: int = 200) -> DataFrame:
     return sniffed.where(F.col("conf") < fixed.LOW_CONFIDENCE).select("path", "ext", "fmt", "conf").orderBy("path").limit(most)

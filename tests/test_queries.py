@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from lodestrata.plans.queries import QUERIES, SQL
+from lodestrata.plans.files import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

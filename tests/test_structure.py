@@ -302,3 +302,51 @@ def test_vocabulary_closes_over_types_and_bands(spark):
     assert [r.semantic_class for r in corpus.uncertain(vocab).collect()] == ["<EMAIL>"]
     plain = {(r.semantic_class, r.key_name) for r in corpus.vocabulary(fields, "unit").collect()}
     assert ("<PHONE_NUMBER>", "phone") in plain and ("x", "x") in plain
+
+
+def test_fill_keeps_structure_whatever_the_answer():
+    from lodestrata.operators import fill
+
+    class Silent:
+        def complete(self, prompt):
+            return "no"
+
+    skeleton = {"e mail": "str", "n": "int", "u.city": "str"}
+    full = fill.fill(fill.OfflineValues(), "u1", "json", skeleton)
+    assert (full["n_filled"], full["n_missing"], full["answer"]) == (3, 0, None) and "@example.org" in full["text"]
+    assert full == fill.fill(fill.OfflineValues(), "u1", "json", skeleton)
+    less = fill.fill(fill.OfflineValues(2), "u1", "json", skeleton)
+    assert less["missing"] == ["n", "u.city"]
+    none = fill.fill(Silent(), "u1", "json", skeleton)
+    assert (none["n_filled"], none["answer"]) == (0, "no")
+    for got in (full, less, none):
+        assert render.recovered_paths("json", got["text"]) == set(skeleton)
+
+
+def test_value_prompt_examples():
+    from lodestrata.operators import fill
+
+    samples = {"a": [None, "NULL", "***1", "x" * 60 + "…"]}
+    assert json.dumps(["a", "str", "x" * 48]) in fill.value_prompt({"a": "str"}, 3, samples)
+    wide = {f"c{k}": "str" for k in range(401)} | {"a": "str"}
+    assert "xxx" not in fill.value_prompt(wide, 3, samples)
+    assert render.value_rows(401, 3) == 1 and render.value_rows(2, 3) == 3
+
+
+def test_jsonl_appends_and_skips_cut_lines(spark, tmp_path):
+    from lodestrata.sources.jsonl import append_jsonl, read_jsonl
+
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "id int, v string")
+    append_jsonl(rows, f"{tmp_path}/log")
+    append_jsonl(rows, f"{tmp_path}/log")
+    (tmp_path / "log" / "cut.txt").write_text('{"id": 3, "v": "b"}\n\n{"id": 4, "v')
+    got = sorted(r.value.replace(" ", "") for r in read_jsonl(spark, f"{tmp_path}/log").collect())
+    assert got == ['{"id":1,"v":"a"}'] * 2 + ['{"id":2,"v":null}'] * 2 + ['{"id":3,"v":"b"}']
+
+
+def test_noisy_lines(spark):
+    from lodestrata.functions.lines import noisy
+
+    docs = {"steady": ["a,b", "1,2", "3,4"], "one": ["a,b"], "narrow": ["a", "1", "2"], "wild": ["a,b", "1,2,3", "", "1"], "blank": ["", " "]}
+    df = spark.createDataFrame([(d, k, x) for d, xs in docs.items() for k, x in enumerate(xs)], "doc string, line_no int, line string")
+    assert {r.doc: r.noisy for r in noisy(df, "doc", "line").collect()} == {"steady": False, "one": False, "narrow": True, "wild": True, "blank": False}
