@@ -870,3 +870,13 @@ def test_repeats_of_odd_rows(spark):
     assert got[:3] == [(0, whole(a), 0), (1, whole(a), whole(a)), (1, whole(a), whole(a))]
     assert {r[2] for r in got if r[0] in (3, 4, 5)} == {0} and len(got) == len(rows)
     assert sum(r[2] for r in got if r[0] == 2) >= whole(a) + whole(b) - 1
+
+
+def test_embeddings_in_blocks(spark):
+    """Split buckets and class pairs give the rows that whole ones give."""
+    from lodestrata.llm.embeddings import near_vectors
+
+    rows, _ = vectors()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    whole, parts = (sorted(near_vectors(df, **k).collect()) for k in ({}, {"bucket": 4, "members": 3}))
+    assert parts == whole and max(r.n_links for r in whole) > 12
