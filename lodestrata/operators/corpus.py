@@ -100,6 +100,24 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("unit_id", "text").mapInArrow(run, f"unit_id {docs.schema['unit_id'].dataType.simpleString()}, fp string")
 
 
+def file_fingerprints(sniffed: DataFrame) -> DataFrame:
+    """(path, fp) of the CSV and TSV files among ``sniffed``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cells = zip(*(b.column(c).to_pylist() for c in ("fmt", "encoding", "content")), strict=True)
+            fp = [csv_fingerprint(parse.decode(raw or b"", enc).removeprefix("\ufeff"), "\t" if fmt == "tsv" else None) for fmt, enc, raw in cells]
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(fp, pa.string())], names=["path", "fp"])
+
+    return sniffed.where(F.col("fmt").isin("csv", "tsv")).select("path", "fmt", "encoding", "content").mapInArrow(run, "path string, fp string")
+
+
+def dedup_units(units: DataFrame, prints: DataFrame) -> DataFrame:
+    """(unit_id, representative, cluster_size) of all units: those with a fingerprint (unit_id, fp) merge by it, the others by their schemas."""
+    rest = units.join(prints.select("unit_id"), "unit_id", "left_anti")
+    return dedup_schemas(rest).unionByName(dedup_csv(prints.join(units.select("unit_id"), "unit_id", "left_semi")))
+
+
 def top_skeletons(units: DataFrame, k: int = 20) -> DataFrame:
     """The ``k`` templates that most units have: (rank, template, units, records), the smaller template first of equals."""
     per = units.groupBy("template").agg(F.count(F.lit(1)).alias("units"), F.sum("n_records").alias("records"))

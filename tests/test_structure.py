@@ -350,3 +350,13 @@ def test_noisy_lines(spark):
     docs = {"steady": ["a,b", "1,2", "3,4"], "one": ["a,b"], "narrow": ["a", "1", "2"], "wild": ["a,b", "1,2,3", "", "1"], "blank": ["", " "]}
     df = spark.createDataFrame([(d, k, x) for d, xs in docs.items() for k, x in enumerate(xs)], "doc string, line_no int, line string")
     assert {r.doc: r.noisy for r in noisy(df, "doc", "line").collect()} == {"steady": False, "one": False, "narrow": True, "wild": True, "blank": False}
+
+
+def test_csv_files_merge_by_fingerprint(spark):
+    # a.csv and b.csv have no header: their first rows name no paths
+    texts = {"a.csv": "1,ann\n2,bob\n3,cy\n", "b.csv": "7,dee\n8,eve\n", "c.tsv": "id\tname\n1\tx\n", "d.csv": "ID,Name\n4,y\n", "e.json": '[{"id": 1, "name": "x"}]', "f.json": '[{"id": 2, "name": "y"}]'}
+    files = spark.createDataFrame([(p, p.split(".")[1], "utf-8", bytearray(t.encode())) for p, t in texts.items()], "path string, fmt string, encoding string, content binary")
+    prints = corpus.file_fingerprints(files).withColumnRenamed("path", "unit_id")
+    units = spark.createDataFrame([(p, p.split(".")[1], {"id": "int", "name": "str"} if p.endswith("json") else {p: "str"}) for p in texts], "unit_id string, fmt string, skeleton map<string,string>")
+    got = {r.unit_id: (r.representative, r.cluster_size) for r in corpus.dedup_units(units, prints).collect()}
+    assert got == {"a.csv": ("a.csv", 2), "b.csv": ("a.csv", 2), "c.tsv": ("c.tsv", 2), "d.csv": ("c.tsv", 2), "e.json": ("e.json", 2), "f.json": ("e.json", 2)}
