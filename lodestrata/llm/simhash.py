@@ -184,13 +184,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
 WIDE, SURE = 26, 32
 #: Shingles of COMMON documents or more come last in the order of shingles, MOST of them at most, so that few prefixes hold them.
 COMMON, MOST = 64, 200_000
-#: A prefix shingle of up to SMALL texts gives all their pairs; of a larger group, all are compared with its first text, and
-#: in a second round those that aren't joined to the group's largest component with all others, without a row for a pair.
+#: A prefix shingle of up to SMALL texts gives all their pairs; of a larger group, all are compared with its first text. The
+#: texts of groups that this doesn't join are dealt again, their common shingles last, while that halves them; those of the
+#: groups that stay large and aren't joined to their largest component are compared with all others, without a row for a pair.
 SMALL = 64
 #: Prefix shingles that a task holds before it deals them, and that a range of them holds on average.
 RUN = 1 << 19
 #: Shingle sets that a task of the second round holds, to compare the outsiders of their group with them.
 BLOCK = 512
+#: Places of the bitmap that tells which documents to read again.
+BITS = 1 << 24
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -447,10 +450,35 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=common.EDGE)
 
 
+def _reread(wanted: DataFrame, texts: DataFrame, nodes: DataFrame, use, ddl: str) -> DataFrame:
+    """What ``use`` makes of one document for each node of ``wanted(node)``, and of few others.
+
+    No text is exchanged: places of the documents wanted are marked in a bitmap of BITS bits that every
+    task has, and whatever else lies at such a place is read too.
+    """
+    place = lambda doc_id, text_hash: F.pmod(F.xxhash64(doc_id, text_hash), F.lit(BITS))
+    ends = wanted.select("node").distinct().join(nodes, "node").select(place("rep.doc_id", "rep.text_hash").alias("place"))
+    bit = F.expr("shiftleft(1L, cast(place & 63 AS int))")
+    marked = ends.groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bitmap = np.zeros(BITS >> 6, np.int64)
+    bitmap[marked.column("at").to_numpy()] = marked.column("bits").to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def picked() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.column("place").to_numpy()
+                batch = batch.filter(pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1))
+                if batch.num_rows:
+                    yield batch
+
+        yield from use(picked())
+
+    return texts.select("text", place("doc_id", "text_hash").alias("place")).mapInArrow(run, ddl)
+
+
 def _sets(wanted: DataFrame, texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """Whole shingle sets ``(node, whole)``, packed, of the nodes of ``wanted(node)``, each read from one document that has it."""
-    ends = wanted.select("node").distinct().join(nodes, "node").select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
-    found = texts.join(ends, (F.col("text_hash") == F.col("rep_hash")) & F.col("doc_id").eqNullSafe(F.col("rep_id")), "left_semi").select("text")
+    """Whole shingle sets ``(node, whole)``, packed, of the nodes of ``wanted(node)`` and of few others, some of them repeated."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -458,7 +486,7 @@ def _sets(wanted: DataFrame, texts: DataFrame, nodes: DataFrame, words: int) ->
             yield pa.RecordBatch.from_arrays([pa.array([identity(s) for s in sets], pa.int64()), pa.array([_packed(s) for s in sets], pa.binary())], names=["node", "whole"])
         common.release()
 
-    return found.mapInArrow(read, "node long, whole binary")
+    return _reread(wanted, texts, nodes, read, "node long, whole binary")
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -495,6 +523,15 @@ def _worth_it(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
     return one.join(side("a"), "a").join(side("b"), "b").where((F.col("part_a") != F.col("part_b")) & (least >= similarity * most - 1e-6) & near).select("key", "a", "b")
 
 
+def _order(often: DataFrame) -> np.ndarray:
+    """The MOST most frequent shingles of ``often(key, n)`` and their places, by hash; the most frequent comes last."""
+    top = often.orderBy(F.desc("n"), "key").limit(MOST).toArrow()
+    late = np.zeros(top.num_rows, [("hash", np.uint64), ("place", np.int64)])
+    late["hash"] = top.column("key").to_numpy().view(np.uint64)
+    late["place"] = np.arange(len(late), 0, -1)
+    return np.sort(late, order="hash")
+
+
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, small: int = SMALL, run: int = RUN, block: int = BLOCK) -> DataFrame:
     """``(doc_id, text_hash, component_id, kept)`` for every document, joining those alike in ``similarity`` or more of their ``words``-word shingles.
 
@@ -529,24 +566,31 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, small:
     close = equal.union(links(firsts)).select(F.xxhash64("a", F.pmod("b", F.lit(1024))).alias("key"), "a", "b")
     labels = joined(_compared(_worth_it(close, nodes.withColumn("part", F.col("node")), similarity), texts, nodes, words, similarity))
 
-    often = made.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "node").limit(MOST).toArrow()
-    late = np.zeros(often.num_rows, [("hash", np.uint64), ("place", np.int64)])
-    late["hash"] = often.column("node").to_numpy().view(np.uint64)
-    late["place"] = np.arange(len(late), 0, -1)
-    held = spark.sparkContext.broadcast(np.sort(late, order="hash"))
-    keys = nodes.agg(F.sum(F.col("n") * (1 - similarity) + 1)).first()[0] or 0
-    ranges = max(spark.sparkContext.defaultParallelism, int(keys) // run + 1)
-    dealt = texts.select("text").mapInArrow(_deal(words, similarity, held, ranges, small, run), "range long, kind int, x binary, y binary, z binary")
-    met = common.materialise(dealt.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(_meet(small), "kind int, key long, a long, b long"), "met")
-    alike = _compared(_worth_it(met.where(F.col("kind") == PAIR), parted(labels), similarity), texts, nodes, words, similarity)
-    labels = joined(alike.union(stars(labels)))
-
-    late_rows = met.where(F.col("kind") == LATER).select("key", F.col("a").alias("node")).distinct()
-    if not late_rows.isEmpty():
-        waiting = common.materialise(late_rows.join(parted(labels), "node").select("key", "node", "n", "fp", "part"), "waiting")
+    often = made.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).select(F.col("node").alias("key"), "n")
+    wanted, left = None, None
+    while True:
+        held = spark.sparkContext.broadcast(_order(often))
+        chosen = nodes if wanted is None else nodes.join(wanted, "node")
+        keys = chosen.agg(F.sum(F.col("n") * (1 - similarity) + 1)).first()[0] or 0
+        ranges = max(spark.sparkContext.defaultParallelism, int(keys) // run + 1)
+        deal, ddl = _deal(words, similarity, held, ranges, small, run), "range long, kind int, x binary, y binary, z binary"
+        dealt = texts.select("text").mapInArrow(deal, ddl) if wanted is None else _reread(wanted, texts, nodes, deal, ddl)
+        met = common.materialise(dealt.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(_meet(small), "kind int, key long, a long, b long"), "met")
+        alike = _compared(_worth_it(met.where(F.col("kind") == PAIR), parted(labels), similarity), texts, nodes, words, similarity)
+        labels = joined(alike.union(stars(labels)))
+
+        # Two nodes alike, not yet joined, now share a large group. Their prefixes in any other order meet as well, so the
+        # nodes of such groups alone are dealt once more, with the shingles now known to be common behind all others.
+        waiting = common.materialise(met.where(F.col("kind") == LATER).select("key", F.col("a").alias("node")).distinct().join(parted(labels), "node").select("key", "node", "n", "fp", "part"), "waiting")
         shares = waiting.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c"))
-        tops = shares.groupBy("key").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        apart = common.materialise(waiting.join(tops, "key").select("main", "node", "n", "fp", "part").distinct(), "apart")
+        tops = common.materialise(shares.groupBy("key").agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("c").alias("n")).where("parts > 1"), "tops")
+        wanted = common.materialise(waiting.join(tops.select("key"), "key").select("node").distinct(), "wanted")
+        before, left = left, wanted.count()
+        if not left or before is not None and left > before // 2:
+            break
+        often = common.materialise(often.union(tops.select("key", "n")).groupBy("key").agg(F.max("n").alias("n")), "often")
+    if left:
+        apart = common.materialise(waiting.join(tops.drop("n"), "key").select("main", "node", "n", "fp", "part").distinct(), "apart")
         blocks = apart.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
         placed = apart.join(blocks, "main").withColumn("outside", (F.col("part") != F.col("main")).cast("long"))
         own = F.array(F.struct(F.lit(False).alias("stream"), F.pmod("node", "blocks").alias("block")))

@@ -880,3 +880,34 @@ def test_embeddings_in_blocks(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
     whole, parts = (sorted(near_vectors(df, **k).collect()) for k in ({}, {"bucket": 4, "members": 3}))
     assert parts == whole and max(r.n_links for r in whole) > 12
+
+
+def test_common_passages_bring_no_outsiders(spark, monkeypatch):
+    """Texts that only share a passage with many others are dealt again instead of compared with all of them."""
+    from lodestrata.llm import common, simhash
+
+    rng = random.Random(91)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=8))
+    passage = [word() for _ in range(12)]
+    docs = [(k, " ".join([word() for _ in range(60)] + passage)) for k in range(50)]
+    docs += [(100 + k, docs[k][1] + " " + word()) for k in range(0, 50, 7)]
+    made, keep = {}, common.materialise
+    monkeypatch.setattr(common, "materialise", lambda df, tag: made.setdefault(tag, []).append(out := keep(df, tag)) or out)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, docs), small=6).collect()}
+    assert got == components([k for k, _ in docs], alike(docs))
+    assert sum(x.count() for x in made.get("apart", [])) < 12
+
+
+def test_whole_sets_are_read_without_exchanging_texts(spark):
+    from pyspark.sql import functions as F
+
+    from lodestrata.llm import common, simhash
+
+    docs = [(k if k % 5 else None, prose(random.Random(k), 30)) for k in range(40)]
+    texts = common.materialise(frame(spark, docs).withColumn("text_hash", F.xxhash64("text")), "texts")
+    want = {simhash.identity(s): simhash._packed(s) for s in (simhash.shingles(t) for _, t in docs)}
+    nodes = spark.createDataFrame([(simhash.identity(simhash.shingles(r.text)), (r.doc_id, r.text_hash)) for r in texts.collect()], "node long, rep struct<doc_id long, text_hash long>")
+    got = simhash._sets(nodes.select("node").limit(15), texts, nodes, 5)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    some = {r.node: bytes(r.whole) for r in got.collect()}
+    assert some.items() <= want.items() and {r.node for r in nodes.limit(15).collect()} <= some.keys()
