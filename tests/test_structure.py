@@ -360,3 +360,22 @@ def test_csv_files_merge_by_fingerprint(spark):
     units = spark.createDataFrame([(p, p.split(".")[1], {"id": "int", "name": "str"} if p.endswith("json") else {p: "str"}) for p in texts], "unit_id string, fmt string, skeleton map<string,string>")
     got = {r.unit_id: (r.representative, r.cluster_size) for r in corpus.dedup_units(units, prints).collect()}
     assert got == {"a.csv": ("a.csv", 2), "b.csv": ("a.csv", 2), "c.tsv": ("c.tsv", 2), "d.csv": ("c.tsv", 2), "e.json": ("e.json", 2), "f.json": ("e.json", 2)}
+
+
+def test_sniffing_looks_at_whole_brackets_and_whole_lines():
+    rows = [json.dumps({"id": k, "name": f"c{k:09}"}) for k in range(3000)]
+    assert sniff_content(("[\n" + ",\n".join(rows) + "\n]").encode()) == ("json", "utf-8", 0.9)
+    wide = json.dumps({"text": "x" * 100_000})
+    assert sniff_content(f"{wide}\n{wide}\n".encode())[0] == "jsonl"
+
+
+def test_head_lines_are_those_of_the_whole_text(monkeypatch):
+    from lodestrata.functions import fixed
+    from lodestrata.sources.corpus import head_lines
+
+    rng = random.Random(3)
+    for size in (1, 2, 7, 30):
+        monkeypatch.setattr(fixed, "HEAD_BYTES", size)
+        for _ in range(200):
+            text = "".join(rng.choices(["a", "bc ", " ", "\n", "\r\n", "\r", "\u2028"], k=rng.randint(0, 40)))
+            assert head_lines(text, 5) == [x.strip() for x in text.splitlines() if x.strip()][:5]
