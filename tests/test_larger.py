@@ -16,7 +16,7 @@ def larger(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["file_tiers", "graded_cross_table", "file_records", "sniff_formats"])
+@pytest.mark.parametrize("name", ["file_tiers", "graded_cross_table", "file_records", "sniff_formats", "tier_report"])
 def test_query_over_long_files(spark, larger, name):
     df = QUERIES[name](spark, larger)
     columns = sorted(df.columns)
