@@ -379,3 +379,14 @@ def test_head_lines_are_those_of_the_whole_text(monkeypatch):
         for _ in range(200):
             text = "".join(rng.choices(["a", "bc ", " ", "\n", "\r\n", "\r", "\u2028"], k=rng.randint(0, 40)))
             assert head_lines(text, 5) == [x.strip() for x in text.splitlines() if x.strip()][:5]
+
+
+def test_relaxed_json_of_many_comments():
+    rows = [{"id": k, "name": f"c{k}"} for k in range(20_000)]
+    text = "[ " + ", /* next */ ".join(f"{{id: {r['id']}, name: '{r['name']}', }}" for r in rows) + ",]"
+    assert parse.relaxed_json(text) == rows
+    assert parse.relaxed_json("[1, /* a */ 2 /* b */ ]") == [1, 2]  # the first comma is not trailing
+    assert parse.relaxed_json("[1, // a\n /* b */ ]") == [1]
+    for damaged in ("[1, /* a" * 20_000, "[" + '\\"' * 20_000, "['a]", '["a]'):
+        with pytest.raises(ValueError):
+            parse.relaxed_json(damaged)
