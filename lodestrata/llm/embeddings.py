@@ -16,8 +16,8 @@ from lodestrata.llm import common
 
 TABLES = 10
 PROBES = 4
-#: Classes beyond which buckets are of three hashes instead of two, in MORE times the tables, so that as many pairs meet.
-CROWD, MORE = 1 << 22, 4
+#: Times as many tables as of two hashes that buckets of three need, so that as many pairs meet.
+MORE = 4
 SEED = 20_240_607
 #: Rows that a bucket, and members that either class of a pair, may hold before its work is split into blocks.
 BUCKET, MEMBERS = 1024, 8192
@@ -170,12 +170,13 @@ def _pairs(limit: float):
                         a += u[q].tolist()
                         b += u[q + step].tolist()
                 for start, length in zip(starts[lengths > 64].tolist(), lengths[lengths > 64].tolist(), strict=True):
-                    block = x[start : start + length]
+                    block, near_by = x[start : start + length], r[start : start + length]
+                    least = math.cos(min(math.pi, limit + 2 * near_by.max() + SLACK)) - 1e-6  # no pair below it can be near
                     for c in range(0, length, 512):
                         dot = np.minimum(1.0, block[c : c + 512] @ block.T)
-                        i, j = np.nonzero(np.arccos(np.maximum(-1.0, dot)) <= limit + r[start + c : start + c + dot.shape[0], None] + r[None, start : start + length] + SLACK)
-                        i = i + c
-                        keep = j > i
+                        i, j = np.nonzero(dot >= least)
+                        angle, i = np.arccos(np.maximum(-1.0, dot[i, j])), i + c
+                        keep = (j > i) & (angle <= limit + near_by[i] + near_by[j] + SLACK)
                         a += u[start + i[keep]].tolist()
                         b += u[start + j[keep]].tolist()
             ab = np.array(a, np.int64), np.array(b, np.int64)
@@ -220,15 +221,16 @@ def _members(cosine: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.9, tables: int = TABLES, probes: int = PROBES, crowd: int = CROWD, bucket: int = BUCKET, members: int = MEMBERS) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.9, tables: int = TABLES, probes: int = PROBES, crowd: int | None = None, bucket: int = BUCKET, members: int = MEMBERS) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every vector, linking those of cosine ``cosine`` or more.
 
     Each task first gathers vectors within half the link angle of a leader into classes, whose
     members all link with each other; a group of many copies shrinks to a few classes before
     anything is shuffled. Leaders are hashed by cross-polytopes after three sign-flip and
-    Hadamard rounds, ``tables`` times two hashes (beyond ``crowd`` classes MORE times as many of
-    three), each with ``probes`` buckets. Pairs of leaders in a bucket are compared; by the triangle inequality
-    most pairs of classes then link wholly or not at all, and the rest are counted member by
+    Hadamard rounds, ``tables`` times two hashes whatever the number of classes, each with ``probes``
+    buckets. (A caller who sets ``crowd`` has more classes than that hashed MORE times as often by
+    three, for smaller buckets; other pairs meet then, so results may differ.) Pairs of leaders
+    in a bucket are compared; by the triangle inequality most pairs of classes then link wholly or not at all, and the rest are counted member by
     member in double precision. Buckets of more than ``bucket`` rows, and pairs with a class of
     more than ``members``, are split into blocks that meet two by two in tasks of their own.
 
@@ -242,8 +244,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, tables: int = TABLES,
     found = common.materialise(vectors.select("vec_id", "embedding").mapInArrow(_classes(limit / 2 - 1e-6), MEMBER), "members")
     sizes = found.where("vec is not null").groupBy("class_id").agg(F.count(F.lit(1)).alias("size"), F.max("angle").alias("radius"))
     classes = common.materialise(found.where("uid = class_id and vec is not null").select("uid", "vec").join(sizes, F.col("uid") == F.col("class_id")).drop("class_id"), "classes")
-    n = classes.count()
-    hashes, tables = (2, tables) if n <= crowd else (3, MORE * tables)
+    hashes, tables = (2, tables) if crowd is None or classes.count() <= crowd else (3, MORE * tables)
     spread = classes.select("uid", "radius", "vec").mapInArrow(_spread(hashes, tables, probes), "key long, uid long, radius double, vec binary")
     pairs = _shared(spread, bucket).repartition("key").sortWithinPartitions("key").mapInArrow(_pairs(limit), "a long, b long").distinct()
     side = lambda x: classes.select(F.col("uid").alias(x), F.col("radius").alias(f"r{x}"), F.col("size").alias(f"s{x}"), F.col("vec").alias(f"v{x}"))

@@ -911,3 +911,15 @@ def test_whole_sets_are_read_without_exchanging_texts(spark):
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     some = {r.node: bytes(r.whole) for r in got.collect()}
     assert some.items() <= want.items() and {r.node for r in nodes.limit(15).collect()} <= some.keys()
+
+
+def test_embeddings_are_hashed_alike_at_any_size(spark, monkeypatch):
+    from lodestrata.llm import embeddings
+
+    used, spread = [], embeddings._spread
+    monkeypatch.setattr(embeddings, "_spread", lambda *a: used.append(a) or spread(*a))
+    df = spark.createDataFrame(vectors()[0], "vec_id long, embedding array<double>")
+    for n in (10, 1 << 40):
+        monkeypatch.setattr(type(df), "count", lambda _, n=n: n)
+        embeddings.near_vectors(df)
+    assert used == [(2, embeddings.TABLES, embeddings.PROBES)] * 2
